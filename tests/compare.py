@@ -65,7 +65,7 @@ def difference(query, sql, spark, folder):
         return None
     extra = [r for r in left if r not in set(right)][:3]
     missing = [r for r in right if r not in set(left)][:3]
-    return f"{len(left)} rows against {len(right)}; only Spark: {extra}; only SQL: {missing}"
+    return f"{len(left)} rows against {len(right)}; only Spark: {str(extra)[:600]}; only SQL: {str(missing)[:600]}"
 
 
 def main(wanted, folder):
