@@ -72,19 +72,29 @@ def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
 
     ``order`` must be unique inside a key. Without keys the whole table is one sequence.
     """
-    sums, maxes = dict(sums or {}), dict(maxes or {})
     if not keys:
-        return _scan_in_ranges(df, keys, order, sums, maxes, ranges)
+        return scan_ranges(df, keys, order, sums, maxes, ranges=ranges)
     cold, hot = split_hot(df, keys, hot_rows)
-    line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    plain = cold.select("*", *[F.sum(c).over(line).alias(n) for n, c in sums.items()],
-                        *[F.max(c).over(line).alias(n) for n, c in maxes.items()])
-    if hot is None:
-        return plain
-    return plain.unionByName(_scan_in_ranges(hot, keys, order, sums, maxes, ranges))
+    plain = scan_keys(cold, keys, order, sums, maxes)
+    return plain if hot is None else plain.unionByName(scan_ranges(hot, keys, order, sums, maxes, ranges=ranges))
+
+
+def _so_far(keys: Sequence[str], order: Sequence[str], inclusive: bool):
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
 
-def _scan_in_ranges(df, keys, order, sums, maxes, ranges) -> DataFrame:
+def scan_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
+              maxes: Mapping[str, Column] | None = None, inclusive: bool = True) -> DataFrame:
+    """The scan with one window per key, for keys of ordinary size."""
+    line = _so_far(keys, order, inclusive)
+    return df.select("*", *[F.coalesce(F.sum(c).over(line), F.lit(0)).alias(n) for n, c in (sums or {}).items()],
+                     *[F.max(c).over(line).alias(n) for n, c in (maxes or {}).items()])
+
+
+def scan_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
+                maxes: Mapping[str, Column] | None = None, inclusive: bool = True, ranges: int = RANGES) -> DataFrame:
+    """The scan with each key cut into ranges, for keys of any size."""
+    sums, maxes = dict(sums or {}), dict(maxes or {})
     cut = df.withColumn("_range", range_of(df, order, range_bounds(df, order, ranges)))
     totals = cut.groupBy(*keys, "_range").agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -101,10 +111,11 @@ def _scan_in_ranges(df, keys, order, sums, maxes, ranges) -> DataFrame:
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
                   F.col("_range") == F.col("_k_range"))
     joined = cut.join(F.broadcast(heads) if not keys else heads, same)
-    line = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    line = _so_far([*keys, "_range"], order, inclusive)
+    zero = F.lit(0)
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[(F.coalesce(F.col(f"_sum_{n}"), F.lit(0)) + F.sum(c).over(line)).alias(n) for n, c in sums.items()],
+        *[(F.coalesce(F.col(f"_sum_{n}"), zero) + F.coalesce(F.sum(c).over(line), zero)).alias(n) for n, c in sums.items()],
         *[F.greatest(F.col(f"_max_{n}"), F.max(c).over(line)).alias(n) for n, c in maxes.items()],
     )
 

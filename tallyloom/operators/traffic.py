@@ -234,12 +234,18 @@ def speed_box(vehicles: DataFrame) -> DataFrame:
     return boxes.join(fences, "vehicle_type")
 
 
+def _usable_heading() -> Column:
+    return F.coalesce((F.col("direction") != "") & (F.col("direction") != "unknown"), F.lit(False))
+
+
+def _usable_time() -> Column:
+    return F.coalesce(F.col("timestamp") > 0, F.lit(False))
+
+
 def valid_guard(events: DataFrame) -> DataFrame:
     """Whether any sighting has a usable direction, and any a usable time."""
-    heading = F.coalesce((F.col("direction") != "") & (F.col("direction") != "unknown"), F.lit(False))
-    timed = F.coalesce(F.col("timestamp") > 0, F.lit(False))
-    return events.agg(F.coalesce(F.max(heading), F.lit(False)).alias("has_direction"),
-                      F.coalesce(F.max(timed), F.lit(False)).alias("has_time"))
+    return events.agg(F.coalesce(F.max(_usable_heading()), F.lit(False)).alias("has_direction"),
+                      F.coalesce(F.max(_usable_time()), F.lit(False)).alias("has_time"))
 
 
 def frame_bucket(frame: Column, size: int = FPS) -> Column:
@@ -252,8 +258,8 @@ def direction_over_time(events: DataFrame) -> DataFrame:
     counted = (
         events.filter(F.col("direction").isNotNull())
         .groupBy(frame_bucket(F.col("frame_id")).alias("frame_interval"), "direction").agg(_rows().alias("count")))
-    guard = valid_guard(events).filter("has_direction").select("has_direction")
-    return counted.crossJoin(F.broadcast(guard)).drop("has_direction")
+    usable = counted.agg(F.max(_usable_heading()).alias("_usable")).filter("_usable")
+    return counted.crossJoin(F.broadcast(usable)).drop("_usable")
 
 
 def flow_over_time(events: DataFrame) -> DataFrame:
@@ -267,8 +273,7 @@ def speed_over_time(events: DataFrame) -> DataFrame:
 def trend(flow: DataFrame, x: str = "frame_id", y: str = "vehicle_count") -> DataFrame:
     """Straight line through the points, as one row; no row for fewer than three points.
 
-    Points that all have one value fit perfectly. x is taken from the first frame on, which
-    keeps the sums small; the intercept is moved back.
+    Points that all have one value fit perfectly.
     """
     a, c = F.col(x).cast("double"), F.col(y).cast("double")
     line = flow.agg(
@@ -278,13 +283,19 @@ def trend(flow: DataFrame, x: str = "frame_id", y: str = "vehicle_count") -> Dat
     return line.filter(F.col("points") >= 3)
 
 
-def forecast(events: DataFrame, share: float = FORECAST_SHARE) -> DataFrame:
-    """Counts per frame, followed by the line carried on for a quarter of the span and one frame at least."""
-    flow = flow_over_time(events)
-    usable = valid_guard(events).filter("has_time").select("has_time")
-    line = trend(flow).crossJoin(usable)
+def forecast(events: DataFrame, share: float = FORECAST_SHARE, stride: int = 10_000) -> DataFrame:
+    """Counts per frame, followed by the line carried on for a quarter of the span and one frame at least.
+
+    Sightings are read once, for the counts; the line and the check of the times are taken from those.
+    Future frames are laid out in strides that spread over the tasks.
+    """
+    flow = events.groupBy("frame_id").agg(_rows().alias("vehicle_count"), F.max(_usable_time()).alias("_timed"))
+    line = trend(flow).crossJoin(flow.agg(F.max("_timed").alias("_timed")).filter("_timed"))
     steps = F.greatest(F.lit(1).cast("long"), ((F.col("last_x") - F.col("first_x")) * F.lit(share)).cast("long"))
-    ahead = line.select("slope", "intercept", F.explode(F.sequence(F.col("last_x") + 1, F.col("last_x") + steps)).alias("frame_id"))
+    bounds = line.select("slope", "intercept", (F.col("last_x") + 1).alias("_from"), (F.col("last_x") + steps).alias("_to"))
+    strides = bounds.withColumn("_at", F.explode(F.expr(f"sequence(_from, _to, {stride}L)"))).repartition("_at")
+    ahead = strides.withColumn(
+        "frame_id", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + F.lit(stride - 1), F.col("_to")))))
     future = ahead.select("frame_id", (F.col("intercept") + F.col("slope") * F.col("frame_id")).alias("vehicle_count"),
                           F.lit("Forecast").alias("type"))
     past = flow.select("frame_id", F.col("vehicle_count").cast("double").alias("vehicle_count"), F.lit("Historical").alias("type"))

@@ -191,7 +191,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 
 # Chat: scenario by conversation number, markers that some replies contain.
 
-SCENARIOS = ("BRICKSDATA_IPO", "TURKISH_CARPET_SALESMAN", "PARENTS_PLAY_MINECRAFT")
+SCENARIOS = ("COMPANY_IPO", "CARPET_SALE", "HOMEWORK")
 WON_MARK = "eau"
 LOST_MARK = "thou"
 
