@@ -87,12 +87,12 @@ def chat_prompt_context(spark, folder):
 
 REQUESTS_SQL = PAIRS_SQL + f""", newest AS (SELECT conv_id, max(user_turn) AS newest FROM pairs GROUP BY 1),
 lines AS (
-  SELECT conv_id, -1 AS at, 0 AS n, 'system' AS role, {_texts_sql('prompt')} AS content FROM pairs JOIN newest USING (conv_id) WHERE user_turn = newest
+  SELECT conv_id, -1 AS spot, 0 AS n, 'system' AS role, {_texts_sql('prompt')} AS content FROM pairs JOIN newest USING (conv_id) WHERE user_turn = newest
   UNION ALL SELECT conv_id, user_turn, 1, 'user', message FROM pairs JOIN newest USING (conv_id) WHERE user_turn = newest OR reply IS NOT NULL
   UNION ALL SELECT conv_id, user_turn, 2, 'assistant', reply FROM pairs JOIN newest USING (conv_id) WHERE user_turn < newest AND reply IS NOT NULL),
-requests AS (SELECT conv_id, CAST(greatest(floor(at / {float(c.PART_TURNS)}), 0) AS BIGINT) AS part,
-  string_agg(role || ': ' || content, chr(10) ORDER BY at, n) AS request, count(*) AS messages,
-  last(content ORDER BY at, n) AS newest FROM lines GROUP BY ALL)"""
+requests AS (SELECT conv_id, CAST(greatest(floor(spot / {float(c.PART_TURNS)}), 0) AS BIGINT) AS part,
+  string_agg(role || ': ' || content, chr(10) ORDER BY spot, n) AS request, count(*) AS messages,
+  last(content ORDER BY spot, n) AS newest FROM lines GROUP BY ALL)"""
 
 
 def _spelled(rows):
