@@ -49,21 +49,29 @@ def range_bounds(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> l
     total = df.count()
     share = min(1.0, 1.5 * wanted / max(total, 1))
     picked = df.select(*order).sample(False, share, 11).limit(2 * wanted).collect()
-    points = sorted((tuple(r) for r in picked if all(v is not None for v in r)))
+    points = sorted((tuple(r) for r in picked if all(v is not None and v == v for v in r)))
     step = max(1, len(points) // ranges)
     return sorted(set(points[step::step]))
 
 
+def rank_among(value: Column, cuts: Sequence[Column], first: int = 0) -> Column:
+    """Number of sorted cut points at or below a value, by halving."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(value < cuts[middle], rank_among(value, cuts[:middle], first)).otherwise(
+        rank_among(value, cuts[middle + 1:], first + middle + 1))
+
+
 def range_of(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """Number of cut points at or below the row. Nulls sort first, as in a window."""
-    if not bounds:
-        return F.lit(0)
+    """The range a row falls in. Nulls come first, as in a window."""
     types = [df.schema[c].dataType for c in order]
-    cuts = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(point, types, order)]) for point in bounds
-    ])
+    if len(order) == 1:
+        here = F.col(order[0])
+        cuts = [F.lit(point[0]).cast(types[0]) for point in bounds]
+        return F.when(here.isNull(), F.lit(0)).otherwise(rank_among(here, cuts))
     here = F.struct(*[F.col(c) for c in order])
-    return F.size(F.filter(cuts, lambda cut: cut <= here))
+    return rank_among(here, [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, types, order)]) for p in bounds])
 
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,

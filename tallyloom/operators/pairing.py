@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import RANGES, is_small, range_bounds
+from tallyloom.operators.ordering import RANGES, is_small, range_bounds, rank_among
 
 COMPARE = {
     "=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
@@ -58,10 +58,9 @@ def comparison_join(left: Side, right: Side, op: str, how: str, small_rows: int
 def _join_in_ranges(left: Side, right: Side, op: str, how: str, ranges: int) -> DataFrame:
     points = right.frame.select(right.value.alias("point")).filter("point IS NOT NULL")
     bounds = [p for (p,) in range_bounds(points, ["point"], ranges)]
-    cuts = F.array(*[F.lit(p) for p in bounds]) if bounds else F.array().cast("array<string>")
 
     def place(value: Column) -> Column:
-        return F.size(F.filter(cuts, lambda cut: cut <= value)) if bounds else F.lit(0)
+        return rank_among(value, [F.lit(p) for p in bounds])
 
     last = F.lit(len(bounds))
     if op in ("<", "<="):

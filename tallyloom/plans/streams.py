@@ -49,8 +49,7 @@ def stream_refresh_stats(spark, folder):
 @BOOK.add("stream_vehicle_speed", TRAFFIC + " " + SPEED_SQL)
 def stream_vehicle_speed(spark, folder):
     events, n = _events(spark, folder)
-    rows = events.select("event_id", "video_id", "car_id", "frame_id", "position_y")
-    return spark.read.parquet(vehicles.vehicle_speed(rows, n)).drop("position_y")
+    return spark.read.parquet(vehicles.vehicle_speed(events, n)).drop("position_y")
 
 
 @BOOK.add("stream_window_counts", TRAFFIC + """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.functions.text import contains_any
 from tallyloom.operators import maintain
 from tallyloom.operators.conversations import LOST, WON
 from tallyloom.streaming.runs import drain
@@ -45,31 +46,32 @@ def game_moves(turns: DataFrame, n: int, won: str = WON, lost: str = LOST, sink:
                checkpoint: str | None = None) -> str:
     """Messages sent and games ended, one row each, with the game of each conversation as state.
 
-    The files of the stream have to come in the order of the turns.
+    The files of the stream have to come in the order of the turns. The texts are searched before the rows are
+    grouped, so that only turn numbers and marks reach the state function.
     """
-    won, lost = won.lower(), lost.lower()
+    narrow = turns.filter(F.col("role").isin("user", "assistant")).select(
+        "conv_id", "turn", (F.col("role") == "user").alias("asks"),
+        contains_any(F.col("text"), [won]).alias("won"), contains_any(F.col("text"), [lost]).alias("lost"))
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         game_no, over, asked, consumed = state.get if state.exists else (1, False, -1, False)
         out = []
         rows = pd.concat(list(batches), ignore_index=True).sort_values("turn")
-        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-            if role == "user":
+        for turn, asks, has_won, has_lost in rows[["turn", "asks", "won", "lost"]].itertuples(index=False):
+            if asks:
                 consumed, asked = over, int(turn)
                 if over:
                     game_no, over = game_no + 1, False
                 else:
                     out.append((key[0], game_no, int(turn), 1, None))
-            elif role == "assistant" and turn == asked + 1 and not consumed:
-                said = (text or "").lower()
-                if won in said or lost in said:
-                    over = True
-                    out.append((key[0], game_no, asked, 0, "won" if won in said else "lost"))
+            elif turn == asked + 1 and not consumed and (has_won or has_lost):
+                over = True
+                out.append((key[0], game_no, asked, 0, "won" if has_won else "lost"))
         state.update((game_no, over, asked, consumed))
         if out:
             yield pd.DataFrame(out, columns=GAME_ROWS.names)
 
-    moves = turns.groupBy("conv_id").applyInPandasWithState(
+    moves = narrow.groupBy("conv_id").applyInPandasWithState(
         advance, GAME_ROWS, GAME_STATE, "append", GroupStateTimeout.NoTimeout)
     return drain(moves, "games", n, sink, checkpoint=checkpoint)
 

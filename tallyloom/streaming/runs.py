@@ -16,14 +16,22 @@ from tallyloom.session import work_path
 from tallyloom.sources.versions import folder_bytes, is_folder
 
 STATE_BYTES = 64 * 1024 * 1024
-FILES_PER_TRIGGER = 200
+BYTES_PER_TRIGGER = 1 << 30
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType | None = None,
-                 files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """A parquet table, one file or a folder of files, as a stream. A batch takes a set number of files."""
+                 bytes_per_trigger: int = BYTES_PER_TRIGGER, files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream.
+
+    A batch takes files up to a size, or a set number of them. This also bounds what a stateful function can be
+    handed for one key. A large backlog is the work of the batch operators, not of a stream.
+    """
     kind = schema or spark.read.parquet(path).schema
-    reader = spark.readStream.schema(kind).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(kind)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if is_folder(spark, path):
         return reader.parquet(path)
     folder, _, name = path.rpartition("/")

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators import traffic
-from tallyloom.session import work_path
-from tallyloom.sources.versions import append_rows, current_version, read_version, write_version
+from tallyloom.sources.versions import current_version, read_version, write_version
 from tallyloom.streaming.runs import drain
 
 
@@ -93,16 +91,17 @@ def _speeds(buffered: np.ndarray, seen_before: int, buffer: int, fps: int, least
 
 
 def vehicle_speed(events: DataFrame, n: int, keys: Sequence[str] = ("video_id", "car_id"), order: str = "event_id",
-                  position: str = "position_y", buffer: int = traffic.BUFFER, fps: int = traffic.FPS,
-                  least: int = traffic.MIN_SIGHTINGS, idle: str = "1 hour", sink: str | None = None,
-                  checkpoint: str | None = None) -> str:
+                  position: str = "position_y", carry: Sequence[str] = ("frame_id",), buffer: int = traffic.BUFFER,
+                  fps: int = traffic.FPS, least: int = traffic.MIN_SIGHTINGS, idle_ms: int | None = None,
+                  sink: str | None = None, checkpoint: str | None = None) -> str:
     """Trailing speed with the last positions of each vehicle as state; the same rows as the batch window.
 
-    A vehicle that stays away for ``idle`` gives its state back only when a later batch comes in. What one call holds
-    is bounded by the files of a batch.
+    Only the columns named here reach Python, so the rows one call holds are narrow, and their number is bounded by
+    the size of a batch. With ``idle_ms`` a vehicle that stays away is forgotten and starts anew when it returns.
     """
-    names = events.columns
-    schema = T.StructType([*events.schema.fields, T.StructField("speed", T.LongType())])
+    narrow = events.select(*keys, order, position, *carry)
+    names = narrow.columns
+    schema = T.StructType([*narrow.schema.fields, T.StructField("speed", T.LongType())])
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -113,11 +112,12 @@ def vehicle_speed(events: DataFrame, n: int, keys: Sequence[str] = ("video_id",
         line = np.array(kept + rows[position].tolist(), dtype="int64")
         rows["speed"] = _speeds(line, len(kept), buffer, fps, least)
         state.update((line[-(buffer - 1):].tolist(),))
-        state.setTimeoutDuration(idle)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield rows[[*names, "speed"]]
 
-    scored = events.groupBy(*keys).applyInPandasWithState(
-        advance, schema, SPEED_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    scored = narrow.groupBy(*keys).applyInPandasWithState(advance, schema, SPEED_STATE, "append", timeout)
     return drain(scored, "speed", n, sink, checkpoint=checkpoint)
 
 
