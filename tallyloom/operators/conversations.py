@@ -1,12 +1,13 @@
-"""Conversations: pairs of message and reply, games, transcripts and model requests.
+"""Conversations: games, transcripts and model requests.
 
-A conversation can be of any length. Messages meet their replies by key, games come from
-running sums, and transcripts and requests are laid out in parts of a set number of turns.
+A conversation can be of any length. Games come from running sums over marks that are taken from
+the texts beforehand; transcripts and requests are laid out in parts of a set number of turns, and the texts are
+moved once, to the task of their part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import partial
 
@@ -53,27 +54,31 @@ def _by_scenario(scenarios: Mapping[str, Scenario], field: str) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("scenario"))
 
 
-def pair_up(turns: DataFrame) -> DataFrame:
-    """Each user message with the assistant turn that comes right after it, if one does."""
-    own = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
-    grouped = turns.withColumn("user_turn", own).filter(F.col("user_turn").isNotNull()).groupBy("conv_id", "user_turn").agg(
-        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("message"),
-        F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("reply"),
-        F.max("scenario").alias("scenario"),
-    )
-    return grouped.filter(F.col("message").isNotNull())
+def _own_turn() -> Column:
+    """The turn of the user message that a turn belongs to: its own, or the one right before a reply."""
+    return F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
 
 
-def game_turns(pairs: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
-    """Pairs with their game: number, whether the pair ends it, and whether it only starts the next one.
+def marked_pairs(turns: DataFrame, won: str = WON, lost: str = LOST) -> DataFrame:
+    """Each user message with what the assistant turn right after it says about the game; the texts stay behind."""
+    reply = F.col("role") == "assistant"
+    marks = turns.select(
+        "conv_id", _own_turn().alias("user_turn"), (F.col("role") == "user").alias("_asks"), reply.alias("answered"),
+        (reply & contains_any(F.col("text"), [won])).alias("won"), (reply & contains_any(F.col("text"), [lost])).alias("lost"))
+    pairs = marks.filter(F.col("user_turn").isNotNull()).groupBy("conv_id", "user_turn").agg(
+        *[F.max(c).alias(c) for c in ("_asks", "answered", "won", "lost")])
+    return pairs.filter("_asks").drop("_asks")
+
+
+def game_turns(turns: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
+    """User messages with their game: number, whether the pair ends it, and whether it only starts the next one.
 
     After the end of a game the next message resets it and belongs to no game, and a marker in its
     reply does not count. In a run of replies with markers the first, third, fifth ... therefore end a game, and the
     pair after an odd run is the one used up.
     """
-    marked = pairs.withColumns({"_won": contains_any(F.col("reply"), [won]), "_lost": contains_any(F.col("reply"), [lost])})
-    marked = marked.withColumn("_mark", F.col("_won") | F.col("_lost"))
-    cold, hot = split_hot(marked, ["conv_id"], hot_rows)
+    asked = turns.filter(F.col("role") == "user").select("conv_id")
+    cold, hot = split_hot(marked_pairs(turns, won, lost), ["conv_id"], hot_rows, sized=asked)
     plain = _number_games(cold, scan_keys)
     if hot is None:
         return plain
@@ -82,22 +87,31 @@ def game_turns(pairs: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int
 
 def _number_games(pairs: DataFrame, scan: Callable[..., DataFrame]) -> DataFrame:
     keys, order = ["conv_id"], ["user_turn"]
+    mark = F.col("won") | F.col("lost")
     placed = scan(pairs, keys, order, sums={"_n": F.lit(1).cast("long")})
-    plain = scan(placed, keys, order, maxes={"_plain": F.when(~F.col("_mark"), F.col("_n"))}, inclusive=False)
+    plain = scan(placed, keys, order, maxes={"_plain": F.when(~mark, F.col("_n"))}, inclusive=False)
     run = F.col("_n") - 1 - F.coalesce(F.col("_plain"), F.lit(0))
-    flagged = plain.withColumn("consumed", run % 2 == 1).withColumn("ends", F.col("_mark") & ~F.col("consumed"))
+    flagged = plain.withColumn("consumed", run % 2 == 1).withColumn("ends", mark & ~F.col("consumed"))
     numbered = scan(flagged, keys, order, sums={"_over": F.when(F.col("ends"), 1).otherwise(0).cast("long")}, inclusive=False)
     return numbered.select(
-        "conv_id", "user_turn", "message", "reply", "scenario", "consumed", "ends", "_won",
+        "conv_id", "user_turn", "answered", "won", "lost", "consumed", "ends",
         F.when(~F.col("consumed"), F.col("_over") + 1).alias("game_no"))
 
 
 def games(played: DataFrame) -> DataFrame:
     """One row per game: messages sent, first and last message, outcome."""
-    outcome = F.when(F.max(F.col("ends") & F.col("_won")), F.lit("won")).when(F.max("ends"), F.lit("lost")).otherwise(F.lit("open"))
+    outcome = F.when(F.max(F.col("ends") & F.col("won")), F.lit("won")).when(F.max("ends"), F.lit("lost")).otherwise(F.lit("open"))
     return played.filter(~F.col("consumed")).groupBy("conv_id", "game_no").agg(
         F.count(F.lit(1)).alias("messages"), F.min("user_turn").alias("first_turn"),
-        F.max("user_turn").alias("last_turn"), outcome.alias("outcome"), F.max(F.when(F.col("ends"), F.col("reply"))).alias("closing"))
+        F.max("user_turn").alias("last_turn"), outcome.alias("outcome"))
+
+
+def with_closing(finished: DataFrame, turns: DataFrame) -> DataFrame:
+    """Games with the reply that closed them: the one after their last message, unless they are open."""
+    said = turns.filter(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("closing"))
+    same = (F.col("conv_id") == F.col("_conv")) & (F.col("last_turn") + 1 == F.col("_turn")) & (F.col("outcome") != "open")
+    return finished.join(said, same, "left").drop("_conv", "_turn")
 
 
 def status_line(messages: Column, closing: Column) -> Column:
@@ -107,47 +121,79 @@ def status_line(messages: Column, closing: Column) -> Column:
     return F.coalesce(over, F.concat(F.lit("Total messages sent: "), sent))
 
 
-def _part(turn: str, part_turns: int) -> Column:
-    return F.floor(F.col(turn) / F.lit(part_turns)).cast("long")
+def _part(turn: Column, part_turns: int) -> Column:
+    return F.floor(turn / F.lit(part_turns)).cast("long")
+
+
+def _parts(turns: DataFrame, part_turns: int) -> DataFrame:
+    """Pairs of message and reply in order, in one array for each part of a conversation.
+
+    A reply goes with its message, so no pair is cut in two and an array has at most ``part_turns`` pairs.
+    """
+    item = F.struct(F.col("_own").alias("at"), (F.col("role") == "assistant").alias("is_reply"), F.col("text").alias("text"))
+    grouped = (
+        turns.withColumn("_own", _own_turn()).filter(F.col("_own").isNotNull())
+        .groupBy("conv_id", "scenario", _part(F.col("_own"), part_turns).alias("part"))
+        .agg(F.array_sort(F.collect_list(item)).alias("_items")))
+    replies = F.map_from_entries(F.transform(
+        F.filter("_items", lambda x: x["is_reply"]), lambda x: F.struct(x["at"].alias("key"), x["text"].alias("value"))))
+    asked = F.filter("_items", lambda x: ~x["is_reply"])
+    answered = grouped.withColumns({"_replies": replies, "_asked": asked})
+    pairs = F.transform("_asked", lambda x: F.struct(
+        x["at"].alias("at"), x["text"].alias("message"), F.try_element_at(F.col("_replies"), x["at"]).alias("reply")))
+    return answered.select("conv_id", "scenario", "part", pairs.alias("pairs"))
+
+
+def _script() -> Column:
+    """Speaker-labelled text of the answered pairs."""
+    answered = F.filter("pairs", lambda p: p["reply"].isNotNull())
+    lines = F.transform(answered, lambda p: F.concat(F.col("_user"), p["message"], F.col("_reply"), p["reply"]))
+    return F.array_join(lines, SEPARATOR)
+
+
+def _labelled(turns: DataFrame, scenarios: Mapping[str, Scenario], part_turns: int) -> DataFrame:
+    labelled = _parts(turns, part_turns).withColumns({
+        "_user": _by_scenario(scenarios, "user_label"), "_reply": _by_scenario(scenarios, "reply_label")})
+    return labelled.select("conv_id", "scenario", "part", _script().alias("transcript"))
 
 
-def transcripts(pairs: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
-    """Speaker-labelled text of the answered pairs. Parts in order, joined by the separator, are the whole."""
-    script = F.concat(_by_scenario(scenarios, "user_label"), F.col("message"), _by_scenario(scenarios, "reply_label"), F.col("reply"))
-    lines = pairs.filter(F.col("reply").isNotNull()).select(
-        "conv_id", "scenario", _part("user_turn", part_turns).alias("part"), F.struct("user_turn", script.alias("line")).alias("_line"))
-    return lines.groupBy("conv_id", "scenario", "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x["line"]), SEPARATOR).alias("transcript"))
+def transcripts(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
+    """Transcripts of the answered pairs. Parts in order, joined by the separator, are the whole."""
+    return _labelled(turns, scenarios, part_turns).filter(F.col("transcript") != "")
 
 
-def prompt_contexts(pairs: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
+def prompt_contexts(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
     """Goal and transcript of each conversation, or the greeting where nothing has been answered yet."""
-    scripts = transcripts(pairs, scenarios, part_turns)
-    silent = pairs.groupBy("conv_id", "scenario").agg(F.max(F.col("reply").isNotNull()).alias("_answered")).filter(~F.col("_answered"))
-    greeted = silent.select("conv_id", "scenario", F.lit(0).cast("long").alias("part"), F.concat(
-        _by_scenario(scenarios, "reply_label"), _by_scenario(scenarios, "greeting")).alias("transcript"))
-    return scripts.unionByName(greeted).select(
+    scripts = _labelled(turns, scenarios, part_turns)
+    heard = marked_pairs(turns).groupBy("conv_id").agg(F.max("answered").alias("_answered"))
+    scenario = turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.max("scenario").alias("scenario"))
+    greeted = heard.filter(~F.col("_answered")).join(scenario, "conv_id").select(
+        "conv_id", "scenario", F.lit(0).cast("long").alias("part"), F.concat(
+            _by_scenario(scenarios, "reply_label"), _by_scenario(scenarios, "greeting")).alias("transcript"))
+    return scripts.filter(F.col("transcript") != "").unionByName(greeted).select(
         "conv_id", "part", _by_scenario(scenarios, "goal").alias("system"), F.col("transcript").alias("content"))
 
 
-def requests(pairs: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
+def requests(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
     """The latest model request of each conversation: prompt, answered pairs, and the newest message.
 
-    The newest message is the last one sent; earlier ones without a reply are not part of the history.
+    The newest message is the last one sent; earlier ones without a reply are not part of the history. Which parts
+    are the first and the last is told by a narrow table that joins on the key by which the parts lie already.
     """
-    newest = pairs.groupBy("conv_id").agg(F.max("user_turn").alias("_newest"))
-    joined = pairs.join(newest, "conv_id")
-    history = joined.filter(F.col("reply").isNotNull() & (F.col("user_turn") < F.col("_newest")))
-    said = F.explode(F.array(
-        F.struct(F.col("user_turn").alias("at"), F.lit(1).alias("n"), F.lit("user").alias("role"), F.col("message").alias("content")),
-        F.struct(F.col("user_turn").alias("at"), F.lit(2).alias("n"), F.lit("assistant").alias("role"), F.col("reply").alias("content"))))
-    last = joined.filter(F.col("user_turn") == F.col("_newest"))
-    prompt = F.explode(F.array(
-        F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"), F.lit("system").alias("role"),
-                 _by_scenario(scenarios, "prompt").alias("content")),
-        F.struct(F.col("user_turn").alias("at"), F.lit(1).alias("n"), F.lit("user").alias("role"), F.col("message").alias("content"))))
-    lines = history.select("conv_id", said.alias("_m")).unionByName(last.select("conv_id", prompt.alias("_m")))
-    part = F.greatest(F.floor(F.col("_m.at") / F.lit(part_turns)), F.lit(0)).cast("long")
-    ordered = F.array_sort(F.collect_list("_m"))
-    return lines.groupBy("conv_id", part.alias("part")).agg(
-        F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    ends = turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("_first"), F.max("turn").alias("_newest"))
+    first, last = _part(F.col("_first"), part_turns), _part(F.col("_newest"), part_turns)
+    marks = ends.select("conv_id", "_newest", first.alias("_first_part"), F.explode(F.array_distinct(F.array(first, last))).alias("part"))
+    joined = _parts(turns, part_turns).join(marks, ["conv_id", "part"], "left")
+
+    def said(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    prompt = F.when(F.col("part") == F.col("_first_part"), F.array(said("system", F.col("_prompt")))).otherwise(none)
+    past = F.filter("pairs", lambda p: p["reply"].isNotNull() & F.coalesce(p["at"] != F.col("_newest"), F.lit(True)))
+    history = F.flatten(F.transform(past, lambda p: F.array(said("user", p["message"]), said("assistant", p["reply"]))))
+    newest = F.transform(F.filter("pairs", lambda p: F.coalesce(p["at"] == F.col("_newest"), F.lit(False))),
+                         lambda p: said("user", p["message"]))
+    built = joined.withColumn("_prompt", _by_scenario(scenarios, "prompt")).select(
+        "conv_id", "part", F.concat(prompt, history, newest).alias("messages"))
+    return built.filter(F.size("messages") > 0)

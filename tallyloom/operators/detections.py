@@ -110,7 +110,7 @@ def detections_to_events(boxes: DataFrame, frame_width: int, order: str = "event
     found = suppress(in_zone(confident(boxes)), order=order, **suppression)
     x = ((F.col("x1") + F.col("x2")) / 2)
     placed = found.withColumn("_plane_y", geometry.perspective(x, F.col("y2"))[1])
-    timed = trailing_speed(placed, ("video_id", "tracker_id"), ("frame_id", order), "_plane_y")
+    timed = trailing_speed(placed, ("video_id", "tracker_id"), ("frame_id", order), "_plane_y", sized=boxes)
     return timed.select(
         order, "video_id", "frame_id", "timestamp", F.col("tracker_id").alias("car_id"),
         x.cast("long").alias("position_x"), F.col("y2").cast("long").alias("position_y"),

@@ -33,9 +33,13 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None)."""
-    hot = hot_keys(df, keys, hot_rows)
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
+              sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None).
+
+    ``sized`` is a frame that is cheap to read and has at least as many rows for each key; it is counted instead.
+    """
+    hot = hot_keys(df if sized is None else sized, keys, hot_rows)
     if hot is None:
         return df, None
     named = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
@@ -75,14 +79,15 @@ def range_of(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple]) -> Co
 
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
-                maxes: Mapping[str, Column] | None = None, hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
+                maxes: Mapping[str, Column] | None = None, hot_rows: int = HOT_ROWS, ranges: int = RANGES,
+                sized: DataFrame | None = None) -> DataFrame:
     """Running sums and running maxima along ``order`` inside each key, the row itself included.
 
     ``order`` must be unique inside a key. Without keys the whole table is one sequence.
     """
     if not keys:
         return scan_ranges(df, keys, order, sums, maxes, ranges=ranges)
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = split_hot(df, keys, hot_rows, sized)
     plain = scan_keys(cold, keys, order, sums, maxes)
     return plain if hot is None else plain.unionByName(scan_ranges(hot, keys, order, sums, maxes, ranges=ranges))
 

@@ -257,7 +257,7 @@ def concat_parts(df: DataFrame, keys: list[str], value: str, separator: str = ",
         .select(*keys, F.col(value).cast("string").alias(value))
         .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
     )
-    placed = prefix_scan(counted, keys, [value], sums={"_end": F.col("_times")}, hot_rows=hot_rows)
+    placed = prefix_scan(counted, keys, [value], sums={"_end": F.col("_times")}, hot_rows=hot_rows, sized=df)
     size = F.lit(part_size)
     start = F.col("_end") - F.col("_times")
     first_part = F.floor(start / size).cast("long")

@@ -311,12 +311,12 @@ def _speed(now: Column, start: Column, seen: Column, fps: int, least: int) -> Co
 
 def trailing_speed(events: DataFrame, keys: Sequence[str] = ("video_id", "car_id"), order: Sequence[str] = ("event_id",),
                    position: str = "position_y", buffer: int = BUFFER, fps: int = FPS, least: int = MIN_SIGHTINGS,
-                   hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, ranges: int = RANGES, sized: DataFrame | None = None) -> DataFrame:
     """Speed from the last ``buffer`` positions of a vehicle: way from first to last over their number of frames.
 
     A vehicle with very many sightings is cut into ranges; each range is led in by the positions just before it.
     """
-    cold, hot = split_hot(events, keys, hot_rows)
+    cold, hot = split_hot(events, keys, hot_rows, sized)
     line = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(buffer - 1), 0)
     plain = cold.withColumn("speed", _speed(
         F.col(position), F.first(position).over(line), F.count(F.lit(1)).over(line), fps, least))

@@ -30,17 +30,13 @@ games AS (SELECT conv_id, CAST(game_no AS BIGINT) AS game_no, count(*) AS messag
           FROM played WHERE NOT consumed GROUP BY ALL)"""
 
 
-def _pairs(spark, folder):
-    return c.pair_up(b.turns(spark, folder))
-
-
 def _games(spark, folder):
-    return c.games(c.game_turns(_pairs(spark, folder), b.WON_MARK, b.LOST_MARK))
+    return c.games(c.game_turns(b.turns(spark, folder), b.WON_MARK, b.LOST_MARK))
 
 
 @BOOK.add("game_sessions", "WITH " + GAME_TURNS_SQL + " SELECT conv_id, game_no, messages, first_turn, last_turn, outcome FROM games")
 def game_sessions(spark, folder):
-    return _games(spark, folder).drop("closing")
+    return _games(spark, folder)
 
 
 @BOOK.add("chat_outcome", "WITH " + GAME_TURNS_SQL + " SELECT conv_id, game_no, outcome FROM games")
@@ -52,8 +48,8 @@ def chat_outcome(spark, folder):
 SELECT conv_id, game_no, messages, coalesce('Game over! ' || closing || ' And you have sent ' || messages || ' messages ! A new session will start.',
        'Total messages sent: ' || messages) AS info FROM games""")
 def chat_message_count(spark, folder):
-    return _games(spark, folder).select(
-        "conv_id", "game_no", "messages", c.status_line(F.col("messages"), F.col("closing")).alias("info"))
+    closed = c.with_closing(_games(spark, folder), b.turns(spark, folder))
+    return closed.select("conv_id", "game_no", "messages", c.status_line(F.col("messages"), F.col("closing")).alias("info"))
 
 
 def _quoted(value: str) -> str:
@@ -73,7 +69,7 @@ TRANSCRIPT_SQL = PAIRS_SQL + f""", scripts AS (
 
 @BOOK.add("chat_transcript", "WITH " + TRANSCRIPT_SQL + " SELECT conv_id, scenario, part, transcript FROM scripts")
 def chat_transcript(spark, folder):
-    return c.transcripts(_pairs(spark, folder))
+    return c.transcripts(b.turns(spark, folder))
 
 
 @BOOK.add("chat_prompt_context", "WITH " + TRANSCRIPT_SQL + f"""
@@ -82,15 +78,15 @@ UNION ALL
 SELECT conv_id, 0 AS part, {_texts_sql('goal')} AS system, {_texts_sql('reply_label')} || {_texts_sql('greeting')} AS content
 FROM (SELECT conv_id, scenario FROM pairs GROUP BY ALL HAVING count(reply) = 0)""")
 def chat_prompt_context(spark, folder):
-    return c.prompt_contexts(_pairs(spark, folder))
+    return c.prompt_contexts(b.turns(spark, folder))
 
 
 REQUESTS_SQL = PAIRS_SQL + f""", newest AS (SELECT conv_id, max(user_turn) AS newest FROM pairs GROUP BY 1),
 lines AS (
-  SELECT conv_id, -1 AS spot, 0 AS n, 'system' AS role, {_texts_sql('prompt')} AS content FROM pairs JOIN newest USING (conv_id) WHERE user_turn = newest
+  SELECT conv_id, min(user_turn) AS spot, 0 AS n, 'system' AS role, {_texts_sql('prompt')} AS content FROM pairs GROUP BY conv_id, scenario
   UNION ALL SELECT conv_id, user_turn, 1, 'user', message FROM pairs JOIN newest USING (conv_id) WHERE user_turn = newest OR reply IS NOT NULL
   UNION ALL SELECT conv_id, user_turn, 2, 'assistant', reply FROM pairs JOIN newest USING (conv_id) WHERE user_turn < newest AND reply IS NOT NULL),
-requests AS (SELECT conv_id, CAST(greatest(floor(spot / {float(c.PART_TURNS)}), 0) AS BIGINT) AS part,
+requests AS (SELECT conv_id, spot // {c.PART_TURNS} AS part,
   string_agg(role || ': ' || content, chr(10) ORDER BY spot, n) AS request, count(*) AS messages,
   last(content ORDER BY spot, n) AS newest FROM lines GROUP BY ALL)"""
 
@@ -103,7 +99,7 @@ def _spelled(rows):
 
 @BOOK.add("chat_requests", "WITH " + REQUESTS_SQL + " SELECT conv_id, part, request, messages FROM requests")
 def chat_requests(spark, folder):
-    return _spelled(c.requests(_pairs(spark, folder)))
+    return _spelled(c.requests(b.turns(spark, folder)))
 
 
 def echo_model(requests):
@@ -114,4 +110,4 @@ def echo_model(requests):
 @BOOK.add("chat_complete", "WITH " + REQUESTS_SQL + """
 SELECT conv_id, part, messages || ' messages; ' || substr(newest, 1, 20) AS answer FROM requests""")
 def chat_complete(spark, folder):
-    return enrich.complete(c.requests(_pairs(spark, folder)), echo_model, "messages", "answer").drop("messages")
+    return enrich.complete(c.requests(b.turns(spark, folder)), echo_model, "messages", "answer").drop("messages")

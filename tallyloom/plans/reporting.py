@@ -195,7 +195,9 @@ def rows_as_json(spark, folder):
 
 
 def _draw_sql(key: str, field: str, size: int) -> str:
-    return f"(CAST('0x' || substr(md5(concat_ws(':', CAST({key} AS VARCHAR), '{field}', '7')), 1, 8) AS BIGINT) % {size})"
+    block, place = divmod(generate.FIELDS.index(field), 4)
+    digest = f"md5(concat_ws(':', CAST({key} AS VARCHAR), '{block}', '7'))"
+    return f"(CAST('0x' || substr({digest}, {8 * place + 1}, 8) AS BIGINT) % {size})"
 
 
 def _pick_sql(key: str, field: str, values: list[str]) -> str:

@@ -65,7 +65,7 @@ def turns(spark, talks):
 
 @pytest.mark.parametrize("hot_rows", [3, 15, 10**6])
 def test_games(turns, talks, hot_rows):
-    got = played(c.games(c.game_turns(c.pair_up(turns), hot_rows=hot_rows, ranges=4)))
+    got = played(c.games(c.game_turns(turns, hot_rows=hot_rows, ranges=4)))
     want = {conv: games for conv, replies in talks.items() if (games := play(replies))}
     assert got == want
 
@@ -92,20 +92,22 @@ def test_status_line(spark):
 
 @pytest.mark.parametrize("part_turns", [4, 512])
 def test_transcript_parts_make_the_whole(spark, part_turns):
-    pairs = c.pair_up(spark.createDataFrame(talk(1, ["a", "b", None, "d", "e"]), SCHEMA))
-    parts = c.transcripts(pairs, part_turns=part_turns).orderBy("part").collect()
+    turns = spark.createDataFrame(talk(1, ["a", "b", None, "d", "e"]), SCHEMA)
+    parts = c.transcripts(turns, part_turns=part_turns).orderBy("part").collect()
     want = c.SEPARATOR.join(f"\n Child : m{i}\n Parents : {r}" for i, r in enumerate(["a", "b", None, "d", "e"]) if r)
     assert c.SEPARATOR.join(p["transcript"] for p in parts) == want
     assert (len(parts) == 1) == (part_turns == 512)
 
 
 def test_greeting_before_any_answer(spark):
-    got = c.prompt_contexts(c.pair_up(spark.createDataFrame(talk(1, [None]), SCHEMA))).first()
+    got = c.prompt_contexts(spark.createDataFrame(talk(1, [None]), SCHEMA)).first()
     assert got["content"] == "\n Parents : " + c.SCENARIOS["HOMEWORK"].greeting
     assert got["system"] == c.SCENARIOS["HOMEWORK"].goal
 
 
-def test_request_holds_prompt_history_and_the_newest_message(spark):
-    got = c.requests(c.pair_up(spark.createDataFrame(talk(1, ["a", None, "c"]), SCHEMA))).first()["messages"]
+@pytest.mark.parametrize("part_turns", [1, 2, 512])
+def test_request_holds_prompt_history_and_the_newest_message(spark, part_turns):
+    parts = c.requests(spark.createDataFrame(talk(1, ["a", None, "c"], 3), SCHEMA), part_turns=part_turns)
+    got = [m for p in parts.orderBy("part").collect() for m in p["messages"]]
     assert [(m["role"], m["content"]) for m in got] == [
         ("system", c.SCENARIOS["HOMEWORK"].prompt), ("user", "m0"), ("assistant", "a"), ("user", "m2")]
