@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import contains_any
-from tallyloom.operators.ordering import HOT_ROWS, RANGES, scan_keys, scan_ranges, split_hot
+from tallyloom.operators.ordering import HOT_ROWS, scan_keys, scan_ranges, split_hot
 
 # What a reply says when the game is over, and what stands between the pairs of a transcript.
 WON = "you have won"
@@ -70,7 +70,7 @@ def marked_pairs(turns: DataFrame, won: str = WON, lost: str = LOST) -> DataFram
     return pairs.filter("_asks").drop("_asks")
 
 
-def game_turns(turns: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
+def game_turns(turns: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """User messages with their game: number, whether the pair ends it, and whether it only starts the next one.
 
     After the end of a game the next message resets it and belongs to no game, and a marker in its

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
-RANGES = 64
+RANGE_ROWS = 500_000
+MAX_RANGES = 4096
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -47,24 +48,39 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> list:
-    """Cut points of the order columns, from a sample of at most a few thousand rows."""
-    wanted = 20 * ranges
+def range_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None, rows: int = RANGE_ROWS) -> list[tuple]:
+    """Cut points of the order columns, from a bounded sample; a range for each ``rows`` rows unless their number is given."""
     total = df.count()
-    share = min(1.0, 1.5 * wanted / max(total, 1))
-    picked = df.select(*order).sample(False, share, 11).limit(2 * wanted).collect()
+    wanted = ranges or max(1, min(MAX_RANGES, total // rows))
+    if wanted < 2:
+        return []
+    size = 20 * wanted
+    picked = df.select(*order).sample(False, min(1.0, 1.5 * size / max(total, 1)), 11).limit(2 * size).collect()
     points = sorted((tuple(r) for r in picked if all(v is not None and v == v for v in r)))
-    step = max(1, len(points) // ranges)
+    step = max(1, len(points) // wanted)
     return sorted(set(points[step::step]))
 
 
-def rank_among(value: Column, cuts: Sequence[Column], first: int = 0) -> Column:
-    """Number of sorted cut points at or below a value, by halving."""
-    if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(value < cuts[middle], rank_among(value, cuts[:middle], first)).otherwise(
-        rank_among(value, cuts[middle + 1:], first + middle + 1))
+def rank_among(value: Column, cuts: Column, size: int) -> Column:
+    """Number of sorted cut points at or below a value, by halving.
+
+    The value is handed to the search inside an array: an optimizer rule that carries conditions across a join
+    overlooks columns that stand in a lambda body.
+    """
+    if size == 0:
+        return F.lit(0)
+
+    def search(v: Column) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            middle = F.shiftright(at["low"] + at["high"], 1)
+            right = F.coalesce(F.get(cuts, middle) <= v, F.lit(False))
+            return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"),
+                            F.when(right, at["high"]).otherwise(middle).alias("high"))
+
+        steps = F.array(*[F.lit(i) for i in range(size.bit_length())])
+        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(size).alias("high")), halve, lambda at: at["low"])
+
+    return F.get(F.transform(F.array(value), search), F.lit(0))
 
 
 def range_of(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple]) -> Column:
@@ -72,14 +88,15 @@ def range_of(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple]) -> Co
     types = [df.schema[c].dataType for c in order]
     if len(order) == 1:
         here = F.col(order[0])
-        cuts = [F.lit(point[0]).cast(types[0]) for point in bounds]
-        return F.when(here.isNull(), F.lit(0)).otherwise(rank_among(here, cuts))
+        cuts = F.array(*[F.lit(point[0]).cast(types[0]) for point in bounds])
+        return F.when(here.isNull(), F.lit(0)).otherwise(rank_among(here, cuts, len(bounds)))
     here = F.struct(*[F.col(c) for c in order])
-    return rank_among(here, [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, types, order)]) for p in bounds])
+    cuts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, types, order)]) for p in bounds])
+    return rank_among(here, cuts, len(bounds))
 
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
-                maxes: Mapping[str, Column] | None = None, hot_rows: int = HOT_ROWS, ranges: int = RANGES,
+                maxes: Mapping[str, Column] | None = None, hot_rows: int = HOT_ROWS, ranges: int | None = None,
                 sized: DataFrame | None = None) -> DataFrame:
     """Running sums and running maxima along ``order`` inside each key, the row itself included.
 
@@ -105,7 +122,7 @@ def scan_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Ma
 
 
 def scan_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
-                maxes: Mapping[str, Column] | None = None, inclusive: bool = True, ranges: int = RANGES) -> DataFrame:
+                maxes: Mapping[str, Column] | None = None, inclusive: bool = True, ranges: int | None = None) -> DataFrame:
     """The scan with each key cut into ranges, for keys of any size."""
     sums, maxes = dict(sums or {}), dict(maxes or {})
     cut = df.withColumn("_range", range_of(df, order, range_bounds(df, order, ranges)))
@@ -134,13 +151,13 @@ def scan_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
-                hot_rows: int = HOT_ROWS, ranges: int = RANGES) -> DataFrame:
+                hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
     """Positions 1, 2, 3 ... inside each key, or over the whole table when there are no keys."""
     return prefix_scan(df, keys, order, sums={name: F.lit(1).cast("long")}, hot_rows=hot_rows, ranges=ranges)
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, limit: int, near: int = 100_000,
-         ranges: int = RANGES) -> DataFrame:
+         ranges: int | None = None) -> DataFrame:
     """Rows offset+1 .. offset+limit of the ordered table.
 
     A page near the top is a top-k. A deep one is found by position, so no task sorts all that lies before it.

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import RANGES, is_small, range_bounds, rank_among
+from tallyloom.operators.ordering import is_small, range_bounds, rank_among
 
 COMPARE = {
     "=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
@@ -23,6 +23,7 @@ JOIN_TYPES = {
     "inner": "inner", "left": "left", "right": "right", "full": "full",
 }
 SMALL_ROWS = 50_000
+BLOCK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ def compare(op: str, left: Column, right: Column) -> Column:
 
 
 def comparison_join(left: Side, right: Side, op: str, how: str, small_rows: int = SMALL_ROWS,
-                    ranges: int = RANGES) -> DataFrame:
+                    ranges: int | None = None) -> DataFrame:
     """Join of two aliased frames on ``left.column op right.column``."""
     test = compare(op, left.value, right.value)
     if op == "=":
@@ -57,10 +58,11 @@ def comparison_join(left: Side, right: Side, op: str, how: str, small_rows: int
 
 def _join_in_ranges(left: Side, right: Side, op: str, how: str, ranges: int) -> DataFrame:
     points = right.frame.select(right.value.alias("point")).filter("point IS NOT NULL")
-    bounds = [p for (p,) in range_bounds(points, ["point"], ranges)]
+    bounds = [p for (p,) in range_bounds(points, ["point"], ranges, BLOCK_ROWS)]
+    cuts = F.array(*[F.lit(p) for p in bounds])
 
     def place(value: Column) -> Column:
-        return rank_among(value, [F.lit(p) for p in bounds])
+        return rank_among(value, cuts, len(bounds))
 
     last = F.lit(len(bounds))
     if op in ("<", "<="):
@@ -99,7 +101,7 @@ def _has_partner(left: Side, right: Side, op: str, ranges: int) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def pattern_join(left: Side, right: Side, how: str, small_rows: int = SMALL_ROWS, ranges: int = RANGES) -> DataFrame:
+def pattern_join(left: Side, right: Side, how: str, small_rows: int = SMALL_ROWS, ranges: int | None = None) -> DataFrame:
     """Join on ``left.column LIKE right.column``, whatever the sizes.
 
     With two large sides the distinct texts and patterns are matched first; the rows then follow by equality.
@@ -125,7 +127,7 @@ def pattern_join(left: Side, right: Side, how: str, small_rows: int = SMALL_ROWS
 
 
 def literal_join(left: DataFrame, right: DataFrame, test: Column, how: str, small_rows: int = SMALL_ROWS,
-                 blocks: int = RANGES) -> DataFrame:
+                 blocks: int = 64) -> DataFrame:
     """ON names a left column and a literal only, so a left row that passes meets every right row.
 
     The answer has that many rows by definition. The right side is broadcast when counted small; else it is

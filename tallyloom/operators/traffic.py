@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import (
-    HOT_ROWS, RANGES, first_and_last, range_bounds, range_of, split_hot)
+    HOT_ROWS, first_and_last, range_bounds, range_of, split_hot)
 
 SPEED_LIMIT = 130
 FPS = 30
@@ -57,7 +57,27 @@ def _rows() -> Column:
 
 
 def vehicle_table(events: DataFrame, keys: Sequence[str] = KEYS, order: str = "event_id") -> DataFrame:
-    """Per vehicle: maximum speed, sightings, first type, last direction, first and last frame."""
+    """Per vehicle: maximum speed, sightings, first type, last direction, first and last frame.
+
+    The first step counts by type and direction too, which needs numbers only and so is hashed without a sort; the
+    second picks the first type and the last direction from the few rows of each vehicle.
+    """
+    seen = events.groupBy(*keys, "vehicle_type", "direction").agg(
+        F.max("estimated_speed_kmh").alias("max_speed"), _rows().alias("sightings"),
+        F.min(order).alias("_from"), F.max(order).alias("_to"),
+        F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"),
+    )
+    first_type, _ = first_and_last("vehicle_type", "_from")
+    _, last_direction = first_and_last("direction", "_to")
+    return seen.groupBy(*keys).agg(
+        F.max("max_speed").alias("max_speed"), F.sum("sightings").alias("sightings"),
+        first_type.alias("vehicle_type"), last_direction.alias("direction"),
+        F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"),
+    )
+
+
+def vehicle_table_at_once(events: DataFrame, keys: Sequence[str] = KEYS, order: str = "event_id") -> DataFrame:
+    """The vehicle table in one aggregation, as a stream has to keep it."""
     first_type, _ = first_and_last("vehicle_type", order)
     _, last_direction = first_and_last("direction", order)
     return events.groupBy(*keys).agg(
@@ -311,7 +331,7 @@ def _speed(now: Column, start: Column, seen: Column, fps: int, least: int) -> Co
 
 def trailing_speed(events: DataFrame, keys: Sequence[str] = ("video_id", "car_id"), order: Sequence[str] = ("event_id",),
                    position: str = "position_y", buffer: int = BUFFER, fps: int = FPS, least: int = MIN_SIGHTINGS,
-                   hot_rows: int = HOT_ROWS, ranges: int = RANGES, sized: DataFrame | None = None) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, ranges: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """Speed from the last ``buffer`` positions of a vehicle: way from first to last over their number of frames.
 
     A vehicle with very many sightings is cut into ranges; each range is led in by the positions just before it.

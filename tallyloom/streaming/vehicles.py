@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators import traffic
+from tallyloom.operators.ordering import first_and_last
 from tallyloom.sources.versions import current_version, read_version, write_version
 from tallyloom.streaming.runs import drain
 
@@ -27,7 +28,7 @@ def running_summary(events: DataFrame, root: str, n: int, keys: Sequence[str] =
 
     The stream holds the vehicle table as its state. A batch writes one version of the figures, named by its number.
     """
-    vehicles = traffic.vehicle_table(events, keys, order)
+    vehicles = traffic.vehicle_table_at_once(events, keys, order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_version(traffic.long_form(traffic.figures(batch)), root, f"batch-{batch_id}")
@@ -36,19 +37,25 @@ def running_summary(events: DataFrame, root: str, n: int, keys: Sequence[str] =
 
 
 def _partials(events: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Vehicle figures of one batch in a form that can be merged with those of other batches."""
-    first = F.when(F.col("vehicle_type").isNotNull(), F.struct(F.col(order).alias("at"), F.col("vehicle_type").alias("v")))
-    last = F.when(F.col("direction").isNotNull(), F.struct(F.col(order).alias("at"), F.col("direction").alias("v")))
-    return events.groupBy(*keys).agg(
+    """Vehicle figures of one batch by type and direction, in a form that can be merged with those of other batches."""
+    return events.groupBy(*keys, "vehicle_type", "direction").agg(
         F.max("estimated_speed_kmh").alias("max_speed"), F.count(F.lit(1)).alias("sightings"),
-        F.min(first).alias("first_type"), F.max(last).alias("last_direction"),
+        F.min(order).alias("from"), F.max(order).alias("to"),
         F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"))
 
 
-def _merged(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _added_up(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return partials.groupBy(*keys, "vehicle_type", "direction").agg(
+        F.max("max_speed").alias("max_speed"), F.sum("sightings").alias("sightings"),
+        F.min("from").alias("from"), F.max("to").alias("to"),
+        F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"))
+
+
+def _vehicles(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
     return partials.groupBy(*keys).agg(
         F.max("max_speed").alias("max_speed"), F.sum("sightings").alias("sightings"),
-        F.min("first_type")["v"].alias("vehicle_type"), F.max("last_direction")["v"].alias("direction"),
+        first_and_last("vehicle_type", "from")[0].alias("vehicle_type"),
+        first_and_last("direction", "to")[1].alias("direction"),
         F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"))
 
 
@@ -68,11 +75,8 @@ def refresh_stats(events: DataFrame, root: str, n: int, keys: Sequence[str] = tr
             own = _partials(batch, keys, order)
             if current_version(spark, tables) is not None:
                 own = own.unionByName(read_version(spark, tables))
-            write_version(own.groupBy(*keys).agg(
-                F.max("max_speed").alias("max_speed"), F.sum("sightings").alias("sightings"),
-                F.min("first_type").alias("first_type"), F.max("last_direction").alias("last_direction"),
-                F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame")), tables, label)
-        vehicles = _merged(read_version(spark, tables), keys)
+            write_version(_added_up(own, keys), tables, label)
+        vehicles = _vehicles(read_version(spark, tables), keys)
         write_version(traffic.long_form(traffic.figures(vehicles)), f"{root}/stats", label)
 
     drain(events, "refresh", n, each=write, checkpoint=checkpoint)
