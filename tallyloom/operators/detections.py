@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tallyloom.session import shared_folder
 CONFIDENCE = 0.3
 OVERLAP = 0.7
 FRAME_BOXES = 256
+CROWD_BOXES = 20_000
 FRAME = ("video_id", "frame_id")
 
 
@@ -27,22 +30,30 @@ def in_zone(boxes: DataFrame, zone: Sequence[geometry.Point] = geometry.ROAD_ZON
 
 
 def suppress(boxes: DataFrame, threshold: float = OVERLAP, frame: Sequence[str] = FRAME, order: str = "event_id",
-             frame_boxes: int = FRAME_BOXES, grid: bool | None = None) -> DataFrame:
+             frame_boxes: int = FRAME_BOXES, crowd_boxes: int = CROWD_BOXES) -> DataFrame:
     """Greedy overlap suppression in each frame and class.
 
     Boxes are taken by falling confidence, equals by rising ``order``, which is a unique number; a box is
-    dropped when it overlaps one already kept by more than the threshold. A frame with few boxes is folded in one go.
-    A frame with more is worked on in a grid of cells, with the same outcome.
+    dropped when it overlaps one already kept by more than the threshold. A frame with few boxes is folded by
+    expressions and a crowded one, up to a set size, by array arithmetic. Frames beyond that are worked on in a grid
+    of cells. The outcome is the same.
     """
     keys = [*frame, "class_id"]
-    large = boxes.groupBy(*keys).count().filter(F.col("count") > frame_boxes).select(*keys)
-    if grid is None:
-        grid = not large.isEmpty()
-    if not grid:
+    counts = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    largest = counts.agg(F.max("_size")).first()[0] or 0
+    if largest <= frame_boxes:
         return _fold(boxes, keys, threshold, order)
-    small = boxes.join(large, keys, "left_anti")
-    rest = boxes.join(large, keys, "left_semi")
-    return _fold(small, keys, threshold, order).unionByName(_grid(rest, keys, threshold, order))
+
+    def between(low: int, high: int | None) -> DataFrame:
+        test = F.col("_size") > low
+        return boxes.join(counts.filter(test if high is None else test & (F.col("_size") <= high)).select(*keys), keys, "left_semi")
+
+    small = _fold(between(0, frame_boxes), keys, threshold, order)
+    crowded = _fold_arrays(between(frame_boxes, max(crowd_boxes, frame_boxes)), keys, threshold, order)
+    kept = small.unionByName(crowded)
+    if largest <= crowd_boxes:
+        return kept
+    return kept.unionByName(_grid(between(max(crowd_boxes, frame_boxes), None), keys, threshold, order))
 
 
 def _fold(boxes: DataFrame, keys: Sequence[str], threshold: float, order: str) -> DataFrame:
@@ -59,6 +70,32 @@ def _fold(boxes: DataFrame, keys: Sequence[str], threshold: float, order: str) -
     return kept.select(*[F.col(f"_box.{n}").alias(n) for n in names])
 
 
+def _fold_arrays(boxes: DataFrame, keys: Sequence[str], threshold: float, order: str) -> DataFrame:
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        ranked = rows.sort_values(["confidence", order], ascending=[False, True])
+        return ranked[_greedy(ranked[["x1", "y1", "x2", "y2"]].to_numpy(dtype="float64"), threshold)]
+
+    return boxes.groupBy(*keys).applyInPandas(keep, boxes.schema)
+
+
+def _greedy(ranked: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the ranked boxes are kept."""
+    x1, y1, x2, y2 = ranked.T
+    area = (x2 - x1) * (y2 - y1)
+    undecided = np.arange(len(ranked))
+    kept = np.zeros(len(ranked), dtype=bool)
+    while len(undecided):
+        best, rest = undecided[0], undecided[1:]
+        kept[best] = True
+        across = np.maximum(np.minimum(x2[rest], x2[best]) - np.maximum(x1[rest], x1[best]), 0.0)
+        down = np.maximum(np.minimum(y2[rest], y2[best]) - np.maximum(y1[rest], y1[best]), 0.0)
+        shared = across * down
+        union = area[rest] + area[best] - shared
+        share = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+        undecided = rest[share <= threshold]
+    return kept
+
+
 def _grid(boxes: DataFrame, keys: Sequence[str], threshold: float, order: str) -> DataFrame:
     """Suppression in rounds.
 

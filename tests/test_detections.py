@@ -44,36 +44,36 @@ def crowd(seed, n, spread, sizes, frames=1):
 
 @pytest.mark.parametrize("threshold", [0.3, 0.7])
 @pytest.mark.parametrize("rows", [
-    crowd(1, 300, 60, [40, 45, 50]), crowd(2, 200, 5, [40]), crowd(3, 300, 200, [10, 20, 40, 80]), crowd(4, 400, 100, [30, 33], 5),
+    crowd(1, 150, 60, [40, 45, 50]), crowd(2, 100, 5, [40]), crowd(3, 150, 100, [10, 20, 40, 80]), crowd(4, 200, 80, [30, 33], 5),
 ], ids=["dense", "almost copies", "mixed sizes", "frames"])
 def test_fold_and_grid_equal_a_plain_loop(spark, rows, threshold):
     boxes = boxes_of(spark, rows).cache()
     want = greedy(boxes.collect(), threshold)
-    for grid, limit in ((False, 10**6), (True, 0), (True, 60)):
-        got = sorted(r["event_id"] for r in d.suppress(boxes, threshold, frame_boxes=limit, grid=grid).collect())
-        assert got == want, (grid, limit)
+    for few, many in ((10**6, 10**6), (0, 10**6), (0, 0)):
+        got = sorted(r["event_id"] for r in d.suppress(boxes, threshold, frame_boxes=few, crowd_boxes=many).collect())
+        assert got == want, (few, many)
 
 
-def test_large_frames_are_found_without_being_told(spark):
-    boxes = boxes_of(spark, crowd(5, 150, 40, [30]))
+def test_each_frame_goes_its_own_way(spark):
+    rows = [(v, *rest) for v, n in (("few", 8), ("some", 40), ("many", 90)) for (_, *rest) in crowd(n, n, 30, [20])]
+    boxes = boxes_of(spark, rows).withColumn("class_id", F.lit(2))
     want = greedy(boxes.collect(), 0.7)
-    assert sorted(r["event_id"] for r in d.suppress(boxes, frame_boxes=20).collect()) == want
+    assert sorted(r["event_id"] for r in d.suppress(boxes, frame_boxes=10, crowd_boxes=50).collect()) == want
 
 
 def test_copies_leave_one(spark):
     boxes = boxes_of(spark, [("v", 1, 5.0, 5.0, 10.0, 10.0, 0.5, 2)] * 40)
-    assert [r["event_id"] for r in d.suppress(boxes, frame_boxes=0).collect()] == [0]
+    assert [r["event_id"] for r in d.suppress(boxes, frame_boxes=0, crowd_boxes=0).collect()] == [0]
 
 
 def test_middle_box_falls_and_the_outer_two_stay(spark):
     rows = [("v", 1, 0.0, 0.0, 10.0, 10.0, 0.9, 2), ("v", 1, 1.0, 0.0, 10.0, 10.0, 0.8, 2), ("v", 1, 2.0, 0.0, 10.0, 10.0, 0.7, 2)]
     boxes = boxes_of(spark, rows)
-    for limit in (0, 100):
-        assert sorted(r["event_id"] for r in d.suppress(boxes, 0.7, frame_boxes=limit).collect()) == [0, 2]
+    for few, many in ((100, 100), (0, 100), (0, 0)):
+        assert sorted(r["event_id"] for r in d.suppress(boxes, 0.7, frame_boxes=few, crowd_boxes=many).collect()) == [0, 2]
 
 
 def test_no_boxes(spark):
-    assert d.suppress(boxes_of(spark, []), grid=True).count() == 0
     assert d.suppress(boxes_of(spark, [])).count() == 0
 
 
