@@ -105,6 +105,10 @@ def top_routes(flights: DataFrame, passengers: DataFrame, k: int = 10) -> DataFr
     joined = flights.join(passengers, "flight_id")
     routes = joined.groupBy("origin", "destination").agg(
         F.sum("ticket_price").alias("_revenue"), F.count("passport_id").alias("passengers"))
+    return _route_list(routes, k)
+
+
+def _route_list(routes: DataFrame, k: int) -> DataFrame:
     ranked = routes.orderBy(F.col("_revenue").desc(), F.col("origin").asc(), F.col("destination").asc()).limit(k)
     return ranked.select(
         F.concat("origin", F.lit(" → "), "destination").alias("route"),
@@ -124,3 +128,30 @@ def delay_by_airport(flights: DataFrame, k: int = 10) -> DataFrame:
 
 def delay_by_airline(flights: DataFrame) -> DataFrame:
     return _delays(flights, "airline", "airline").orderBy(F.col("avg_delay").desc(), F.col("airline").asc())
+
+
+def report_page(flights: DataFrame, passengers: DataFrame, airports: DataFrame,
+                active: Sequence[str] = ACTIVE_STATUSES) -> dict[str, DataFrame]:
+    """The header and the nine reports of the page, by name.
+
+    Flights meet passengers once: the totals per airline and route are kept, and three reports add them up.
+    """
+    joined = flights.join(passengers, "flight_id")
+    totals = joined.groupBy("airline", "origin", "destination").agg(
+        F.sum("ticket_price").alias("ticket_price"), F.count("passport_id").alias("_passengers")).persist()
+    by_airline = totals.groupBy("airline").agg(
+        F.sum("_passengers").alias("count"), _money(F.sum("ticket_price")).alias("revenue"))
+    routes = totals.groupBy("origin", "destination").agg(
+        F.sum("ticket_price").alias("_revenue"), F.sum("_passengers").alias("passengers"))
+    return {
+        "summary": kpi_summary(flights, passengers, airports, active),
+        "top_airports": top_airports(flights),
+        "top_airlines": by_airline.select("airline", "count").orderBy(F.col("count").desc(), "airline").limit(10),
+        "status_distribution": distribution(flights, "status"),
+        "class_distribution": distribution(passengers, "class"),
+        "revenue_by_class": revenue_by_class(passengers),
+        "revenue_by_airline": by_airline.select("airline", "revenue").orderBy(F.col("revenue").desc(), "airline"),
+        "top_routes": _route_list(routes, 10),
+        "delay_by_airport": delay_by_airport(flights),
+        "delay_by_airline": delay_by_airline(flights),
+    }

@@ -105,7 +105,7 @@ def traffic(spark: SparkSession, folder: str) -> DataFrame:
 
 def traffic_rows(events: DataFrame) -> DataFrame:
     car = F.col("event_id") % CARS
-    frame = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    frame = (F.col("ts") - F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).cast("interval hour")
     kind = (
         F.when(F.col("event_type").isin("click", "view"), F.lit("car"))
         .when(F.col("event_type") == "purchase", F.lit("truck"))

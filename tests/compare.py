@@ -72,7 +72,11 @@ def main(wanted, folder):
     import __spark_entry__ as entry
     from tallyloom.session import get_session
 
-    spark = get_session("compare", "local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = get_session("compare", "local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     sqls = entry.oracle_sql()
     bad = 0
