@@ -135,13 +135,14 @@ def _parts(turns: DataFrame, part_turns: int) -> DataFrame:
         turns.withColumn("_own", _own_turn()).filter(F.col("_own").isNotNull())
         .groupBy("conv_id", "scenario", _part(F.col("_own"), part_turns).alias("part"))
         .agg(F.array_sort(F.collect_list(item)).alias("_items")))
-    replies = F.map_from_entries(F.transform(
-        F.filter("_items", lambda x: x["is_reply"]), lambda x: F.struct(x["at"].alias("key"), x["text"].alias("value"))))
-    asked = F.filter("_items", lambda x: ~x["is_reply"])
-    answered = grouped.withColumns({"_replies": replies, "_asked": asked})
-    pairs = F.transform("_asked", lambda x: F.struct(
-        x["at"].alias("at"), x["text"].alias("message"), F.try_element_at(F.col("_replies"), x["at"]).alias("reply")))
-    return answered.select("conv_id", "scenario", "part", pairs.alias("pairs"))
+    # In this order a reply stands right after its message.
+    def pair(x: Column, i: Column) -> Column:
+        after = F.get(F.col("_items"), i + 1)
+        return F.struct(x["at"].alias("at"), x["is_reply"].alias("is_reply"), x["text"].alias("message"),
+                        F.when(after["is_reply"] & (after["at"] == x["at"]), after["text"]).alias("reply"))
+
+    pairs = F.filter(F.transform("_items", pair), lambda x: ~x["is_reply"])
+    return grouped.select("conv_id", "scenario", "part", pairs.alias("pairs"))
 
 
 def _script() -> Column:

@@ -29,10 +29,10 @@ def insert(base: DataFrame, rows: DataFrame) -> DataFrame:
 
 def assign_keys(base: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The batch with keys that follow the highest key of the table, in the order of the batch."""
-    top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    placed = number_rows(batch, [], order, "_position").crossJoin(F.broadcast(top))
+    top = base.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
     kind = base.schema[key].dataType
-    return placed.withColumn(key, (F.col("_top") + F.col("_position")).cast(kind)).drop("_top", "_position")
+    placed = number_rows(batch, [], order, "_position")
+    return placed.withColumn(key, (top + F.col("_position")).cast(kind)).drop("_position")
 
 
 def insert_keyed(base: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -28,11 +28,17 @@ def _average(amount: str) -> Column:
     return F.try_divide(F.sum(amount).cast("double"), F.count(amount).cast("double"))
 
 
+def _beside(one: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames side by side: the others come in as scalar subqueries, each a struct of its columns."""
+    cells = [o.select(F.struct("*")).scalar().alias(f"_{i}") for i, o in enumerate(others)]
+    return one.select("*", *cells).select(*one.columns, *[f"_{i}.*" for i in range(len(others))])
+
+
 def kpi_counts(flights: DataFrame, passengers: DataFrame, airports: DataFrame) -> DataFrame:
-    return (
-        flights.agg(_rows().alias("total_flights"))
-        .crossJoin(passengers.agg(_rows().alias("total_passengers")))
-        .crossJoin(airports.agg(_rows().alias("total_airports")))
+    return _beside(
+        flights.agg(_rows().alias("total_flights")),
+        passengers.agg(_rows().alias("total_passengers")),
+        airports.agg(_rows().alias("total_airports")),
     )
 
 
@@ -50,7 +56,7 @@ def kpi_avg_price(passengers: DataFrame) -> DataFrame:
 
 def kpi_summary(flights: DataFrame, passengers: DataFrame, airports: DataFrame,
                 active: Sequence[str] = ACTIVE_STATUSES) -> DataFrame:
-    """The whole header as one row: one pass per table, then one-row frames side by side."""
+    """The whole header as one row, with one pass per table."""
     flown = flights.agg(
         _rows().alias("total_flights"),
         F.count(F.when(F.col("status").isin(*active), 1)).alias("active_flights"),
@@ -60,7 +66,7 @@ def kpi_summary(flights: DataFrame, passengers: DataFrame, airports: DataFrame,
         F.coalesce(_money(F.sum("ticket_price")), F.lit(0.0)).alias("total_revenue"),
         F.round(F.coalesce(_average("ticket_price"), F.lit(0.0)), 4).alias("avg_ticket_price"),
     )
-    return flown.crossJoin(paid).crossJoin(airports.agg(_rows().alias("total_airports"))).select(
+    return _beside(flown, paid, airports.agg(_rows().alias("total_airports"))).select(
         "total_flights", "total_passengers", "active_flights", "total_airports", "total_revenue", "avg_ticket_price")
 
 

@@ -166,7 +166,9 @@ def _join(frame: DataFrame, base: DataFrame, base_alias: str, step: Join, tables
     if step.op == "IN":
         if how != "inner":
             raise RequestError("membership is an inner join")
-        return frame.join(right, left_side.value == right_side.value, "left_semi"), None
+        # Distinct first: a value that fills the right side would end up in one task of the semi-join.
+        listed = other.select(F.col(step.column).alias("_listed")).distinct()
+        return frame.join(listed, left_side.value == F.col("_listed"), "left_semi"), None
     if step.op == "LIKE":
         return pairing.pattern_join(left_side, right_side, how), (alias, other.columns)
     if step.op not in pairing.COMPARE:
@@ -236,7 +238,11 @@ def _aggregate(frame: DataFrame, base: DataFrame, request: Request) -> DataFrame
         if out is None:
             out = parts
         elif not keys:
-            out = out.crossJoin(parts)
+            # One row of figures: beside each part, or alone when there is no text.
+            figures = out.select(F.struct("*")).scalar()
+            alone = out.withColumns({"part": F.lit(None).cast("long"), m.alias: F.lit(None).cast("string")})
+            beside = parts.withColumn("_figures", figures).select("_figures.*", "part", m.alias)
+            out = alone.filter(parts.agg(F.count(F.lit(1))).scalar() == 0).unionByName(beside)
         else:
             named = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "part", m.alias)
             same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])

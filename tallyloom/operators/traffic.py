@@ -209,14 +209,14 @@ def value_counts(vehicles: DataFrame, column: str) -> DataFrame:
 def speed_histogram(vehicles: DataFrame, bins: int = BINS) -> DataFrame:
     """Equal bins over [min, max]; the maximum belongs to the last bin, and one value alone makes one bin.
 
-    Speeds are counted before the range is known, so the range joins a table with one row per speed.
+    Speeds are counted before the range is looked up, so the second step sees one row per speed.
     """
     counted = vehicles.groupBy("max_speed").agg(_rows().alias("n"))
-    span = counted.agg(F.min("max_speed").alias("low"), F.max("max_speed").alias("high"))
+    span = counted.agg(F.struct(F.min("max_speed").alias("low"), F.max("max_speed").alias("high"))).scalar()
     width = (F.col("high") - F.col("low")).cast("double") / F.lit(float(bins))
     at = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor(F.try_divide(F.col("max_speed") - F.col("low"), width)), F.lit(bins - 1)))
-    placed = counted.crossJoin(F.broadcast(span)).select(at.cast("int").alias("bin"), "low", width.alias("width"), "n")
+    placed = counted.withColumn("_span", span).select("max_speed", "n", "_span.*").select(at.cast("int").alias("bin"), "low", width.alias("width"), "n")
     return placed.groupBy("bin").agg(
         F.round(F.first(F.col("low") + F.col("bin") * F.col("width")), 4).alias("bin_start"),
         F.round(F.first(F.col("low") + (F.col("bin") + 1) * F.col("width")), 4).alias("bin_end"),
@@ -278,8 +278,7 @@ def direction_over_time(events: DataFrame) -> DataFrame:
     counted = (
         events.filter(F.col("direction").isNotNull())
         .groupBy(frame_bucket(F.col("frame_id")).alias("frame_interval"), "direction").agg(_rows().alias("count")))
-    usable = counted.agg(F.max(_usable_heading()).alias("_usable")).filter("_usable")
-    return counted.crossJoin(F.broadcast(usable)).drop("_usable")
+    return counted.filter(counted.agg(F.max(_usable_heading())).scalar())
 
 
 def flow_over_time(events: DataFrame) -> DataFrame:
@@ -310,7 +309,7 @@ def forecast(events: DataFrame, share: float = FORECAST_SHARE, stride: int = 10_
     Future frames are laid out in strides that spread over the tasks.
     """
     flow = events.groupBy("frame_id").agg(_rows().alias("vehicle_count"), F.max(_usable_time()).alias("_timed"))
-    line = trend(flow).crossJoin(flow.agg(F.max("_timed").alias("_timed")).filter("_timed"))
+    line = trend(flow).filter(flow.agg(F.max("_timed")).scalar())
     steps = F.greatest(F.lit(1).cast("long"), ((F.col("last_x") - F.col("first_x")) * F.lit(share)).cast("long"))
     bounds = line.select("slope", "intercept", (F.col("last_x") + 1).alias("_from"), (F.col("last_x") + steps).alias("_to"))
     strides = bounds.withColumn("_at", F.explode(F.expr(f"sequence(_from, _to, {stride}L)"))).repartition("_at")
@@ -318,8 +317,9 @@ def forecast(events: DataFrame, share: float = FORECAST_SHARE, stride: int = 10_
         "frame_id", F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + F.lit(stride - 1), F.col("_to")))))
     future = ahead.select("frame_id", (F.col("intercept") + F.col("slope") * F.col("frame_id")).alias("vehicle_count"),
                           F.lit("Forecast").alias("type"))
-    past = flow.select("frame_id", F.col("vehicle_count").cast("double").alias("vehicle_count"), F.lit("Historical").alias("type"))
-    return past.crossJoin(F.broadcast(line.select("points"))).drop("points").unionByName(future)
+    past = flow.filter(line.select("points").scalar().isNotNull()).select(
+        "frame_id", F.col("vehicle_count").cast("double").alias("vehicle_count"), F.lit("Historical").alias("type"))
+    return past.unionByName(future)
 
 
 # Speed from positions

@@ -156,3 +156,11 @@ def test_concat_parts_make_the_whole(spark, hot_rows, part_size):
         assert [r["part"] for r in pieces] == list(range(len(pieces)))
         assert all(len(r["v"].split("|")) <= part_size for r in pieces)
         assert "|".join(r["v"] for r in pieces) == "|".join(sorted(v for k, v in rows if k == g and v))
+
+
+def test_text_beside_figures_without_groups(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "n int, s string")
+    measures = (Measure("CONCAT_WS", "s"), Measure("SUM", "n"))
+    assert [tuple(r) for r in run_request(Request("t", measures=measures), {"t": df}).collect()] == [(6, 0, "a,b")]
+    none = df.filter("s IS NULL")
+    assert [tuple(r) for r in run_request(Request("t", measures=measures), {"t": none}).collect()] == [(2, None, None)]
