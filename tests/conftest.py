@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from tallyloom.session import get_session
 
-    session = get_session("tests", "local[8]", 8, **{
+    session = get_session("tests", "local[8]", 4, **{
         "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.sql.warehouse.dir": _warehouse()})
     session.sparkContext.setLogLevel("ERROR")
     yield session

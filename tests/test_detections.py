@@ -42,9 +42,9 @@ def crowd(seed, n, spread, sizes, frames=1):
              rng.randrange(20) / 20, rng.choice([2, 7])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.7])
-@pytest.mark.parametrize("rows", [
-    crowd(1, 150, 60, [40, 45, 50]), crowd(2, 100, 5, [40]), crowd(3, 150, 100, [10, 20, 40, 80]), crowd(4, 200, 80, [30, 33], 5),
+@pytest.mark.parametrize("rows, threshold", [
+    (crowd(1, 120, 60, [40, 45, 50]), 0.3), (crowd(2, 100, 5, [40]), 0.7), (crowd(3, 100, 80, [10, 20, 40, 80]), 0.7),
+    (crowd(4, 160, 80, [30, 33], 5), 0.7),
 ], ids=["dense", "almost copies", "mixed sizes", "frames"])
 def test_fold_and_grid_equal_a_plain_loop(spark, rows, threshold):
     boxes = boxes_of(spark, rows).cache()
