@@ -21,30 +21,33 @@ RISKY_FRAGMENTS = (
     r"exec\s*\(",
     r"execute\s*\(",
 )
+# A text with none of these, in small letters, holds no such fragment.
+RISKY_WORDS = ("--", "/*", ";", "union", "drop", "delete", "insert", "update", "exec")
+# All characters that count as white space.
+WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_.]*$"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-# A text with none of these, in small letters, holds no risky fragment.
-RISKY_STARTS = ("--", "/*", ";", "union", "drop", "delete", "insert", "update", "exec")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def sanitize(text: Column) -> Column:
     """A text without risky SQL fragments and with quotes doubled; null becomes empty.
 
-    Most texts hold no fragment, which a search for plain words finds out before any pattern is tried.
+    Most texts hold no fragment. A search for plain words finds that out, and no pattern is tried on them.
     """
+    def doubled(c: Column) -> Column:
+        return F.replace(c, F.lit("'"), F.lit("''"))
+
     plain = strip(F.coalesce(text, F.lit("")))
     out = plain
     for fragment in RISKY_FRAGMENTS:
         out = F.regexp_replace(out, f"(?i){fragment}", "")
-    out = F.when(contains_any(text, RISKY_STARTS), out).otherwise(plain)
-    out = F.replace(out, F.lit("'"), F.lit("''"))
-    return strip(F.regexp_replace(out, r";\s*$", ""))
+    cleared = strip(F.regexp_replace(doubled(out), r";\s*$", ""))
+    return F.when(contains_any(text, RISKY_WORDS), cleared).otherwise(doubled(plain))
 
 
 def is_identifier(text: Column) -> Column:

@@ -51,11 +51,14 @@ def score_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str], loa
     placed = number_rows(df, keys, order, "_position")
     cut = placed.withColumn("_request", F.floor((F.col("_position") - 1) / F.lit(length)).cast("long"))
 
+    models: dict[str, Model] = {}
+
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         if len(batch) < MIN_SEQUENCE:
             return pd.DataFrame({n: [] for n in names})
-        ordered = batch.sort_values("_position")
-        return load(mode)(ordered)
+        if mode not in models:
+            models[mode] = load(mode)
+        return models[mode](batch.sort_values("_position"))
 
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     names = kind.names

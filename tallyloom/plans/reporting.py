@@ -195,9 +195,11 @@ def rows_as_json(spark, folder):
 
 
 def _draw_sql(key: str, field: str, size: int) -> str:
-    block, place = divmod(generate.FIELDS.index(field), 4)
-    digest = f"md5(concat_ws(':', CAST({key} AS VARCHAR), '{block}', '7'))"
-    return f"(CAST('0x' || substr({digest}, {8 * place + 1}, 8) AS BIGINT) % {size})"
+    factor, offset = generate.draw_constants(field, 7)
+    mixed = f"(({key} % {generate.PRIME}) * {factor} + {offset}) % {generate.PRIME}"
+    for _ in range(2):
+        mixed = f"list_aggregate(list_transform([{mixed}], lambda h: (h * h + {offset}) % {generate.PRIME}), 'max')"
+    return f"({mixed} % {size})"
 
 
 def _pick_sql(key: str, field: str, values: list[str]) -> str:

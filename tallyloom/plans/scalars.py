@@ -23,17 +23,20 @@ def fn_route_label(spark, folder):
                          display.route_label(F.col("origin"), F.col("destination")).alias("route"))
 
 
-# A text with risky fragments around a whole document.
-RISKY = ["; DROP TABLE t", " -- 'note'", "/* hidden */ UNION  SELECT 1", " delete from t; ", "O'Hare execute (x) ;  "]
+# What is put at the end of a whole document: some tails are harmless, some hold risky fragments.
+RISKY = [" ", " and so on. \n", " it's done", "; DROP TABLE t", " -- 'note'", "/* hidden */ UNION  SELECT 1", " delete from t; ", "O'Hare execute (x) ;  "]
+
+
+def _strip_sql(expr: str) -> str:
+    return f"trim({expr}, '{text.WHITE}')"
 
 
 def _sanitize_sql(expr: str) -> str:
-    out = f"regexp_replace(coalesce({expr}, ''), '^\\s+|\\s+$', '', 'g')"
+    out = _strip_sql(f"coalesce({expr}, '')")
     for fragment in text.RISKY_FRAGMENTS:
         out = f"regexp_replace({out}, '{fragment}', '', 'gi')"
     out = f"replace({out}, '''', '''''')"
-    out = f"regexp_replace({out}, ';\\s*$', '', 'g')"
-    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+    return _strip_sql(f"regexp_replace({out}, ';\\s*$', '', 'g')")
 
 
 def _list_sql(values):

@@ -1,6 +1,6 @@
 """Synthetic bookings.
 
-Every draw is a digest of (row id, field, seed). A lost task therefore makes the same rows
+Every draw is arithmetic on (row id, field, seed). A lost task therefore makes the same rows
 again, and the data does not depend on how it is partitioned.
 """
 
@@ -24,16 +24,28 @@ SEAT_LETTERS = ["A", "B", "C", "D", "E", "F"]
 PRICE_RANGES = {"Economy": (150, 800), "Business": (1200, 3500), "First Class": (3500, 8000)}
 
 
-# Each field has a place of its own; four places share a digest.
 FIELDS = ("airline", "origin", "step", "days", "hours", "status", "aircraft", "length", "luck", "minor", "major",
           "first", "last", "class", "price", "passport", "exchange", "line", "sex", "flight", "row", "seat", "booked")
+PRIME = 2**31 - 1
+
+
+def draw_constants(field: str, seed: int) -> tuple[int, int]:
+    """Factor and offset of a field: powers of primitive roots of the prime."""
+    place = FIELDS.index(field)
+    return pow(16807, place + 2, PRIME), (pow(48271, place + 3, PRIME) + 69621 * seed) % PRIME
 
 
 def draw(row_id: Column, field: str, seed: int, size: int) -> Column:
-    """A whole number in [0, size) that depends on the row, the field and the seed alone."""
-    block, place = divmod(FIELDS.index(field), 4)
-    digest = F.md5(F.concat_ws(":", row_id.cast("string"), F.lit(str(block)), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 8 * place + 1, 8), 16, 10).cast("long") % size
+    """A whole number in [0, size) that depends on the row, the field and the seed alone.
+
+    The id is scrambled by a line and two squares modulo a prime, which stays within 63 bits.
+    """
+    factor, offset = draw_constants(field, seed)
+    prime, shift = F.lit(PRIME), F.lit(offset)
+    mixed = (F.pmod(row_id.cast("long"), prime) * F.lit(factor) + shift) % prime
+    mixed = (mixed * mixed + shift) % prime
+    mixed = (mixed * mixed + shift) % prime
+    return mixed % size
 
 
 def pick(row_id: Column, field: str, seed: int, values: list[str]) -> Column:
