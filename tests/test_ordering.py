@@ -98,3 +98,36 @@ def test_speed_buffer_moves_on(spark):
     events = spark.createDataFrame(rows, "video_id string, car_id long, event_id long, position_y long")
     got = {r["event_id"]: r["speed"] for r in traffic.trailing_speed(events, buffer=10).collect()}
     assert got[39] == int((39 * 39 - 30 * 30) / (10 / 30) * 3.6)
+
+
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(20,3)", "string"])
+@pytest.mark.parametrize("ranges", [2, 13, 300])
+def test_ranges_of_odd_values_stay_in_order(spark, kind, ranges):
+    rng = random.Random(8)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(1e6, 1), -(2.0 ** 30), 2.0 ** 30]) for _ in range(900)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").withColumn("v", F.col("v").cast(kind))
+    if kind == "double":
+        odd = spark.createDataFrame([(-1, None), (-2, float("nan")), (-3, float("inf")), (-4, float("-inf"))], df.schema)
+        df = df.union(odd)
+    got = ordering.number_rows(df, [], ["v", "i"], ranges=ranges)
+    want = df.withColumn("position", F.row_number().over(Window.orderBy("v", "i")).cast("long"))
+    assert rows_of(got.select("i", "position")) == rows_of(want.select("i", "position"))
+
+
+def test_grid_and_search_agree_on_the_order(spark):
+    cuts = [float(c) for c in sorted(random.Random(4).sample(range(10**6), 200))]
+    df = spark.range(0, 10**6, 997).select(F.col("id").cast("double").alias("v"))
+    ranks = df.select("v", ordering._grid_rank(F.col("v"), cuts).alias("g"),
+                      ordering.rank_among(F.col("v"), F.array(*[F.lit(c) for c in cuts]), len(cuts)).alias("s"))
+    rows = ranks.orderBy("v").collect()
+    assert [r["s"] for r in rows] == [sum(c <= r["v"] for c in cuts) for r in rows]
+    assert all(a["g"] <= b["g"] for a, b in zip(rows, rows[1:]))
+    assert max(abs(r["g"] - r["s"]) for r in rows) <= 3
+
+
+def test_code_travels_with_the_functions():
+    from pyspark import cloudpickle
+
+    from tallyloom.streaming import vehicles
+
+    assert len(cloudpickle.dumps(vehicles._speeds)) > 300
