@@ -94,8 +94,9 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, op: str = "op",
     return alive.select(*[F.when(newer, F.col(f"_set.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
-def commit(spark, root: str, change: Callable[[DataFrame], DataFrame], label: str | None = None) -> str:
+def commit(spark, root: str, change: Callable[[DataFrame], DataFrame], label: str | None = None,
+           keep: int | None = None) -> str:
     """Next version of a table; an error on the way leaves the current version in place."""
     if label is not None and versions.current_version(spark, root) == label:
         return label
-    return versions.write_version(change(versions.read_version(spark, root)), root, label)
+    return versions.write_version(change(versions.read_version(spark, root)), root, label, keep)

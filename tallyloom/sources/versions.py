@@ -60,10 +60,11 @@ def read_version(spark: SparkSession, root: str, version: str | None = None) ->
     return spark.read.parquet(f"{root}/{name}")
 
 
-def write_version(df: DataFrame, root: str, label: str | None = None) -> str:
+def write_version(df: DataFrame, root: str, label: str | None = None, keep: int | None = None) -> str:
     """Replace the table: write a new snapshot, then switch the pointer to it.
 
-    A label that is current already is left alone, which makes a replayed batch harmless.
+    A label that is current already is left alone, which makes a replayed batch harmless. With ``keep`` only that many
+    of the newest snapshots stay.
     """
     spark = df.sparkSession
     name = label or f"v-{uuid.uuid4().hex[:12]}"
@@ -71,9 +72,21 @@ def write_version(df: DataFrame, root: str, label: str | None = None) -> str:
         return name
     df.write.mode("overwrite").parquet(f"{root}/{name}")
     _switch(spark, root, name)
+    if keep is not None:
+        drop_old_versions(spark, root, keep)
     return name
 
 
+def drop_old_versions(spark: SparkSession, root: str, keep: int) -> None:
+    """Delete all but the newest snapshots. The current one always stays."""
+    jvm, folder, fs = _files(spark, root)
+    current = current_version(spark, root)
+    found = [s for s in fs.listStatus(folder) if s.isDirectory() and not s.getPath().getName().startswith("_")]
+    newest = sorted(found, key=lambda s: (s.getPath().getName() == current, s.getModificationTime()), reverse=True)
+    for old in newest[max(keep, 1):]:
+        fs.delete(old.getPath(), True)
+
+
 def _switch(spark: SparkSession, root: str, name: str) -> None:
     jvm, staged, fs = _files(spark, f"{root}/_next-{uuid.uuid4().hex[:12]}")
     stream = fs.create(staged, True)

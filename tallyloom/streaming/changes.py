@@ -13,7 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyloom.functions.text import contains_any
 from tallyloom.operators import maintain
 from tallyloom.operators.conversations import LOST, WON
-from tallyloom.streaming.runs import drain
+from tallyloom.streaming.runs import drain, whole_group
+
+
+KEPT_VERSIONS = 10
 
 
 def apply_stream(changes: DataFrame, root: str, key: str, n: int, checkpoint: str | None = None) -> None:
@@ -22,7 +25,7 @@ def apply_stream(changes: DataFrame, root: str, key: str, n: int, checkpoint: st
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            maintain.commit(spark, root, lambda base: maintain.apply_changes(base, batch, key), f"batch-{batch_id}")
+            maintain.commit(spark, root, lambda base: maintain.apply_changes(base, batch, key), f"batch-{batch_id}", KEPT_VERSIONS)
 
     drain(changes, "changes", n, each=write, checkpoint=checkpoint)
 
@@ -56,14 +59,15 @@ def game_moves(turns: DataFrame, n: int, won: str = WON, lost: str = LOST, sink:
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         game_no, over, asked, consumed = state.get if state.exists else (1, False, -1, False)
         out = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("turn")
-        for turn, asks, has_won, has_lost in rows[["turn", "asks", "won", "lost"]].itertuples(index=False):
+        rows = whole_group(batches)
+        columns = [rows[c].to_numpy()[rows["turn"].to_numpy().argsort()].tolist() for c in ("turn", "asks", "won", "lost")]
+        for turn, asks, has_won, has_lost in zip(*columns):
             if asks:
-                consumed, asked = over, int(turn)
+                consumed, asked = over, turn
                 if over:
                     game_no, over = game_no + 1, False
                 else:
-                    out.append((key[0], game_no, int(turn), 1, None))
+                    out.append((key[0], game_no, turn, 1, None))
             elif turn == asked + 1 and not consumed and (has_won or has_lost):
                 over = True
                 out.append((key[0], game_no, asked, 0, "won" if has_won else "lost"))

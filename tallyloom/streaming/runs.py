@@ -6,9 +6,10 @@ stream, so it is taken from the size of the input rather than from a default.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -45,6 +46,12 @@ def state_partitions(spark: SparkSession, path: str) -> int:
     return max(1, min(allowed, max(wanted, spark.sparkContext.defaultParallelism)))
 
 
+def whole_group(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one key in one batch; most keys have a single frame, which is taken as it is."""
+    frames = list(batches)
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
 @contextmanager
 def partitions(spark: SparkSession, n: int):
     """Shuffle partitions for the stream that starts inside."""

@@ -14,7 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyloom.operators import traffic
 from tallyloom.operators.ordering import first_and_last
 from tallyloom.sources.versions import current_version, read_version, write_version
-from tallyloom.streaming.runs import drain
+from tallyloom.streaming.runs import drain, whole_group
+
+KEPT_VERSIONS = 10
 
 
 def ingest(events: DataFrame, n: int, sink: str | None = None, checkpoint: str | None = None) -> str:
@@ -31,7 +33,7 @@ def running_summary(events: DataFrame, root: str, n: int, keys: Sequence[str] =
     vehicles = traffic.vehicle_table_at_once(events, keys, order)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_version(traffic.long_form(traffic.figures(batch)), root, f"batch-{batch_id}")
+        write_version(traffic.long_form(traffic.figures(batch)), root, f"batch-{batch_id}", KEPT_VERSIONS)
 
     drain(vehicles, "summary", n, mode="complete", each=write, checkpoint=checkpoint)
 
@@ -75,9 +77,9 @@ def refresh_stats(events: DataFrame, root: str, n: int, keys: Sequence[str] = tr
             own = _partials(batch, keys, order)
             if current_version(spark, tables) is not None:
                 own = own.unionByName(read_version(spark, tables))
-            write_version(_added_up(own, keys), tables, label)
+            write_version(_added_up(own, keys), tables, label, KEPT_VERSIONS)
         vehicles = _vehicles(read_version(spark, tables), keys)
-        write_version(traffic.long_form(traffic.figures(vehicles)), f"{root}/stats", label)
+        write_version(traffic.long_form(traffic.figures(vehicles)), f"{root}/stats", label, KEPT_VERSIONS)
 
     drain(events, "refresh", n, each=write, checkpoint=checkpoint)
 
@@ -111,7 +113,7 @@ def vehicle_speed(events: DataFrame, n: int, keys: Sequence[str] = ("video_id",
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order)
+        rows = whole_group(batches).sort_values(order)
         kept = list(state.get[0]) if state.exists else []
         line = np.array(kept + rows[position].tolist(), dtype="int64")
         rows["speed"] = _speeds(line, len(kept), buffer, fps, least)

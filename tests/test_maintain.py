@@ -116,3 +116,12 @@ def test_a_label_is_committed_once(spark, base):
         m.commit(spark, root, lambda t: t.withColumn("id", F.col("id") + 1), "batch-4")
     assert versions.current_version(spark, root) == "batch-4"
     assert [r[0] for r in rows_of(versions.read_version(spark, root))] == [2, 3, 4]
+
+
+def test_old_versions_go_and_the_current_one_stays(spark, base):
+    root = work_path(spark, "people")
+    names = [versions.write_version(base.filter(F.col("id") <= n), root, keep=2) for n in (1, 2, 3)]
+    assert versions.current_version(spark, root) == names[2]
+    assert not versions.is_folder(spark, f"{root}/{names[0]}") and versions.is_folder(spark, f"{root}/{names[1]}")
+    versions.drop_old_versions(spark, root, 0)
+    assert versions.read_version(spark, root).count() == 3
