@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import hostrules, simhash
+from tallyloom.llm import decontaminate, hostrules, pii, simhash
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
 
@@ -26,3 +26,20 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+@LLM.add("op7_decontamination", decontaminate.ORACLE)
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.measured(docs, table(spark, folder, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@LLM.add("op10_personal_data")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", pii.spans(F.col("text")).alias("s"))
+    base = F.filter("s", lambda x: x["kind"].isin(*pii.BASE))
+    counts = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                       pii.joined(F.col("s")).alias("spans"))
