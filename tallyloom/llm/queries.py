@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hostrules, pii, simhash
+from tallyloom.llm import decontaminate, hostrules, packing, pii, simhash
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
 
@@ -43,3 +43,8 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     counts = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return rows.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
                        pii.joined(F.col("s")).alias("spans"))
+
+
+@LLM.add("op5_packing")
+def packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
