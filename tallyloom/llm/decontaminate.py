@@ -259,7 +259,7 @@ s AS (SELECT DISTINCT size FROM g),
 p AS (SELECT r, size, k, list_aggregate(w[k:k + size - 1], 'string_agg', ' ') AS gram
       FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, s)),
 h AS (SELECT r, k, size, name FROM p JOIN g USING (size, gram)),
-n AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS at FROM h) GROUP BY r),
+n AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS w FROM h) GROUP BY r),
 m AS (SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
       FROM (SELECT DISTINCT r, name FROM h) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,

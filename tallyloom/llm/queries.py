@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hostrules, packing, pii, simhash
+from tallyloom.llm import decontaminate, hostrules, packing, pii, secrets, sharding, simhash
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
+from tallyloom.session import work_path
 
 LLM = Book()
 
 
+def _number_of(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 @LLM.add("op4_quality_rules", hostrules.ORACLE)
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
@@ -40,7 +45,7 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", pii.spans(F.col("text")).alias("s"))
     base = F.filter("s", lambda x: x["kind"].isin(*pii.BASE))
-    counts = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    counts = [_number_of("s", kind).alias(f"n_{kind}") for kind in pii.BASE]
     return rows.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
                        pii.joined(F.col("s")).alias("spans"))
 
@@ -48,3 +53,25 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("op5_packing")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@LLM.add("op1_secret_scan", secrets.ORACLE)
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    versions = table(spark, folder, "documents").select("doc_id", "text")
+    ledger = work_path(spark, "secret-ledger")
+    secrets.scan(versions, ledger)
+    found = secrets.findings(versions, ledger)
+    base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
+    counts = [_number_of("spans", rule.name).alias(f"n_{rule.name}") for rule in secrets.BASE]
+    return found.select("version.doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
+
+
+#: One object of a training loader.
+SHARD_BYTES = 1 << 20
+
+
+@LLM.add("op9_sharding", sharding.oracle(SHARD_BYTES))
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sharding.assign(docs, sharding.Shards(limit=SHARD_BYTES)).select("doc.doc_id", "n_bytes", "shard", "shard_bytes", "shard_rows")
