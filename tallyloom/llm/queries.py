@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hostrules, packing, pii, secrets, sharding, simhash
+from tallyloom.llm import decontaminate, hostrules, packing, pii, secrets, sharding, simhash, urltree
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
 from tallyloom.session import work_path
@@ -75,3 +75,13 @@ SHARD_BYTES = 1 << 20
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.assign(docs, sharding.Shards(limit=SHARD_BYTES)).select("doc.doc_id", "n_bytes", "shard", "shard_bytes", "shard_rows")
+
+
+@LLM.add("op6_url_filter", urltree.oracle())
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    urls = table(spark, folder, "pages").select("page_id", urltree.host_of(F.col("url")).alias("host"),
+                                                urltree.path_of(F.col("url")).alias("path"))
+    rule, bad = urltree.rule_for(F.col("host"), F.col("path"))
+    judged = urltree.judge(urls.withColumn("rule", rule).withColumn("bad", bad))
+    verdict = F.when(F.coalesce("doc.bad", "rejected"), "block").otherwise("allow")
+    return judged.select("doc.page_id", "doc.host", "doc.path", "doc.rule", verdict.alias("verdict"), "template")
