@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hostrules, packing, pii, secrets, sharding, simhash, urltree
+from tallyloom.llm import decontaminate, hostrules, packing, pii, secrets, sharding, simhash, templates, urltree
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
 from tallyloom.session import work_path
@@ -85,3 +85,8 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = urltree.judge(urls.withColumn("rule", rule).withColumn("bad", bad))
     verdict = F.when(F.coalesce("doc.bad", "rejected"), "block").otherwise("allow")
     return judged.select("doc.page_id", "doc.host", "doc.path", "doc.rule", verdict.alias("verdict"), "template")
+
+
+@LLM.add("op8_html_extraction")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
