@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hostrules, packing, pii, secrets, sharding, simhash, templates, urltree
+from tallyloom.llm import decontaminate, hostrules, maxent, packing, pii, secrets, sharding, simhash, templates, urltree
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
 from tallyloom.session import work_path
@@ -90,3 +90,10 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("op8_html_extraction")
 def main_text(spark: SparkSession, folder: str) -> DataFrame:
     return templates.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@LLM.add("op2_language_model")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counts, known, weights = maxent.model(docs)
+    return maxent.score(docs, counts, known, weights)
