@@ -1,8 +1,8 @@
 """Conversations: games, transcripts and model requests.
 
 A conversation can be of any length. Games come from running sums over marks that are taken from
-the texts beforehand; transcripts and requests are laid out in parts of a set number of turns, and the texts are
-moved once, to the task of their part.
+the texts beforehand. What is told of a game starts anew with the game: the end of one clears history and transcript, and the
+message that only resets is left out. Tasks lay out parts of a set number of turns, which are then joined in order.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from tallyloom.operators.ordering import HOT_ROWS, scan_keys, scan_ranges, split
 WON = "you have won"
 LOST = "you have lost"
 SEPARATOR = "\n -- \n"
+#: Turns that one task lays out at a time, and the bytes a whole may have; no cell holds two gigabytes.
 PART_TURNS = 512
+CELL_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -33,19 +35,23 @@ class Scenario:
     prompt: str
     goal: str
     greeting: str
+    image: str
 
 
 # The speakers of the three games. The texts are our own.
 SCENARIOS: Mapping[str, Scenario] = {
     "COMPANY_IPO": Scenario(
         "\n Employee : ", "\n CEO : ", "You are the head of a company and do not want to sell shares.",
-        "Talk the head of the company into selling shares.", "Good morning. What brings you here?"),
+        "Talk the head of the company into selling shares.", "Good morning. What brings you here?",
+        "Describe a picture of this talk in a board room."),
     "CARPET_SALE": Scenario(
         "\n Buyer : ", "\n Turkish carpet salesman : ", "You sell a fine carpet and hold on to your price.",
-        "Bring the price of the carpet down.", "Welcome, friend. Which carpet do you like?"),
+        "Bring the price of the carpet down.", "Welcome, friend. Which carpet do you like?",
+        "Describe a picture of this talk among carpets."),
     "HOMEWORK": Scenario(
         "\n Child : ", "\n Parents : ", "You are parents who want homework done before any play.",
-        "Get leave to play from your parents.", "Hello dear, is your homework done?"),
+        "Get leave to play from your parents.", "Hello dear, is your homework done?",
+        "Describe a picture of this talk in a kitchen."),
 }
 
 
@@ -125,76 +131,79 @@ def _part(turn: Column, part_turns: int) -> Column:
     return F.floor(turn / F.lit(part_turns)).cast("long")
 
 
-def _parts(turns: DataFrame, part_turns: int) -> DataFrame:
-    """Pairs of message and reply in order, in one array for each part of a conversation.
+def _played_turns(turns: DataFrame, won: str, lost: str) -> DataFrame:
+    """Turns of pairs that belong to a game, with its number and ``_own``, the message they go with."""
+    placed = game_turns(turns, won, lost).filter(~F.col("consumed")).select(
+        F.col("conv_id").alias("_conv"), F.col("user_turn").alias("_user_turn"), "game_no")
+    own = turns.withColumn("_own", _own_turn()).filter(F.col("_own").isNotNull())
+    return own.join(placed, (F.col("conv_id") == F.col("_conv")) & (F.col("_own") == F.col("_user_turn"))).drop("_conv", "_user_turn")
 
-    A reply goes with its message, so no pair is cut in two and an array has at most ``part_turns`` pairs.
+
+def game_pairs(turns: DataFrame, won: str = WON, lost: str = LOST, part_turns: int = PART_TURNS) -> DataFrame:
+    """One row per game: ``pairs`` of message and reply (null if there is none) in order.
+
+    Tasks pair up parts of a game first; a reply goes with its message, so no pair is cut in two. A game that no cell
+    can hold raises an error that says so.
     """
     item = F.struct(F.col("_own").alias("at"), (F.col("role") == "assistant").alias("is_reply"), F.col("text").alias("text"))
-    grouped = (
-        turns.withColumn("_own", _own_turn()).filter(F.col("_own").isNotNull())
-        .groupBy("conv_id", "scenario", _part(F.col("_own"), part_turns).alias("part"))
-        .agg(F.array_sort(F.collect_list(item)).alias("_items")))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    keys = ("conv_id", "scenario", "game_no")
+    grouped = _played_turns(turns, won, lost).groupBy(*keys, _part(F.col("_own"), part_turns).alias("part")).agg(
+        F.array_sort(F.collect_list(item)).alias("_items"), size.alias("_bytes"))
     # In this order a reply stands right after its message.
     def pair(x: Column, i: Column) -> Column:
         after = F.get(F.col("_items"), i + 1)
         return F.struct(x["at"].alias("at"), x["is_reply"].alias("is_reply"), x["text"].alias("message"),
                         F.when(after["is_reply"] & (after["at"] == x["at"]), after["text"]).alias("reply"))
 
-    pairs = F.filter(F.transform("_items", pair), lambda x: ~x["is_reply"])
-    return grouped.select("conv_id", "scenario", "part", pairs.alias("pairs"))
+    paired = grouped.select(*keys, "part", "_bytes", F.filter(F.transform("_items", pair), lambda x: ~x["is_reply"]).alias("_pairs"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "_pairs")))
+    whole = F.flatten(F.transform(in_order, lambda p: p["_pairs"]))
+    kind = "array<struct<at:bigint,is_reply:boolean,message:string,reply:string>>"
+    too_long = F.raise_error(F.lit(f"a game is beyond {CELL_BYTES} bytes of text")).cast(kind)
+    return paired.groupBy(*keys).agg(F.when(F.sum("_bytes") > CELL_BYTES, too_long).otherwise(whole.cast(kind)).alias("pairs"))
 
 
 def _script() -> Column:
-    """Speaker-labelled text of the answered pairs."""
+    """Speaker-labelled text of the answered pairs; empty if there are none."""
     answered = F.filter("pairs", lambda p: p["reply"].isNotNull())
     lines = F.transform(answered, lambda p: F.concat(F.col("_user"), p["message"], F.col("_reply"), p["reply"]))
     return F.array_join(lines, SEPARATOR)
 
 
-def _labelled(turns: DataFrame, scenarios: Mapping[str, Scenario], part_turns: int) -> DataFrame:
-    labelled = _parts(turns, part_turns).withColumns({
+def transcripts(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, won: str = WON, lost: str = LOST,
+                part_turns: int = PART_TURNS) -> DataFrame:
+    """The transcript of every game; empty before the first answer."""
+    labelled = game_pairs(turns, won, lost, part_turns).withColumns({
         "_user": _by_scenario(scenarios, "user_label"), "_reply": _by_scenario(scenarios, "reply_label")})
-    return labelled.select("conv_id", "scenario", "part", _script().alias("transcript"))
+    return labelled.select("conv_id", "scenario", "game_no", _script().alias("transcript"))
 
 
-def transcripts(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
-    """Transcripts of the answered pairs. Parts in order, joined by the separator, are the whole."""
-    return _labelled(turns, scenarios, part_turns).filter(F.col("transcript") != "")
+def prompt_contexts(scripts: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS) -> DataFrame:
+    """Hint requests from transcripts: the goal, and the transcript or before the first answer the greeting."""
+    greeting = F.concat(_by_scenario(scenarios, "reply_label"), _by_scenario(scenarios, "greeting"))
+    content = F.when(F.col("transcript") == "", greeting).otherwise(F.col("transcript"))
+    return scripts.select("conv_id", "game_no", _by_scenario(scenarios, "goal").alias("system"), content.alias("content"))
 
 
-def prompt_contexts(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
-    """Goal and transcript of each conversation, or the greeting where nothing has been answered yet."""
-    scripts = _labelled(turns, scenarios, part_turns)
-    heard = marked_pairs(turns).groupBy("conv_id").agg(F.max("answered").alias("_answered"))
-    scenario = turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.max("scenario").alias("scenario"))
-    greeted = heard.filter(~F.col("_answered")).join(scenario, "conv_id").select(
-        "conv_id", "scenario", F.lit(0).cast("long").alias("part"), F.concat(
-            _by_scenario(scenarios, "reply_label"), _by_scenario(scenarios, "greeting")).alias("transcript"))
-    return scripts.filter(F.col("transcript") != "").unionByName(greeted).select(
-        "conv_id", "part", _by_scenario(scenarios, "goal").alias("system"), F.col("transcript").alias("content"))
+def image_requests(scripts: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS) -> DataFrame:
+    """Requests for the words of a picture from transcripts: the image prompt and the transcript, without a greeting."""
+    return scripts.select("conv_id", "game_no", _by_scenario(scenarios, "image").alias("system"), F.col("transcript").alias("content"))
 
 
-def requests(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, part_turns: int = PART_TURNS) -> DataFrame:
-    """The latest model request of each conversation: prompt, answered pairs, and the newest message.
-
-    The newest message is the last one sent; earlier ones without a reply are not part of the history. Which parts
-    are the first and the last is told by a narrow table that joins on the key by which the parts lie already.
-    """
-    ends = turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("_first"), F.max("turn").alias("_newest"))
-    first, last = _part(F.col("_first"), part_turns), _part(F.col("_newest"), part_turns)
-    marks = ends.select("conv_id", "_newest", first.alias("_first_part"), F.explode(F.array_distinct(F.array(first, last))).alias("part"))
-    joined = _parts(turns, part_turns).join(marks, ["conv_id", "part"], "left")
+def requests(turns: DataFrame, scenarios: Mapping[str, Scenario] = SCENARIOS, won: str = WON, lost: str = LOST,
+             part_turns: int = PART_TURNS) -> DataFrame:
+    """The latest model request of each conversation, one row each: the prompt, the answered pairs of its game, and its
+    newest message. A message that only resets makes no request; messages without a reply are not part of the history."""
+    played = game_turns(turns, won, lost).filter(~F.col("consumed"))
+    last = played.groupBy(F.col("conv_id").alias("_conv")).agg(F.max("game_no").alias("_game"))
+    games_ = game_pairs(turns, won, lost, part_turns).join(
+        last, (F.col("conv_id") == F.col("_conv")) & (F.col("game_no") == F.col("_game"))).withColumn("_prompt", _by_scenario(scenarios, "prompt"))
 
     def said(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-    none = F.array().cast("array<struct<role:string,content:string>>")
-    prompt = F.when(F.col("part") == F.col("_first_part"), F.array(said("system", F.col("_prompt")))).otherwise(none)
-    past = F.filter("pairs", lambda p: p["reply"].isNotNull() & F.coalesce(p["at"] != F.col("_newest"), F.lit(True)))
+    past = F.filter(F.slice("pairs", 1, F.size("pairs") - 1), lambda p: p["reply"].isNotNull())
     history = F.flatten(F.transform(past, lambda p: F.array(said("user", p["message"]), said("assistant", p["reply"]))))
-    newest = F.transform(F.filter("pairs", lambda p: F.coalesce(p["at"] == F.col("_newest"), F.lit(False))),
-                         lambda p: said("user", p["message"]))
-    built = joined.withColumn("_prompt", _by_scenario(scenarios, "prompt")).select(
-        "conv_id", "part", F.concat(prompt, history, newest).alias("messages"))
-    return built.filter(F.size("messages") > 0)
+    newest = F.array(said("user", F.element_at("pairs", -1)["message"]))
+    return games_.select("conv_id", "game_no", F.concat(F.array(said("system", F.col("_prompt"))), history, newest).alias("messages"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,26 +44,30 @@ def score_batch(df: DataFrame, load: Callable[[str], Model], mode: str, schema:
 
 def score_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str], load: Callable[[str], Model], mode: str,
                    schema: str | T.StructType, length: int = FRAMES_PER_REQUEST) -> DataFrame:
-    """Modes that need ordered frames: each request holds up to ``length`` frames that follow each other.
+    """Modes that need ordered frames: each request holds ``length`` frames that follow each other, and ``scored`` is added.
 
-    Requests with fewer than three frames are left out, as the model cannot take them.
+    A rest of fewer than three frames goes with the request before it. A sequence of fewer than three frames comes back not
+    scored: with the columns it came with, and null for what only the model can tell.
     """
     _check_mode(mode)
     placed = number_rows(df, keys, order, "_position")
-    cut = placed.withColumn("_request", F.floor((F.col("_position") - 1) / F.lit(length)).cast("long"))
-
+    sizes = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_size"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    # The last place at which a request may start.
+    last = F.greatest(F.floor((F.col("_size") - MIN_SEQUENCE) / F.lit(length)), F.lit(0))
+    cut = placed.join(sizes, same).withColumn(
+        "_request", F.least(F.floor((F.col("_position") - 1) / F.lit(length)), last).cast("long"))
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     models: dict[str, Model] = {}
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
         if len(batch) < MIN_SEQUENCE:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: batch[n] if n in batch else None for n in kind.names}).assign(scored=False)
         if mode not in models:
             models[mode] = load(mode)
-        return models[mode](batch.sort_values("_position"))
+        return models[mode](batch.sort_values("_position")).assign(scored=True)
 
-    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    names = kind.names
-    return cut.groupBy(*keys, "_request").applyInPandas(score, kind)
+    return cut.groupBy(*keys, "_request").applyInPandas(score, T.StructType([*kind.fields, T.StructField("scored", T.BooleanType())]))
 
 
 def latest_artifact(files: DataFrame, keys: Sequence[str]) -> DataFrame:

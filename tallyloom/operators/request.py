@@ -1,26 +1,33 @@
 """A structured query request turned into DataFrame calls.
 
 A request names a base table, columns, custom expressions, joins, filters, aggregates, a sort and
-a limit. Names are checked against the schema and literals are cast to the type of their column before anything
-runs; what is wrong raises ``RequestError``.
+a limit. Names are checked against the schema and literals are read as values that compare with their column before
+anything runs; what is wrong raises ``RequestError``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.operators import pairing
 from tallyloom.operators.ordering import HOT_ROWS, prefix_scan
 
+# The words a request is written in.
 FILTER_OPS = ("=", "<", ">", ">=", "<=", "!=", "LIKE", "IN")
 MEASURES = ("COUNT", "MIN", "MAX", "SUM", "FIRST", "LAST", "AVG", "CONCAT_WS")
 DEFAULT_LIMIT = 100
+#: Values that one task spells at a time on the way to a whole text.
 PART_SIZE = 1000
+#: Bytes that a text may have; Spark cannot hold a cell beyond two gigabytes.
+CELL_BYTES = 1 << 30
 
 
 class RequestError(ValueError):
@@ -78,12 +85,28 @@ class Request:
 
 
 def typed_literal(df: DataFrame, column: str, text: str) -> Column:
-    """The text as a value of the column's type; a text that is none raises."""
+    """The text as a value that compares with the column; a text that is none raises.
+
+    A number keeps all its digits and a date its time of day, so nothing is rounded to the type of the column.
+    """
     kind = df.schema[column].dataType
-    value = df.sparkSession.sql(f"SELECT try_cast(:v AS {kind.simpleString()}) AS v", args={"v": text}).first()[0]
+    if isinstance(kind, T.StringType):
+        return F.lit(text)
+    try:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.lit(float(text))
+        if isinstance(kind, T.NumericType):
+            value = Decimal(text)
+            if not value.is_finite() or len(value.as_tuple().digits) > 38 or abs(value.adjusted()) > 37:
+                raise InvalidOperation
+            return F.lit(value)
+    except (ValueError, InvalidOperation):
+        raise RequestError(f"{text!r} is not a number, as {column} is") from None
+    name = "timestamp_ntz" if isinstance(kind, T.DateType) else kind.simpleString()
+    value = df.sparkSession.sql(f"SELECT try_cast(:v AS {name}) AS v", args={"v": text}).first()[0]
     if value is None:
-        raise RequestError(f"{text!r} is not a {kind.simpleString()}, the type of {column}")
-    return F.lit(value).cast(kind)
+        raise RequestError(f"{text!r} is not a {name}, as {column} needs")
+    return F.lit(text).cast(name)
 
 
 def split_list(text: str) -> list[str]:
@@ -134,13 +157,31 @@ def run_request(request: Request, tables: Mapping[str, DataFrame]) -> DataFrame:
         frame = frame.filter(reduce(lambda a, b: a & b, conditions))
     if request.group_by or request.measures:
         out = _aggregate(frame, base, request)
+        if request.order_by:
+            out = out.orderBy(*[_sort_key(out, text) for text in request.order_by])
     else:
-        out = frame.select(*_projection(base, request, shown))
-    if request.order_by:
-        out = out.orderBy(*[_sort_key(out, text) for text in request.order_by])
+        out = _projected(frame, base, request, shown)
     return out.limit(request.limit) if request.limit and request.limit > 0 else out
 
 
+def _projected(frame: DataFrame, base: DataFrame, request: Request, shown) -> DataFrame:
+    """The chosen columns in order. A sort column of the base that was not chosen is carried along for the sort only."""
+    picked = _projection(base, request, shown)
+    out = frame.select(*picked)
+    if not request.order_by:
+        return out
+    names, hidden, keys = out.columns, [], []
+    for k, text in enumerate(request.order_by):
+        name, _, way = text.partition(" ")
+        if name not in names:
+            _check(base, name)
+            hidden.append(F.col(f"{request.table}.{name}").alias(f"_sort_{k}"))
+            text = f"_sort_{k} {way}"
+        keys.append(text)
+    wide = frame.select(*picked, *hidden)
+    return wide.orderBy(*[_sort_key(wide, text) for text in keys]).drop(*[f"_sort_{k}" for k in range(len(keys))])
+
+
 def _join(frame: DataFrame, base: DataFrame, base_alias: str, step: Join, tables: Mapping[str, DataFrame]):
     if step.table not in tables:
         raise RequestError(f"no table {step.table}")
@@ -214,6 +255,8 @@ def _measure(measure: Measure, base: DataFrame, alias: str) -> Column:
 
 
 def _aggregate(frame: DataFrame, base: DataFrame, request: Request) -> DataFrame:
+    """One row per group: its columns, the figures, the expressions (of grouped columns or with aggregates of their own)
+    and the texts, of which there may be any number."""
     keys = list(dict.fromkeys(request.group_by))
     _check(base, *keys)
     for m in request.measures:
@@ -222,34 +265,49 @@ def _aggregate(frame: DataFrame, base: DataFrame, request: Request) -> DataFrame
     for c in request.columns:
         if c not in keys:
             raise RequestError(f"column {c} is neither grouped nor aggregated")
+    names = [*keys, *(m.alias for m in request.measures), *(name for name, _ in request.expressions)]
+    if len(set(names)) < len(names):
+        raise RequestError("two results of one name")
     groups = [F.col(f"{request.table}.{k}").alias(k) for k in keys]
-    plain = [m for m in request.measures if m.kind != "CONCAT_WS"]
-    texts = [m for m in request.measures if m.kind == "CONCAT_WS"]
-    if len(texts) > 1:
-        raise RequestError("one CONCAT_WS in a request")
-    out = None
-    if plain or not texts:
-        aggregates = [_measure(m, base, request.table).alias(m.alias) for m in plain]
-        out = frame.groupBy(*groups).agg(*aggregates) if aggregates else frame.select(*groups).distinct()
-    for m in texts:
-        _check(base, m.column)
-        values = frame.select(*groups, F.col(f"{request.table}.{m.column}").alias(m.alias))
-        parts = concat_parts(values, keys, m.alias, m.separator)
-        if out is None:
-            out = parts
-        elif not keys:
-            # One row of figures: beside each part, or alone when there is no text.
-            figures = out.select(F.struct("*")).scalar()
-            alone = out.withColumns({"part": F.lit(None).cast("long"), m.alias: F.lit(None).cast("string")})
-            beside = parts.withColumn("_figures", figures).select("_figures.*", "part", m.alias)
-            out = alone.filter(parts.agg(F.count(F.lit(1))).scalar() == 0).unionByName(beside)
-        else:
-            named = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "part", m.alias)
-            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-            out = out.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
+    plain = [_measure(m, base, request.table).alias(m.alias) for m in request.measures if m.kind != "CONCAT_WS"]
+    try:
+        plain += [F.expr(text).alias(name) for name, text in request.expressions]
+        out = frame.groupBy(*groups).agg(*plain) if plain else frame.select(*groups).distinct() if keys else None
+    except (AnalysisException, ParseException) as error:
+        raise RequestError(f"an expression is neither grouped nor aggregated, or is no expression: {error}") from error
+    for m in request.measures:
+        if m.kind == "CONCAT_WS":
+            _check(base, m.column)
+            values = frame.select(*groups, F.col(f"{request.table}.{m.column}").alias(m.alias))
+            out = _beside(out, concat_texts(values, keys, m.alias, m.separator), keys, m.alias)
     return out
 
 
+def _beside(out: DataFrame | None, texts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    if out is None:
+        return texts
+    if not keys:
+        return out.withColumn(name, texts.scalar())
+    named = texts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], name)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return out.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def concat_texts(df: DataFrame, keys: list[str], value: str, separator: str = ",", part_size: int = PART_SIZE,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The values of each group in order, joined to one text; null for no value. Without keys there is one row.
+
+    Tasks spell parts in parallel, and only the parts are put in order within a group. A text that no cell can hold
+    raises an error that says so.
+    """
+    parts = concat_parts(df, keys, value, separator, part_size, hot_rows)
+    in_order = F.array_sort(F.collect_list(F.struct("part", F.col(value).alias("t"))))
+    whole = F.array_join(F.transform(in_order, lambda p: p["t"]), separator)
+    size = F.coalesce(F.sum(F.octet_length(value).cast("long")), F.lit(0))
+    too_long = F.raise_error(F.lit(f"a text of {value} is beyond {CELL_BYTES} bytes; ask for concat_parts")).cast("string")
+    return parts.groupBy(*keys).agg(F.when(size > CELL_BYTES, too_long).when(F.count(F.lit(1)) > 0, whole).alias(value))
+
+
 def concat_parts(df: DataFrame, keys: list[str], value: str, separator: str = ",", part_size: int = PART_SIZE,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """The values of each group in order, joined to texts of at most ``part_size`` values each.

@@ -120,10 +120,12 @@ def motion_model(mode):
 
 
 @BOOK.add("score_sequence", """
-WITH placed AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 5 AS request FROM embeddings),
-sized AS (SELECT *, count(*) OVER (PARTITION BY label, request) AS frames,
-                 lag(e) OVER (PARTITION BY label, request ORDER BY vec_id) AS before FROM placed)
-SELECT label, vec_id, round(CASE WHEN before IS NULL THEN 0.0 ELSE list_distance(e, before) END, 4) AS motion FROM sized WHERE frames >= 3""")
+WITH placed AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n,
+                       count(*) OVER (PARTITION BY label) AS size FROM embeddings),
+sized AS (SELECT *, least(n // 5, greatest(size - 3, 0) // 5) AS request FROM placed),
+steps AS (SELECT *, lag(e) OVER (PARTITION BY label, request ORDER BY vec_id) AS before FROM sized)
+SELECT label, vec_id, size >= 3 AS scored,
+       CASE WHEN size >= 3 THEN round(CASE WHEN before IS NULL THEN 0.0 ELSE list_distance(e, before) END, 4) END AS motion FROM steps""")
 def score_sequence(spark, folder):
     rows = b.table(spark, folder, "embeddings")
     return enrich.score_sequence(rows, ["label"], ["vec_id"], motion_model, "PLAYER_TRACKING", "label int, vec_id long, motion double")

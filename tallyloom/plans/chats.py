@@ -61,45 +61,55 @@ def _texts_sql(field: str) -> str:
     return f"CASE scenario {cases} END"
 
 
-TRANSCRIPT_SQL = PAIRS_SQL + f""", scripts AS (
-  SELECT conv_id, scenario, user_turn // {c.PART_TURNS} AS part,
-         string_agg({_texts_sql('user_label')} || message || {_texts_sql('reply_label')} || reply, {_quoted(c.SEPARATOR)} ORDER BY user_turn) AS transcript
-  FROM pairs WHERE reply IS NOT NULL GROUP BY conv_id, scenario, user_turn // {c.PART_TURNS})"""
+TRANSCRIPT_SQL = GAME_TURNS_SQL + f""", scripts AS (
+  SELECT conv_id, scenario, CAST(game_no AS BIGINT) AS game_no, coalesce(string_agg(
+         {_texts_sql('user_label')} || message || {_texts_sql('reply_label')} || reply, {_quoted(c.SEPARATOR)} ORDER BY user_turn)
+         FILTER (reply IS NOT NULL), '') AS transcript
+  FROM played WHERE NOT consumed GROUP BY conv_id, scenario, game_no)"""
 
 
-@BOOK.add("chat_transcript", "WITH " + TRANSCRIPT_SQL + " SELECT conv_id, scenario, part, transcript FROM scripts")
+def _scripts(spark, folder):
+    return c.transcripts(b.turns(spark, folder), won=b.WON_MARK, lost=b.LOST_MARK)
+
+
+@BOOK.add("chat_transcript", "WITH " + TRANSCRIPT_SQL + " SELECT conv_id, scenario, game_no, transcript FROM scripts")
 def chat_transcript(spark, folder):
-    return c.transcripts(b.turns(spark, folder))
+    return _scripts(spark, folder)
 
 
 @BOOK.add("chat_prompt_context", "WITH " + TRANSCRIPT_SQL + f"""
-SELECT conv_id, part, {_texts_sql('goal')} AS system, transcript AS content FROM scripts
-UNION ALL
-SELECT conv_id, 0 AS part, {_texts_sql('goal')} AS system, {_texts_sql('reply_label')} || {_texts_sql('greeting')} AS content
-FROM (SELECT conv_id, scenario FROM pairs GROUP BY ALL HAVING count(reply) = 0)""")
+SELECT conv_id, game_no, {_texts_sql('goal')} AS system,
+       CASE WHEN transcript = '' THEN {_texts_sql('reply_label')} || {_texts_sql('greeting')} ELSE transcript END AS content FROM scripts""")
 def chat_prompt_context(spark, folder):
-    return c.prompt_contexts(b.turns(spark, folder))
+    return c.prompt_contexts(_scripts(spark, folder))
+
+
+@BOOK.add("chat_image_request", "WITH " + TRANSCRIPT_SQL + f"""
+SELECT conv_id, game_no, {_texts_sql('image')} AS system, transcript AS content FROM scripts""")
+def chat_image_request(spark, folder):
+    return c.image_requests(_scripts(spark, folder))
 
 
-REQUESTS_SQL = PAIRS_SQL + f""", newest AS (SELECT conv_id, max(user_turn) AS newest FROM pairs GROUP BY 1),
+REQUESTS_SQL = GAME_TURNS_SQL + f""", own AS (SELECT * FROM played WHERE NOT consumed
+  QUALIFY game_no = max(game_no) OVER (PARTITION BY conv_id)),
+newest AS (SELECT conv_id, max(user_turn) AS newest FROM own GROUP BY 1),
 lines AS (
-  SELECT conv_id, min(user_turn) AS spot, 0 AS n, 'system' AS role, {_texts_sql('prompt')} AS content FROM pairs GROUP BY conv_id, scenario
-  UNION ALL SELECT conv_id, user_turn, 1, 'user', message FROM pairs JOIN newest USING (conv_id) WHERE user_turn = newest OR reply IS NOT NULL
-  UNION ALL SELECT conv_id, user_turn, 2, 'assistant', reply FROM pairs JOIN newest USING (conv_id) WHERE user_turn < newest AND reply IS NOT NULL),
-requests AS (SELECT conv_id, spot // {c.PART_TURNS} AS part,
-  string_agg(role || ': ' || content, chr(10) ORDER BY spot, n) AS request, count(*) AS messages,
+  SELECT DISTINCT conv_id, -1 AS spot, 0 AS n, 'system' AS role, {_texts_sql('prompt')} AS content FROM own
+  UNION ALL SELECT conv_id, user_turn, 1, 'user', message FROM own JOIN newest USING (conv_id) WHERE user_turn = newest OR reply IS NOT NULL
+  UNION ALL SELECT conv_id, user_turn, 2, 'assistant', reply FROM own JOIN newest USING (conv_id) WHERE user_turn < newest AND reply IS NOT NULL),
+requests AS (SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY spot, n) AS request, count(*) AS messages,
   last(content ORDER BY spot, n) AS newest FROM lines GROUP BY ALL)"""
 
 
-def _spelled(rows):
-    return rows.select("conv_id", "part", F.array_join(F.transform(
-        "messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("request"),
-        F.size("messages").cast("long").alias("messages"))
+def _requests(spark, folder):
+    return c.requests(b.turns(spark, folder), won=b.WON_MARK, lost=b.LOST_MARK)
 
 
-@BOOK.add("chat_requests", "WITH " + REQUESTS_SQL + " SELECT conv_id, part, request, messages FROM requests")
+@BOOK.add("chat_requests", "WITH " + REQUESTS_SQL + " SELECT conv_id, request, messages FROM requests")
 def chat_requests(spark, folder):
-    return _spelled(c.requests(b.turns(spark, folder)))
+    return _requests(spark, folder).select("conv_id", F.array_join(F.transform(
+        "messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("request"),
+        F.size("messages").cast("long").alias("messages"))
 
 
 def echo_model(requests):
@@ -108,6 +118,6 @@ def echo_model(requests):
 
 
 @BOOK.add("chat_complete", "WITH " + REQUESTS_SQL + """
-SELECT conv_id, part, messages || ' messages; ' || substr(newest, 1, 20) AS answer FROM requests""")
+SELECT conv_id, messages || ' messages; ' || substr(newest, 1, 20) AS answer FROM requests""")
 def chat_complete(spark, folder):
-    return enrich.complete(c.requests(b.turns(spark, folder)), echo_model, "messages", "answer").drop("messages")
+    return enrich.complete(_requests(spark, folder), echo_model, "messages", "answer").select("conv_id", "answer")

@@ -55,9 +55,16 @@ WHERE o_orderstatus IN ('O', 'F') AND o_totalprice >= 100000 AND o_orderpriority
          Filter("o_orderstatus", "IN", "O,F"), Filter("o_totalprice", ">=", "100000"),
          Filter("o_orderpriority", "LIKE", "1%"))))
 
-_add("param_binding", "SELECT p_partkey, p_name FROM part WHERE p_name <> 'O''Hare' AND p_partkey < 500",
-     Request("part", columns=("p_partkey", "p_name"), limit=0,
-             filters=(Filter("p_name", "!=", "O'Hare"), Filter("p_partkey", "<", "500"))))
+@BOOK.add("param_binding", """
+SELECT p_partkey, named FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'O''Hare ' || p_brand ELSE p_brand END AS named FROM part)
+WHERE named <> 'O''Hare Brand#11' AND named LIKE 'O''H%'""")
+def param_binding(spark, folder):
+    quoted = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("O'Hare "), F.col("p_brand"))).otherwise(F.col("p_brand"))
+    parts = b.table(spark, folder, "part").select("p_partkey", quoted.alias("named"))
+    request = Request("parts", columns=("p_partkey", "named"), limit=0,
+                      filters=(Filter("named", "!=", "O'Hare Brand#11"), Filter("named", "LIKE", "O'H%")))
+    return run_request(request, {"parts": parts})
+
 
 
 # Joins
@@ -146,13 +153,23 @@ SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS first_o_orderstatus,
          Measure("LAST", "o_orderpriority", order_by="o_orderkey"))))
 
 _add("spec_concat_ws", """
-WITH placed AS (SELECT p_brand, p_name, (row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1) // 1000 AS part
-                FROM part),
-texts AS (SELECT p_brand, part, string_agg(p_name, '|' ORDER BY p_name) AS concat_ws_p_name FROM placed GROUP BY ALL)
-SELECT p_brand, part, concat_ws_p_name, count_all
-FROM texts JOIN (SELECT p_brand, count(*) AS count_all FROM part GROUP BY 1) USING (p_brand)""",
-     Request("part", group_by=("p_brand",), limit=0,
-             measures=(Measure("CONCAT_WS", "p_name", separator="|"), Measure("COUNT"))))
+SELECT p_brand, string_agg(p_name, '|' ORDER BY p_name) AS concat_ws_p_name, string_agg(p_type, ', ' ORDER BY p_type) AS concat_ws_p_type,
+       count(*) AS count_all FROM part GROUP BY p_brand""",
+     Request("part", group_by=("p_brand",), limit=0, measures=(
+         Measure("CONCAT_WS", "p_name", separator="|"), Measure("CONCAT_WS", "p_type", separator=", "), Measure("COUNT"))))
+
+_add("spec_expression", """
+SELECT l_returnflag, lower(l_returnflag) || '!' AS flag, count(*) AS count_all, max(l_linenumber) - min(l_linenumber) AS span
+FROM lineitem GROUP BY l_returnflag""",
+     Request("lineitem", group_by=("l_returnflag",), limit=0, measures=(Measure("COUNT"),), expressions=(
+         ("flag", "concat(lower(l_returnflag), '!')"), ("span", "max(l_linenumber) - min(l_linenumber)"))))
+
+_add("filter_fraction", "SELECT p_partkey, p_size FROM part WHERE p_size > 24.5 AND p_size <= 30.25",
+     Request("part", columns=("p_partkey", "p_size"), limit=0,
+             filters=(Filter("p_size", ">", "24.5"), Filter("p_size", "<=", "30.25"))))
+
+_add("sort_hidden", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
+     Request("orders", columns=("o_orderkey",), order_by=("o_totalprice DESC", "o_orderkey"), limit=50))
 
 _add("sort_multi", "SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders",
      Request("orders", columns=("o_orderstatus", "o_totalprice", "o_orderkey"), limit=0,

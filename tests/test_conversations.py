@@ -90,24 +90,45 @@ def test_status_line(spark):
     assert got == ["Total messages sent: 2", "Game over! you have won And you have sent 3 messages ! A new session will start."]
 
 
-@pytest.mark.parametrize("part_turns", [4, 512])
-def test_transcript_parts_make_the_whole(spark, part_turns):
-    turns = spark.createDataFrame(talk(1, ["a", "b", None, "d", "e"]), SCHEMA)
-    parts = c.transcripts(turns, part_turns=part_turns).orderBy("part").collect()
-    want = c.SEPARATOR.join(f"\n Child : m{i}\n Parents : {r}" for i, r in enumerate(["a", "b", None, "d", "e"]) if r)
-    assert c.SEPARATOR.join(p["transcript"] for p in parts) == want
-    assert (len(parts) == 1) == (part_turns == 512)
-
-
-def test_greeting_before_any_answer(spark):
-    got = c.prompt_contexts(spark.createDataFrame(talk(1, [None]), SCHEMA)).first()
+def replay(replies):
+    """What a player's session holds after each message: script and request, by the rules of the chat."""
+    history, script, over, game, last = [], [], False, 1, None
+    scripts = {}
+    for i, reply in enumerate(replies):
+        if over:
+            history, script, over, game = [], [], False, game + 1
+            continue
+        own = c.SCENARIOS["HOMEWORK"]
+        last = (game, [("system", own.prompt)] + [m for a, b in history for m in (("user", a), ("assistant", b))] + [("user", f"m{i}")])
+        if reply is not None:
+            history.append((f"m{i}", reply))
+            script.append(f"\n Child : m{i}\n Parents : {reply}")
+            over = "you have won" in reply.lower() or "you have lost" in reply.lower()
+        scripts[game] = c.SEPARATOR.join(script)
+    return scripts, last
+
+
+@pytest.mark.parametrize("part_turns", [3, 512])
+def test_transcripts_and_requests_start_anew_with_each_game(turns, talks, part_turns):
+    wanted = {conv: replay(replies) for conv, replies in talks.items()}
+    scripts = c.transcripts(turns, part_turns=part_turns)
+    got = {(r["conv_id"], r["game_no"]): r["transcript"] for r in scripts.collect()}
+    assert got == {(conv, game): text for conv, (texts, _) in wanted.items() for game, text in texts.items()}
+    sent = {r["conv_id"]: (r["game_no"], [tuple(m) for m in r["messages"]]) for r in c.requests(turns, part_turns=part_turns).collect()}
+    assert sent == {conv: last for conv, (_, last) in wanted.items()}
+
+
+def test_greeting_before_any_answer_but_none_in_a_picture(spark):
+    scripts = c.transcripts(spark.createDataFrame(talk(1, [None]), SCHEMA))
+    got = c.prompt_contexts(scripts).first()
     assert got["content"] == "\n Parents : " + c.SCENARIOS["HOMEWORK"].greeting
     assert got["system"] == c.SCENARIOS["HOMEWORK"].goal
+    picture = c.image_requests(scripts).first()
+    assert (picture["system"], picture["content"]) == (c.SCENARIOS["HOMEWORK"].image, "")
 
 
-@pytest.mark.parametrize("part_turns", [1, 2, 512])
-def test_request_holds_prompt_history_and_the_newest_message(spark, part_turns):
-    parts = c.requests(spark.createDataFrame(talk(1, ["a", None, "c"], 3), SCHEMA), part_turns=part_turns)
-    got = [m for p in parts.orderBy("part").collect() for m in p["messages"]]
-    assert [(m["role"], m["content"]) for m in got] == [
-        ("system", c.SCENARIOS["HOMEWORK"].prompt), ("user", "m0"), ("assistant", "a"), ("user", "m2")]
+def test_long_conversation_is_one_request(spark):
+    rows = talk(1, [f"r{k}" for k in range(1300)])
+    got = c.requests(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 1 and len(got[0]["messages"]) == 1 + 2 * 1299 + 1
+    assert [m["content"] for m in got[0]["messages"]][-2:] == ["r1298", "m1299"]

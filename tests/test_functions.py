@@ -115,8 +115,9 @@ def test_unknown_mode_is_refused(spark):
         enrich.score_batch(spark.range(1), lambda m: None, "SLEEP", "id long")
 
 
-def test_short_sequences_are_left_out(spark):
-    df = spark.range(7).withColumn("k", F.lit("a"))
+@pytest.mark.parametrize(("size", "requests"), [(2, [None] * 2), (3, [3] * 3), (7, [7] * 7), (8, [5] * 5 + [3] * 3), (12, [5] * 5 + [7] * 7)])
+def test_every_frame_of_a_sequence_comes_back(spark, size, requests):
+    df = spark.range(size).withColumn("k", F.lit(None).cast("string"))
     load = lambda mode: lambda pdf: pdf[["id"]].assign(n=len(pdf))
     got = enrich.score_sequence(df, ["k"], ["id"], load, "RADAR", "id long, n long").collect()
-    assert sorted((r["id"], r["n"]) for r in got) == [(i, 5) for i in range(5)]
+    assert sorted((r["id"], r["n"], r["scored"]) for r in got) == [(i, n, n is not None) for i, n in enumerate(requests)]

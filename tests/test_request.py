@@ -161,6 +161,42 @@ def test_concat_parts_make_the_whole(spark, hot_rows, part_size):
 def test_text_beside_figures_without_groups(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "n int, s string")
     measures = (Measure("CONCAT_WS", "s"), Measure("SUM", "n"))
-    assert [tuple(r) for r in run_request(Request("t", measures=measures), {"t": df}).collect()] == [(6, 0, "a,b")]
+    assert [tuple(r) for r in run_request(Request("t", measures=measures), {"t": df}).collect()] == [(6, "a,b")]
     none = df.filter("s IS NULL")
-    assert [tuple(r) for r in run_request(Request("t", measures=measures), {"t": none}).collect()] == [(2, None, None)]
+    assert [tuple(r) for r in run_request(Request("t", measures=measures), {"t": none}).collect()] == [(2, None)]
+    assert [tuple(r) for r in run_request(Request("t", measures=measures[:1]), {"t": none}).collect()] == [(None,)]
+
+
+def test_large_group_is_one_row_under_the_default_limit(spark):
+    df = spark.range(250_000).selectExpr("'g' AS g", "lpad(id, 6, '0') AS v").unionByName(spark.createDataFrame([("h", None)], "g string, v string"))
+    got = run_request(Request("t", group_by=("g",), measures=(Measure("CONCAT_WS", "v"),)), {"t": df}).collect()
+    assert sorted((r["g"], (r["concat_ws_v"] or "").count(",")) for r in got) == [("g", 249_999), ("h", 0)]
+    assert next(r for r in got if r["g"] == "g")["concat_ws_v"].startswith("000000,000001,000002,")
+
+
+def test_several_texts_and_expressions_in_a_grouped_request(people):
+    got = run_request(Request("people", group_by=("team",), expressions=(("big", "upper(team)"), ("more", "sum(pay) + 1")), measures=(
+        Measure("CONCAT_WS", "name"), Measure("CONCAT_WS", "id", separator="-"))), people)
+    assert sorted(tuple(r) for r in got.collect()) == [("x", "X", 14.5, "Ann", "1-3"), ("y", "Y", None, "O'Hare", "2")]
+    for bad in ((("bad", "upper(name)"),), (("bad", "upper("),)):
+        with pytest.raises(rq.RequestError):
+            run_request(Request("people", group_by=("team",), expressions=bad), people)
+
+
+def test_numbers_and_times_are_not_rounded(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 10.00, DATE '2024-01-01', 0.1D), (2, 10.01, DATE '2024-01-02', 0.2D) AS t(id, p, d, x)").selectExpr(
+        "id", "CAST(p AS DECIMAL(10,2)) AS p", "d", "x")
+    run = lambda *f: ids(run_request(Request("t", filters=(Filter(*f),)), {"t": df}))
+    assert run("p", "<=", "10.005") == [1] and run("p", "=", "10.010") == [2] and run("id", ">", "1.5") == [2]
+    assert run("id", "IN", "1.0, 2.5, 7") == [1] and run("d", "<", "2024-01-01 12:00:00") == [1] and run("d", "=", "2024-01-02") == [2]
+    assert run("x", "=", "0.1") == [1] and run("id", "<", "99999999999999999999") == [1, 2]
+    for text in ("1e99", "abc", "NaN", "1" * 40):
+        with pytest.raises(rq.RequestError):
+            run("id", "=", text)
+
+
+def test_sort_by_a_column_that_is_not_shown(people):
+    got = run_request(Request("people", columns=("name",), order_by=("id DESC",)), people)
+    assert got.columns == ["name"] and [r[0] for r in got.collect()] == [None, "O'Hare", "Ann"]
+    with pytest.raises(rq.RequestError):
+        run_request(Request("people", columns=("name",), order_by=("height",)), people)
