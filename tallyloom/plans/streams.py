@@ -16,9 +16,23 @@ from tallyloom.streaming import changes, runs, vehicles
 TRAFFIC = "WITH " + b.TRAFFIC_SQL
 
 
+FILES = 3
+
+
+def _in_turn(spark, folder, name, order):
+    """A given table as a stream of three batches that follow each other in ``order``."""
+    rows = b.table(spark, folder, name)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    path = work_path(spark, f"{name}-files")
+    place = F.least(F.floor((F.col(order) - F.lit(low)) * FILES / (high - low + 1)), F.lit(FILES - 1))
+    for k in range(FILES):
+        rows.filter(place == k).coalesce(1).write.mode("append").parquet(path)
+    return runs.stream_table(spark, path, rows.schema, files_per_trigger=1), runs.state_partitions(spark, f"{folder}/{name}.parquet")
+
+
 def _events(spark, folder):
-    path = f"{folder}/events.parquet"
-    return b.traffic_rows(runs.stream_table(spark, path)), runs.state_partitions(spark, path)
+    stream, n = _in_turn(spark, folder, "events", "event_id")
+    return b.traffic_rows(stream), n
 
 
 @BOOK.add("stream_ingest", TRAFFIC + """
@@ -53,13 +67,11 @@ def stream_vehicle_speed(spark, folder):
 
 
 @BOOK.add("stream_window_counts", TRAFFIC + """
-SELECT * FROM (SELECT date_trunc('hour', processing_datetime) AS window_start, date_trunc('hour', processing_datetime) + INTERVAL 1 HOUR AS window_end,
-                      direction, count(*) AS "count" FROM traffic GROUP BY ALL)
-WHERE window_end <= (SELECT date_trunc('millisecond', max(processing_datetime)) - INTERVAL 10 MINUTE FROM traffic)""")
+SELECT date_trunc('hour', processing_datetime) AS window_start, date_trunc('hour', processing_datetime) + INTERVAL 1 HOUR AS window_end,
+       direction, count(*) AS "count" FROM traffic GROUP BY ALL""")
 def stream_window_counts(spark, folder):
-    """Windows that are closed when the stream has caught up."""
     events, n = _events(spark, folder)
-    return spark.read.parquet(vehicles.window_counts(events, n, "processing_datetime"))
+    return vehicles.latest_windows(spark.read.parquet(vehicles.window_counts(events, n, "processing_datetime")))
 
 
 CHANGES_SQL = """
@@ -79,19 +91,18 @@ def stream_apply_changes(spark, folder):
     """Customers as changes to their nation: a deletion, a replacement or an update of its name."""
     root = work_path(spark, "nation")
     write_version(b.table(spark, folder, "nation").select("n_nationkey", "n_name"), root)
-    path = f"{folder}/customer.parquet"
+    stream, n = _in_turn(spark, folder, "customer", "c_custkey")
     op = (F.when(F.col("c_mktsegment") == "BUILDING", F.lit("delete")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("replace"))
           .otherwise(F.lit("update")))
-    stream = runs.stream_table(spark, path).select(
+    stream = stream.select(
         F.col("c_custkey").alias("seq"), op.alias("op"), F.col("c_nationkey").alias("old_key"),
         F.col("c_nationkey").alias("n_nationkey"), F.col("c_name").alias("n_name"))
-    changes.apply_stream(stream, root, "n_nationkey", runs.state_partitions(spark, path))
+    changes.apply_stream(stream, root, "n_nationkey", n)
     return read_version(spark, root)
 
 
 @BOOK.add("stream_games", "WITH " + GAME_TURNS_SQL + " SELECT conv_id, game_no, messages, first_turn, last_turn, outcome FROM games")
 def stream_games(spark, folder):
-    path = f"{folder}/conversations.parquet"
-    turns = runs.stream_table(spark, path).select("conv_id", "turn", "role", "text")
-    moves = changes.game_moves(turns, runs.state_partitions(spark, path), b.WON_MARK, b.LOST_MARK)
+    turns, n = _in_turn(spark, folder, "conversations", "turn")
+    moves = changes.game_moves(turns.select("conv_id", "turn", "role", "text"), n, b.WON_MARK, b.LOST_MARK)
     return changes.games(spark.read.parquet(moves))

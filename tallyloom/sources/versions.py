@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 POINTER = "_current"
+#: An empty file in each snapshot: only folders that have it are ever removed.
+MARK = "_snapshot"
 
 
 def append_rows(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
@@ -71,6 +73,8 @@ def write_version(df: DataFrame, root: str, label: str | None = None, keep: int
     if label is not None and current_version(spark, root) == label:
         return name
     df.write.mode("overwrite").parquet(f"{root}/{name}")
+    _, mark, fs = _files(spark, f"{root}/{name}/{MARK}")
+    fs.create(mark, True).close()
     _switch(spark, root, name)
     if keep is not None:
         drop_old_versions(spark, root, keep)
@@ -78,10 +82,10 @@ def write_version(df: DataFrame, root: str, label: str | None = None, keep: int
 
 
 def drop_old_versions(spark: SparkSession, root: str, keep: int) -> None:
-    """Delete all but the newest snapshots. The current one always stays."""
+    """Delete all but the newest snapshots of this table. The current one and folders of others always stay."""
     jvm, folder, fs = _files(spark, root)
     current = current_version(spark, root)
-    found = [s for s in fs.listStatus(folder) if s.isDirectory() and not s.getPath().getName().startswith("_")]
+    found = [s for s in fs.listStatus(folder) if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), MARK))]
     newest = sorted(found, key=lambda s: (s.getPath().getName() == current, s.getModificationTime()), reverse=True)
     for old in newest[max(keep, 1):]:
         fs.delete(old.getPath(), True)

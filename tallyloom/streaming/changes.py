@@ -16,16 +16,16 @@ from tallyloom.operators.conversations import LOST, WON
 from tallyloom.streaming.runs import drain, whole_group
 
 
-KEPT_VERSIONS = 10
+def apply_stream(changes: DataFrame, root: str, key: str, n: int, checkpoint: str | None = None, keep: int | None = None) -> None:
+    """Each batch of changes makes the next version of the table at ``root``, once only for each batch of a stream.
 
-
-def apply_stream(changes: DataFrame, root: str, key: str, n: int, checkpoint: str | None = None) -> None:
-    """Each batch of changes makes the next version of the table at ``root``, once only for each batch number."""
+    All versions stay unless ``keep`` says how many.
+    """
     spark = changes.sparkSession
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, label: str, number: int) -> None:
         if not batch.isEmpty():
-            maintain.commit(spark, root, lambda base: maintain.apply_changes(base, batch, key), f"batch-{batch_id}", KEPT_VERSIONS)
+            maintain.commit(spark, root, lambda base: maintain.apply_changes(base, batch, key), label, keep)
 
     drain(changes, "changes", n, each=write, checkpoint=checkpoint)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from threading import Event
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,21 +65,31 @@ def partitions(spark: SparkSession, n: int):
 
 
 def drain(stream: DataFrame, label: str, n: int, sink: str | None = None, mode: str = "append",
-          each: Callable[[DataFrame, int], None] | None = None, partition_by: tuple[str, ...] = (),
+          each: Callable[[DataFrame, str, int], None] | None = None, partition_by: tuple[str, ...] = (),
           checkpoint: str | None = None) -> str:
-    """Run a stream until it has caught up, into a parquet sink or a function; the path of the sink comes back."""
+    """Run a stream until it has caught up, into a parquet sink or a function; the path of the sink comes back.
+
+    The function gets each batch with a label and its number. The label holds the id that the checkpoint keeps, so a
+    replayed batch has the label it had before, and a stream from a fresh checkpoint has labels of its own.
+    """
     spark = stream.sparkSession
     root = work_path(spark, label)
     path = sink or f"{root}/rows"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint")
     writer = writer.trigger(availableNow=True)
+    started, names = Event(), []
     if each is not None:
-        writer = writer.foreachBatch(each)
+        def labelled(batch: DataFrame, number: int) -> None:
+            started.wait()
+            each(batch, f"{names[0]}-batch-{number}", number)
+        writer = writer.foreachBatch(labelled)
     else:
         writer = writer.format("parquet").option("path", path)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
     with partitions(spark, n):
         query = writer.start()
+        names.append(query.id)
+        started.set()
         query.awaitTermination()
     return path

@@ -13,11 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators import traffic
 from tallyloom.operators.ordering import first_and_last
+from tallyloom.session import work_path
 from tallyloom.sources.versions import current_version, read_version, write_version
 from tallyloom.streaming.runs import drain, whole_group
 
-KEPT_VERSIONS = 10
-
 
 def ingest(events: DataFrame, n: int, sink: str | None = None, checkpoint: str | None = None) -> str:
     """Event rows appended to a table partitioned by video."""
@@ -25,15 +24,16 @@ def ingest(events: DataFrame, n: int, sink: str | None = None, checkpoint: str |
 
 
 def running_summary(events: DataFrame, root: str, n: int, keys: Sequence[str] = traffic.KEYS, order: str = "event_id",
-                    checkpoint: str | None = None) -> None:
+                    checkpoint: str | None = None, keep: int | None = None) -> None:
     """The 22 figures after each batch, over all events so far.
 
-    The stream holds the vehicle table as its state. A batch writes one version of the figures, named by its number.
+    The stream holds the vehicle table as its state. A batch writes one version of the figures; all stay unless ``keep``
+    says how many.
     """
     vehicles = traffic.vehicle_table_at_once(events, keys, order)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_version(traffic.long_form(traffic.figures(batch)), root, f"batch-{batch_id}", KEPT_VERSIONS)
+    def write(batch: DataFrame, label: str, number: int) -> None:
+        write_version(traffic.long_form(traffic.figures(batch)), root, label, keep)
 
     drain(vehicles, "summary", n, mode="complete", each=write, checkpoint=checkpoint)
 
@@ -62,24 +62,24 @@ def _vehicles(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def refresh_stats(events: DataFrame, root: str, n: int, keys: Sequence[str] = traffic.KEYS, order: str = "event_id",
-                  checkpoint: str | None = None) -> None:
+                  checkpoint: str | None = None, keep: int | None = None) -> None:
     """The statistics table replaced after each batch.
 
     A batch leaves its vehicle figures behind, merged with those of the batches before, so a refresh reads two
-    small tables and never the events again. Versions carry the batch number, so a replay writes the same rows again.
+    small tables and never the events again. A replayed batch writes the same rows again. All versions stay unless
+    ``keep`` says how many.
     """
     spark = events.sparkSession
     tables = f"{root}/vehicles"
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        label = f"batch-{batch_id}"
+    def write(batch: DataFrame, label: str, number: int) -> None:
         if current_version(spark, tables) != label:
             own = _partials(batch, keys, order)
             if current_version(spark, tables) is not None:
                 own = own.unionByName(read_version(spark, tables))
-            write_version(_added_up(own, keys), tables, label, KEPT_VERSIONS)
+            write_version(_added_up(own, keys), tables, label, keep)
         vehicles = _vehicles(read_version(spark, tables), keys)
-        write_version(traffic.long_form(traffic.figures(vehicles)), f"{root}/stats", label, KEPT_VERSIONS)
+        write_version(traffic.long_form(traffic.figures(vehicles)), f"{root}/stats", label, keep)
 
     drain(events, "refresh", n, each=write, checkpoint=checkpoint)
 
@@ -129,10 +129,25 @@ def vehicle_speed(events: DataFrame, n: int, keys: Sequence[str] = ("video_id",
 
 def window_counts(events: DataFrame, n: int, moment: str, size: str = "1 hour", late: str = "10 minutes",
                   by: Sequence[str] = ("direction",), sink: str | None = None, checkpoint: str | None = None) -> str:
-    """Counts per tumbling window, written once a window is closed; rows later than the watermark are left out."""
+    """Counts per tumbling window; rows later than the watermark are left out.
+
+    Each batch writes the windows it has changed under its number, open ones too; ``latest_windows`` reads the sink.
+    """
     timed = events.withColumn("_at", F.col(moment).cast("timestamp")).withWatermark("_at", late)
     counted = timed.groupBy(F.window("_at", size).alias("_window"), *by).agg(F.count(F.lit(1)).alias("count"))
     flat = counted.select(
         F.col("_window.start").cast("timestamp_ntz").alias("window_start"),
         F.col("_window.end").cast("timestamp_ntz").alias("window_end"), *by, "count")
-    return drain(flat, "windows", n, sink, checkpoint=checkpoint)
+    path = sink or work_path(events.sparkSession, "windows")
+
+    def write(batch: DataFrame, label: str, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    drain(flat, "window-counts", n, mode="update", each=write, checkpoint=checkpoint)
+    return path
+
+
+def latest_windows(written: DataFrame) -> DataFrame:
+    """The last count of each window, closed or open."""
+    names = [c for c in written.columns if c not in ("batch", "count")]
+    return written.groupBy(*names).agg(F.max_by("count", "batch").alias("count"))

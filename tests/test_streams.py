@@ -52,7 +52,7 @@ def test_running_summary_equals_the_summary(spark, parts, tmp_path):
         feed(parts, path, upto)
         vehicles.running_summary(stream(spark, path), root, 2, checkpoint=check)
     assert rows_of(read_version(spark, root)) == rows_of(traffic.summary(whole(parts)))
-    assert current_version(spark, root) == "batch-3"
+    assert current_version(spark, root).endswith("-batch-3")
 
 
 def test_refreshed_stats_equal_the_summary(spark, parts, tmp_path):
@@ -79,8 +79,8 @@ def test_late_rows_are_left_out(spark, tmp_path):
         frame = spark.createDataFrame([(m, "in") for m in moments], "m string, direction string")
         frame.select(F.col("m").cast("timestamp_ntz").alias("at"), "direction").coalesce(1).write.mode("append").parquet(path)
     sink = vehicles.window_counts(runs.stream_table(spark, path, files_per_trigger=1), 2, "at")
-    got = {r["window_start"].hour: r["count"] for r in spark.read.parquet(sink).collect()}
-    assert got == {0: 1, 5: 1, 6: 1}
+    got = {r["window_start"].hour: r["count"] for r in vehicles.latest_windows(spark.read.parquet(sink)).collect()}
+    assert got == {0: 1, 5: 1, 6: 1, 9: 1}
 
 
 def test_change_stream_equals_one_application(spark, tmp_path):
@@ -98,6 +98,18 @@ def test_change_stream_equals_one_application(spark, tmp_path):
     assert rows_of(read_version(spark, root)) == [(0, "s0"), (1, "again"), (3, "r"), (4, "s4"), (9, "v")]
 
 
+def test_streams_from_fresh_checkpoints_all_apply(spark, tmp_path):
+    root = str(tmp_path / "root")
+    write_version(spark.createDataFrame([(1, "a")], "id long, name string"), root)
+    spark.range(1).write.parquet(f"{root}/archive")
+    for n, name in enumerate(("b", "c")):
+        path = str(tmp_path / f"in{n}")
+        spark.createDataFrame([(n, "update", 1, 1, name)], "seq long, op string, old_key long, id long, name string").coalesce(1).write.parquet(path)
+        changes.apply_stream(runs.stream_table(spark, path), root, "id", 2, keep=1)
+        assert rows_of(read_version(spark, root)) == [(1, name)]
+    assert spark.read.parquet(f"{root}/archive").count() == 1
+
+
 def test_partitions_follow_the_input(spark, data):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert 1 <= runs.state_partitions(spark, f"{data}/events.parquet") <= int(before)
