@@ -15,8 +15,9 @@ def safe_double(value: Column) -> Column:
 
 
 def safe_long(value: Column) -> Column:
-    """By way of a double, so that a fraction is cut off; what is no number is 0."""
-    return F.coalesce(value.try_cast("double").try_cast("long"), F.lit(0).cast("long"))
+    """Whole numbers keep all their digits; others go by way of a double, so that a fraction is cut off. What is no number
+    is 0."""
+    return F.coalesce(value.try_cast("long"), value.try_cast("double").try_cast("long"), F.lit(0).cast("long"))
 
 
 def safe_timestamp(value: Column) -> Column:

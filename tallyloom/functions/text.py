@@ -8,24 +8,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# All characters that count as white space.
+WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
 # The fragments that are taken out of a text, in this order.
 RISKY_FRAGMENTS = (
     r"--.*",
     r"/\*.*?\*/",
-    r";\s*$",
-    r"union\s+select",
-    r"drop\s+table",
-    r"delete\s+from",
-    r"insert\s+into",
-    r"update\s+set",
-    r"exec\s*\(",
-    r"execute\s*\(",
+    rf";[{WHITE}]*$",
+    rf"union[{WHITE}]+select",
+    rf"drop[{WHITE}]+table",
+    rf"delete[{WHITE}]+from",
+    rf"insert[{WHITE}]+into",
+    rf"update[{WHITE}]+set",
+    rf"exec[{WHITE}]*\(",
+    rf"execute[{WHITE}]*\(",
 )
 # A text with none of these, in small letters, holds no such fragment.
 RISKY_WORDS = ("--", "/*", ";", "union", "drop", "delete", "insert", "update", "exec")
-# All characters that count as white space.
-WHITE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
-         "\u2028\u2029\u202f\u205f\u3000")
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_.]*$"
 
 
@@ -45,8 +45,8 @@ def sanitize(text: Column) -> Column:
     plain = strip(F.coalesce(text, F.lit("")))
     out = plain
     for fragment in RISKY_FRAGMENTS:
-        out = F.regexp_replace(out, f"(?i){fragment}", "")
-    cleared = strip(F.regexp_replace(doubled(out), r";\s*$", ""))
+        out = F.regexp_replace(out, f"(?id){fragment}", "")  # d: a line ends at a line feed only
+    cleared = strip(F.regexp_replace(doubled(out), rf"(?d);[{WHITE}]*$", ""))
     return F.when(contains_any(text, RISKY_WORDS), cleared).otherwise(doubled(plain))
 
 

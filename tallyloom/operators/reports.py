@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.session import work_path
+
 ACTIVE_STATUSES = ("Scheduled", "Boarding", "Departed")
 
 
@@ -108,12 +110,17 @@ def revenue_by_airline(flights: DataFrame, passengers: DataFrame) -> DataFrame:
 
 def top_routes(flights: DataFrame, passengers: DataFrame, k: int = 10) -> DataFrame:
     """Origin and destination pairs by revenue. The destination may come from either side."""
-    joined = flights.join(passengers, "flight_id")
-    routes = joined.groupBy("origin", "destination").agg(
-        F.sum("ticket_price").alias("_revenue"), F.count("passport_id").alias("passengers"))
+    routes = _summed(flights, passengers, "origin", "destination").withColumnRenamed("_passengers", "passengers")
     return _route_list(routes, k)
 
 
+def _summed(flights: DataFrame, passengers: DataFrame, *keys: str) -> DataFrame:
+    """Revenue and passengers by keys that may come from either side; passengers are summed before they meet the flights."""
+    own = [k for k in keys if k in passengers.columns]
+    joined = flights.select("flight_id", *[k for k in keys if k not in own]).join(_per_flight(passengers, *own), "flight_id")
+    return joined.groupBy(*keys).agg(F.sum("_revenue").alias("_revenue"), F.sum("_passengers").alias("_passengers"))
+
+
 def _route_list(routes: DataFrame, k: int) -> DataFrame:
     ranked = routes.orderBy(F.col("_revenue").desc(), F.col("origin").asc(), F.col("destination").asc()).limit(k)
     return ranked.select(
@@ -140,15 +147,16 @@ def report_page(flights: DataFrame, passengers: DataFrame, airports: DataFrame,
                 active: Sequence[str] = ACTIVE_STATUSES) -> dict[str, DataFrame]:
     """The header and the nine reports of the page, by name.
 
-    Flights meet passengers once: the totals per airline and route are kept, and three reports add them up.
+    Flights meet passengers once: the totals per airline and route are written to the shared folder, and three reports
+    add them up.
     """
-    joined = flights.join(passengers, "flight_id")
-    totals = joined.groupBy("airline", "origin", "destination").agg(
-        F.sum("ticket_price").alias("ticket_price"), F.count("passport_id").alias("_passengers")).persist()
+    path = work_path(flights.sparkSession, "route-totals")
+    _summed(flights, passengers, "airline", "origin", "destination").write.parquet(path)
+    totals = flights.sparkSession.read.parquet(path)
     by_airline = totals.groupBy("airline").agg(
-        F.sum("_passengers").alias("count"), _money(F.sum("ticket_price")).alias("revenue"))
+        F.sum("_passengers").alias("count"), _money(F.sum("_revenue")).alias("revenue"))
     routes = totals.groupBy("origin", "destination").agg(
-        F.sum("ticket_price").alias("_revenue"), F.sum("_passengers").alias("passengers"))
+        F.sum("_revenue").alias("_revenue"), F.sum("_passengers").alias("passengers"))
     return {
         "summary": kpi_summary(flights, passengers, airports, active),
         "top_airports": top_airports(flights),

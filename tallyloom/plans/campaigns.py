@@ -60,7 +60,7 @@ def campaign_outbox(spark, folder):
     return spark.read.parquet(outbox)
 
 
-@udtf(returnType="channel string, copy string")
+@udtf(returnType="channel string, copy string", useArrow=True)
 class CampaignCopy:
     """Messages for one customer: one by mail, and one by text for those deep in debt."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import reports
 from tallyloom.plans import bindings as b
 from tallyloom.plans.book import BOOK
-from tallyloom.sources import generate, media, tables, versions
+from tallyloom.sources import generate, tables, versions
 from tallyloom.session import work_path
 
 WITH_FLIGHTS = "WITH " + b.FLIGHTS_SQL
@@ -180,11 +180,6 @@ def overwrite_stats(spark, folder):
     return versions.read_version(spark, root)
 
 
-@BOOK.add("file_catalog")
-def file_catalog(spark, folder):
-    return media.list_files(spark, folder, (".parquet",))
-
-
 @BOOK.add("rows_as_json", """
 SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","s_nationkey":' || s_nationkey ||
        ',"balance":"' || CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS VARCHAR) || '"}' AS "json" FROM supplier""")
@@ -194,9 +189,10 @@ def rows_as_json(spark, folder):
         "s_suppkey", "s_name", "s_nationkey", F.col("s_acctbal").cast("decimal(12,2)").alias("balance")))
 
 
-def _draw_sql(key: str, field: str, size: int) -> str:
+def _draw_sql(key: str, field: str, size: int | str) -> str:
     factor, offset = generate.draw_constants(field, 7)
-    mixed = f"(({key} % {generate.PRIME}) * {factor} + {offset}) % {generate.PRIME}"
+    high = f"(({key} // {generate.PRIME}) % {generate.PRIME}) * {factor * 69621 % generate.PRIME} % {generate.PRIME}"
+    mixed = f"(({key} % {generate.PRIME}) * {factor} % {generate.PRIME} + {high} + {offset}) % {generate.PRIME}"
     for _ in range(2):
         mixed = f"list_aggregate(list_transform([{mixed}], lambda h: (h * h + {offset}) % {generate.PRIME}), 'max')"
     return f"({mixed} % {size})"
@@ -250,7 +246,7 @@ WITH base AS (
 SELECT 'P' || {_between_sql('k', 'passport', 100000, 999999)} AS passport_id, first_name, last_name,
        lower(first_name) || '.' || lower(last_name) || k || '@email.com' AS email,
        '+1-555-' || {_between_sql('k', 'exchange', 100, 999)} || '-' || {_between_sql('k', 'line', 1000, 9999)} AS phone,
-       {_pick_sql('k', 'sex', generate.SEXES)} AS sex, CAST({_between_sql('k', 'flight', 1, 1000)} AS INTEGER) AS flight_id,
+       {_pick_sql('k', 'sex', generate.SEXES)} AS sex, {_draw_sql('k', 'flight', '(SELECT count(*) FROM orders)')} + 1 AS flight_id,
        {_between_sql('k', 'row', 1, 30)} || {_pick_sql('k', 'seat', generate.SEAT_LETTERS)} AS seat_number, class,
        {_NOW} - to_days(CAST({_between_sql('k', 'booked', 1, 60)} AS INTEGER)) AS booking_date,
        CAST(CASE class WHEN 'Economy' THEN {_between_sql('k', 'price', 150, 800)}
@@ -258,9 +254,9 @@ SELECT 'P' || {_between_sql('k', 'passport', 100000, 999999)} AS passport_id, fi
                   ELSE {_between_sql('k', 'price', 3500, 8000)} END AS DOUBLE) AS ticket_price
 FROM base""")
 def generate_passengers(spark, folder):
-    """One synthetic passenger for each order."""
+    """One synthetic passenger for each order, on as many flights."""
     ids = b.table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"))
-    return generate.generate_passengers(ids, 1000).withColumn("ticket_price", F.col("ticket_price").cast("double"))
+    return generate.generate_passengers(ids, ids.count()).withColumn("ticket_price", F.col("ticket_price").cast("double"))
 
 
 # Sorts and top-k

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import convert, display, geometry, text
@@ -24,7 +25,8 @@ def fn_route_label(spark, folder):
 
 
 # What is put at the end of a whole document: some tails are harmless, some hold risky fragments.
-RISKY = [" ", " and so on. \n", " it's done", "; DROP TABLE t", " -- 'note'", "/* hidden */ UNION  SELECT 1", " delete from t; ", "O'Hare execute (x) ;  "]
+RISKY = [" ", " and so on. \n", " it's done", "; DROP TABLE t", " -- 'note'", "/* hidden */ UNION  SELECT 1", " delete from t; ", "O'Hare execute (x) ;  ",
+         " a --x\ry\x85z\u2028", "union\xa0select", "exec\u2003(x);\x85\xa0"]
 
 
 def _strip_sql(expr: str) -> str:
@@ -36,7 +38,7 @@ def _sanitize_sql(expr: str) -> str:
     for fragment in text.RISKY_FRAGMENTS:
         out = f"regexp_replace({out}, '{fragment}', '', 'gi')"
     out = f"replace({out}, '''', '''''')"
-    return _strip_sql(f"regexp_replace({out}, ';\\s*$', '', 'g')")
+    return _strip_sql(f"regexp_replace({out}, ';[{text.WHITE}]*$', '', 'g')")
 
 
 def _list_sql(values):
@@ -102,15 +104,16 @@ def fn_blank_to_null(spark, folder):
 
 
 _RAW_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN NULL
-         WHEN 3 THEN '-7.9' ELSE '2024-02-03 04:05:06' END AS raw FROM events"""
+         WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN '-7.9' ELSE '9007199254740993' END ELSE '2024-02-03 04:05:06' END AS raw FROM events"""
 
 
 @BOOK.add("fn_safe_cast", f"""
-SELECT event_id, coalesce(raw, 'unknown') AS as_string, coalesce(CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT), 0) AS as_long,
+SELECT event_id, coalesce(raw, 'unknown') AS as_string,
+       coalesce(CASE WHEN regexp_matches(raw, '^[+-]?[0-9]+$') THEN TRY_CAST(raw AS BIGINT) END, CAST(trunc(TRY_CAST(raw AS DOUBLE)) AS BIGINT), 0) AS as_long,
        coalesce(TRY_CAST(raw AS DOUBLE), 0.0) AS as_double, TRY_CAST(raw AS TIMESTAMP) AS as_time FROM ({_RAW_SQL})""")
 def fn_safe_cast(spark, folder):
     raw = (F.when(F.col("event_id") % 5 == 0, F.col("value").cast("string")).when(F.col("event_id") % 5 == 1, F.col("event_type"))
-           .when(F.col("event_id") % 5 == 2, F.lit(None).cast("string")).when(F.col("event_id") % 5 == 3, F.lit("-7.9"))
+           .when(F.col("event_id") % 5 == 2, F.lit(None).cast("string")).when(F.col("event_id") % 5 == 3, F.when(F.col("event_id") % 2 == 0, F.lit("-7.9")).otherwise(F.lit("9007199254740993")))
            .otherwise(F.lit("2024-02-03 04:05:06")))
     rows = b.table(spark, folder, "events").select("event_id", raw.alias("raw"))
     return rows.select("event_id", convert.safe_string(F.col("raw")).alias("as_string"),
@@ -290,8 +293,9 @@ SELECT event_id, video_id, position FROM (
 WHERE position BETWEEN 11 AND 15""")
 def frame_slice(spark, folder):
     """Five sightings of each video from index 10."""
-    rows = number_rows(b.traffic(spark, folder).select("event_id", "video_id"), ["video_id"], ["event_id"])
-    return rows.filter(F.col("position").between(11, 15))
+    position = F.row_number().over(Window.partitionBy("video_id").orderBy("event_id"))
+    rows = b.traffic(spark, folder).select("event_id", "video_id").withColumn("position", position.cast("long"))
+    return rows.filter("position <= 15").filter("position >= 11")
 
 
 @BOOK.add("grid_search", """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tallyloom.operators import maintain
 from tallyloom.plans import bindings as b
 from tallyloom.plans.book import BOOK
+from tallyloom.session import work_path
+from tallyloom.sources import versions
 
 COLUMNS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 FAR = 10**9
@@ -75,3 +78,17 @@ def dml_replace(spark, folder):
 def dml_delete(spark, folder):
     gone = b.table(spark, folder, "supplier").filter("s_acctbal < 5000").select(F.col("s_suppkey").alias("c_custkey"))
     return maintain.delete(b.customers(spark, folder), gone, "c_custkey")
+
+
+@BOOK.add("dml_rollback", f"SELECT {COLUMNS} FROM customer")
+def dml_rollback(spark, folder):
+    """A commit that fails half way: the table reads as before."""
+    root = work_path(spark, "customer")
+    versions.write_version(b.customers(spark, folder), root)
+    broken = F.when(F.col("c_custkey") % 97 == 0, F.raise_error(F.lit("no such balance")).cast("double")).otherwise(F.lit(0.0))
+    try:
+        maintain.commit(spark, root, lambda base: base.withColumn("c_acctbal", broken))
+    except SparkRuntimeException as error:
+        if "no such balance" not in str(error):
+            raise
+    return versions.read_version(spark, root).select(*COLUMNS.split(", "))

@@ -182,17 +182,14 @@ def vehicle_speed(spark, folder):
 
 
 @BOOK.add("metric_diff", """
-SELECT DISTINCT p_brand AS metric, 'missing' AS problem FROM part
-WHERE p_size < 25 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size >= 40)
-UNION ALL
-SELECT DISTINCT p_brand, 'unexpected' FROM part
-WHERE p_size >= 40 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 25)
-UNION ALL SELECT DISTINCT p_type, 'missing' FROM part""")
+WITH named AS (SELECT p_brand || ' ' || split_part(p_type, ' ', 1) || ' ' || p_size % 10 AS metric, p_size < 25 AS expected FROM part),
+sides AS (SELECT metric, bool_or(expected) AS e, bool_or(NOT expected) AS a FROM named GROUP BY 1)
+SELECT metric, CASE WHEN e THEN 'missing' ELSE 'unexpected' END AS problem FROM sides WHERE e <> a""")
 def metric_diff(spark, folder):
+    """Small parts name what is expected, all others what is there."""
+    metric = F.concat_ws(" ", "p_brand", F.split("p_type", " ")[0], F.col("p_size") % 10).alias("metric")
     part = b.table(spark, folder, "part")
-    expected = part.filter("p_size < 25").select(F.col("p_brand").alias("metric")).unionByName(
-        part.select(F.col("p_type").alias("metric")))
-    return t.metric_difference(expected, part.filter("p_size >= 40").select(F.col("p_brand").alias("metric")))
+    return t.metric_difference(part.filter("p_size < 25").select(metric), part.filter("p_size >= 25").select(metric))
 
 
 # Questions

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.sources.tables import SEED_ROWS
 
-# Fixed values of the generator.
+# Fixed values of the generator; the names of people are our own.
 STATUSES = ["Scheduled", "Boarding", "Departed", "Arrived", "Delayed", "Cancelled"]
 AIRCRAFT_TYPES = ["Boeing 737", "Boeing 777", "Airbus A320", "Airbus A380", "Boeing 787"]
-FIRST_NAMES = ["John", "Jane", "Michael", "Emily", "David", "Sarah", "Robert", "Lisa", "James", "Mary",
-               "William", "Patricia", "Richard", "Jennifer", "Thomas"]
-LAST_NAMES = ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis", "Rodriguez",
-              "Martinez", "Hernandez", "Lopez", "Wilson"]
+FIRST_NAMES = ["Ada", "Boris", "Chloe", "Dmitri", "Elif", "Farid", "Greta", "Hugo", "Ines", "Jonas", "Kaya", "Lars", "Mina",
+               "Noor", "Otto"]
+LAST_NAMES = ["Abel", "Brandt", "Costa", "Duval", "Ekman", "Ferrari", "Grau", "Holm", "Ivanov", "Jensen", "Kowalski",
+              "Lindt", "Moreau"]
 SEXES = ["Male", "Female"]
 CLASSES = ["Economy", "Business", "First Class"]
 SEAT_LETTERS = ["A", "B", "C", "D", "E", "F"]
@@ -38,11 +38,13 @@ def draw_constants(field: str, seed: int) -> tuple[int, int]:
 def draw(row_id: Column, field: str, seed: int, size: int) -> Column:
     """A whole number in [0, size) that depends on the row, the field and the seed alone.
 
-    The id is scrambled by a line and two squares modulo a prime, which stays within 63 bits.
+    Both halves of the 64-bit id are scrambled by a line each and together by two squares modulo a prime, which stays
+    within 63 bits.
     """
     factor, offset = draw_constants(field, seed)
     prime, shift = F.lit(PRIME), F.lit(offset)
-    mixed = (F.pmod(row_id.cast("long"), prime) * F.lit(factor) + shift) % prime
+    low, high = F.pmod(row_id.cast("long"), prime), F.pmod(F.floor(row_id.cast("long") / prime), prime)
+    mixed = (low * F.lit(factor) % prime + high * F.lit(factor * 69621 % PRIME) % prime + shift) % prime
     mixed = (mixed * mixed + shift) % prime
     mixed = (mixed * mixed + shift) % prime
     return mixed % size
@@ -119,7 +121,7 @@ def generate_passengers(ids: DataFrame, n_flights: int, seed: int = 7, now: str
         F.concat(F.lit("+1-555-"), between(key, "exchange", seed, 100, 999).cast("string"), F.lit("-"),
                  between(key, "line", seed, 1000, 9999).cast("string")).alias("phone"),
         pick(key, "sex", seed, SEXES).alias("sex"),
-        between(key, "flight", seed, 1, n_flights).cast("int").alias("flight_id"),
+        between(key, "flight", seed, 1, n_flights).alias("flight_id"),
         F.concat(between(key, "row", seed, 1, 30).cast("string"), pick(key, "seat", seed, SEAT_LETTERS))
         .alias("seat_number"),
         "class",

@@ -133,15 +133,17 @@ def list_tables(spark: SparkSession, catalog: str | None = None, schema: str | N
     """
     current = spark.catalog.currentCatalog()
     rows: list[tuple[str, str, str]] = []
-    for cat in spark.catalog.listCatalogs():
-        if catalog and cat.name != catalog:
-            continue
-        spark.catalog.setCurrentCatalog(cat.name)
-        for space in spark.catalog.listDatabases():
-            if schema and space.name != schema:
+    try:
+        for cat in spark.catalog.listCatalogs():
+            if catalog and cat.name != catalog:
                 continue
-            rows += [(cat.name, space.name, t.name) for t in spark.catalog.listTables(space.name)]
-    spark.catalog.setCurrentCatalog(current)
+            spark.catalog.setCurrentCatalog(cat.name)
+            for space in spark.catalog.listDatabases():
+                if schema and space.name != schema:
+                    continue
+                rows += [(cat.name, space.name, t.name) for t in spark.catalog.listTables(space.name)]
+    finally:
+        spark.catalog.setCurrentCatalog(current)
     return spark.createDataFrame(rows, "catalog string, schema string, table_name string")
 
 

@@ -4,9 +4,10 @@ import pytest
 from compare import difference
 
 import __spark_entry__ as entry
+from tallyloom.plans.all import BOOK
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = BOOK.queries
+SQL = BOOK.oracles
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -21,3 +22,4 @@ def test_entry(spark):
 
 def test_sql_names_are_queries():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())

@@ -101,3 +101,12 @@ def test_shared_folder_is_the_checkpoint_folder(spark):
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
     assert spark.sparkContext.getCheckpointDir() is not None
     assert work_path(spark, "x") != work_path(spark, "x")
+
+
+def test_ids_far_apart_draw_other_rows(spark):
+    step = 2**31 - 1
+    ids = spark.createDataFrame([(5,), (5 + step,), (5 + 2 * step,)], "row_id long")
+    rows = [tuple(r) for r in generate.generate_passengers(ids, 10**12).drop("email").collect()]
+    assert len({r[0] for r in rows}) == 3 and len({r[3] for r in rows}) == 3
+    far = generate.generate_flights(ids.withColumnRenamed("row_id", "flight_id")).collect()
+    assert [r["flight_id"] for r in far] == [5, 5 + step, 5 + 2 * step]
