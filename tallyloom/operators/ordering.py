@@ -10,31 +10,31 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tallyloom.session import work_path
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
 RANGE_ROWS = 500_000
+#: Sampled rows for each range.
+PICKED = 100
+#: Ranges of the right side of a comparison join, which become part of its plan.
 MAX_RANGES = 4096
-MAX_CELLS = 65_536
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more rows than one task should hold, or None.
+    """Keys with more rows than one task should hold, as a table in the shared folder, or None."""
+    counts = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    found = _kept(counts, "hot-keys")
+    return None if found.isEmpty() else found
 
-    The bar rises with the table, so that no more than ``MAX_HOT_KEYS`` keys can pass it.
-    """
-    total = df.count()
-    bar = max(hot_rows, total // MAX_HOT_KEYS)
-    if total <= bar:
-        return None
-    found = df.groupBy(*keys).count().filter(F.col("count") > bar).select(*keys).collect()
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table: sampling and counting are done once, and its size tells Spark how to join it."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
@@ -46,7 +46,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
     hot = hot_keys(df if sized is None else sized, keys, hot_rows)
     if hot is None:
         return df, None
-    named = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
 
@@ -86,46 +86,39 @@ def rank_among(value: Column, cuts: Column, size: int) -> Column:
     return F.get(F.transform(F.array(value), search), F.lit(0))
 
 
-def _grid_rank(value: Column, cuts: Sequence[float]) -> Column | None:
-    """``rank_among`` on a grid over the cut points, one look-up for each row; None where the grid is too coarse.
+def _rank_in(point: Column, cuts: Column) -> Column:
+    """Number of cut points at or below a point, by halving an array of the row."""
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        right = (at["low"] < at["high"]) & F.coalesce(F.get(cuts, middle) <= point, F.lit(False))
+        return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"),
+                        F.when(right | (at["low"] == at["high"]), at["high"]).otherwise(middle).alias("high"))
 
-    Cut points move to the edges of their cells. The ranges stay in order, which is all that is asked of them.
-    """
-    low, high = float(cuts[0]), float(cuts[-1])
-    cells = min(MAX_CELLS, max(1024, 16 * len(cuts)))
-    if not (np.isfinite(low) and np.isfinite(high) and high > low):
-        return None
-    scale = cells / (high - low)
-    at = np.clip([(float(c) - low) * scale for c in cuts], 0, cells - 1).astype(int)
-    if 2 * len(set(at.tolist())) < len(cuts):
-        return None
-    ranks = F.split(F.lit(",".join(map(str, np.searchsorted(at, np.arange(cells), side="right")))), ",").cast("array<int>")
-    exact = value.cast("double")
-    cell = F.least(F.greatest((exact - F.lit(low)) * F.lit(scale), F.lit(0.0)), F.lit(cells - 1.0)).cast("int")
-    inside = F.when(exact < F.lit(low), F.lit(0)).otherwise(F.get(ranks, cell))
-    return F.when(F.isnan(exact), F.lit(len(cuts))).otherwise(inside)
-
-
-def range_of(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple]) -> Column:
-    """The range a row falls in. Nulls come first, as in a window.
-
-    A numeric first column decides alone if its cut points differ enough.
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(cuts).cast("long"))))
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    return F.aggregate(steps, start, halve, lambda at: at["low"])
+
+
+def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_range``: each key is cut at points of its own, taken from a sample over all order columns.
+
+    A range has about ``RANGE_ROWS`` rows, so there are the more of them the more rows a key has; tests ask for a number
+    of ranges instead. Nulls come first, as in a window.
     """
-    if not bounds:
-        return F.lit(0)
-    types = [df.schema[c].dataType for c in order]
-    lead = F.col(order[0])
-    if isinstance(types[0], T.NumericType):
-        firsts = sorted({point[0] for point in bounds})
-        quick = _grid_rank(lead, firsts) if 2 * len(firsts) > len(bounds) and len(firsts) > 1 else None
-        if quick is not None:
-            return F.when(lead.isNull(), F.lit(0)).otherwise(quick)
-    if len(order) == 1:
-        cuts = F.array(*[F.lit(point[0]).cast(types[0]) for point in bounds])
-        return F.when(lead.isNull(), F.lit(0)).otherwise(rank_among(lead, cuts, len(bounds)))
-    here = F.struct(*[F.col(c) for c in order])
-    cuts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, types, order)]) for p in bounds])
-    return rank_among(here, cuts, len(bounds))
+    point = F.struct(*[F.col(c) for c in order])
+    share = min(1.0, PICKED / RANGE_ROWS if ranges is None else 1.5 * PICKED * ranges / max(df.count(), 1))
+    picked = df.select(*keys, point.alias("_point")).sample(False, share, 11).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_point")).alias("_sorted"))
+    step = F.lit(PICKED) if ranges is None else F.greatest(F.floor(F.size("_sorted") / ranges).cast("int"), F.lit(1))
+    each = F.filter("_sorted", lambda _, i: i % step == step - 1)
+    cuts = _kept(picked.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.array_distinct(each).alias("_cuts")), "cuts")
+    if keys:
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys])
+        cut = df.join(cuts, same, "left")
+    else:
+        cut = df.withColumn("_cuts", cuts.select("_cuts").scalar())
+    return cut.withColumn("_range", F.when(F.size("_cuts") > 0, _rank_in(point, F.col("_cuts"))).otherwise(F.lit(0))).select(
+        *[F.col(c) for c in df.columns], "_range")
 
 
 def prefix_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None,
@@ -158,13 +151,13 @@ def scan_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
                 maxes: Mapping[str, Column] | None = None, inclusive: bool = True, ranges: int | None = None) -> DataFrame:
     """The scan with each key cut into ranges, for keys of any size."""
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    cut = df.withColumn("_range", range_of(df, order, range_bounds(df, order, ranges)))
+    cut = with_ranges(df, keys, order, ranges)
     totals = cut.groupBy(*keys, "_range").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"_max_{n}") for n, c in maxes.items()],
     )
-    # One row per key and range: at most `ranges` of them for each hot key.
+    # One row per key and range.
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     heads = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"),
@@ -173,7 +166,7 @@ def scan_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     )
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
                   F.col("_range") == F.col("_k_range"))
-    joined = cut.join(F.broadcast(heads) if not keys else heads, same)
+    joined = cut.join(heads, same)
     line = _so_far([*keys, "_range"], order, inclusive)
     zero = F.lit(0)
     return joined.select(

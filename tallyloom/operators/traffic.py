@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import (
-    HOT_ROWS, first_and_last, range_bounds, range_of, split_hot)
+    HOT_ROWS, first_and_last, split_hot, with_ranges)
 
 SPEED_LIMIT = 130
 FPS = 30
@@ -346,7 +346,7 @@ def trailing_speed(events: DataFrame, keys: Sequence[str] = ("video_id", "car_id
 
 
 def _speed_in_ranges(events, keys, order, position, buffer, fps, least, ranges) -> DataFrame:
-    cut = events.withColumn("_range", range_of(events, order, range_bounds(events, order, ranges)))
+    cut = with_ranges(events, keys, order, ranges)
     latest = Window.partitionBy(*keys, "_range").orderBy(*[F.col(c).desc() for c in order])
     item = F.struct(*[F.col(c) for c in order], F.col(position))
     tails = (
