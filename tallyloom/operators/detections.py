@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import display, geometry
@@ -96,46 +97,60 @@ def _greedy(ranked: np.ndarray, threshold: float) -> np.ndarray:
     return kept
 
 
+def _reach(axis: str, base: float) -> list[Column]:
+    """Steps along one axis to all size classes and cells that may hold a partner of a box."""
+    return [F.struct(F.lit(step).alias(f"{axis}s"), F.lit(cell).alias(f"{axis}c"))
+            for step, far in ((-1, math.ceil(base)), (0, 1), (1, 1)) for cell in range(-far, far + 1)]
+
+
 def _grid(boxes: DataFrame, keys: Sequence[str], threshold: float, order: str) -> DataFrame:
     """Suppression in rounds.
 
-    Two boxes that overlap by more than t have centres less than (1 - t) times the larger side apart, so with cells
-    of that size they are in the same or in adjoining cells. In each round the best box of a cell is kept
-    if no undecided box around it is better, and it removes the boxes it covers. A round moves one box per cell and
-    never pairs the boxes of a frame with each other.
+    Two boxes that overlap by more than t have sides that differ by less than a factor 1/t, so with size classes by powers
+    of that, or of two if it is more, they are in the same or in adjoining classes. Their centres are less than (1 - t)
+    times the larger side apart; with cells of that size, one grid for each size class, a partner is few cells away. In each round the best box of a cell is kept if no undecided box that may be its partner is better, and it
+    removes the boxes it covers. A round moves one box per cell and never pairs the boxes of a frame with each other, and
+    a few large boxes do not widen the cells of the others.
     """
-    spark = boxes.sparkSession
-    shared_folder(spark)
-    width, height = boxes.agg(F.max(F.col("x2") - F.col("x1")), F.max(F.col("y2") - F.col("y1"))).first()
-    if width is None:
-        return boxes
-    across = max(float(width) * (1 - threshold), 1e-9)
-    down = max(float(height) * (1 - threshold), 1e-9)
+    base = max(2.0, 1 / threshold)
+    shared_folder(boxes.sparkSession)
     names = boxes.columns
-    cell = ["_cx", "_cy"]
-    undecided = boxes.withColumns({
-        "_cx": F.floor((F.col("x1") + F.col("x2")) / 2 / across),
-        "_cy": F.floor((F.col("y1") + F.col("y2")) / 2 / down),
-        "_rank": F.struct(F.col("confidence").alias("c"), (-F.col(order)).alias("o")),
-    })
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    cell = ["_sx", "_sy", "_cx", "_cy"]
+
+    def size_class(side: Column) -> Column:
+        return F.floor(F.log(base, F.greatest(side.cast("double"), F.lit(1e-9)))).cast("int")
+
+    def cell_of(middle: Column, size: Column) -> Column:
+        return F.floor(middle / (F.pow(F.lit(base), size + 1) * (1 - threshold)))
+
+    placed = boxes.withColumns({
+        "_mx": (F.col("x1") + F.col("x2")) / 2, "_my": (F.col("y1") + F.col("y2")) / 2,
+        "_sx": size_class(F.col("x2") - F.col("x1")), "_sy": size_class(F.col("y2") - F.col("y1")),
+        "_rank": F.struct(F.col("confidence").alias("c"), (-F.col(order)).alias("o"))})
+    undecided = placed.withColumns({"_cx": cell_of(F.col("_mx"), F.col("_sx")), "_cy": cell_of(F.col("_my"), F.col("_sy"))})
+
+    def spread(tops: DataFrame) -> DataFrame:
+        """Each top box at all cells that may hold partners of it."""
+        across = tops.select(*keys, "_top", F.explode(F.array(*_reach("x", base))).alias("_x"))
+        both = across.select(*keys, "_top", "_x", F.explode(F.array(*_reach("y", base))).alias("_y"))
+        sx, sy = F.col("_top._sx") + F.col("_x.xs"), F.col("_top._sy") + F.col("_y.ys")
+        return both.select(*keys, "_top", sx.alias("_sx"), sy.alias("_sy"),
+                           (cell_of(F.col("_top._mx"), sx) + F.col("_x.xc")).alias("_cx"),
+                           (cell_of(F.col("_top._my"), sy) + F.col("_y.yc")).alias("_cy"))
+
     kept = None
     while True:
         undecided = undecided.checkpoint()
         if undecided.isEmpty():
             break
-        tops = undecided.groupBy(*keys, *cell).agg(F.max_by(F.struct(*names, "_rank"), F.col("_rank")).alias("_top"))
-        around = tops.select(*keys, *cell, "_top", near.alias("_to"))
-        seen = around.groupBy(
-            *keys, (F.col("_cx") + F.col("_to.i")).alias("_cx"), (F.col("_cy") + F.col("_to.j")).alias("_cy")
-        ).agg(F.max("_top._rank").alias("_best"))
+        best = F.max_by(F.struct(*names, "_rank", "_mx", "_my", "_sx", "_sy"), F.col("_rank"))
+        tops = undecided.groupBy(*keys, *cell).agg(best.alias("_top"))
+        seen = spread(tops).groupBy(*keys, *cell).agg(F.max("_top._rank").alias("_best"))
         winners = tops.join(seen, [*keys, *cell]).filter(F.col("_top._rank") == F.col("_best")).drop("_best").checkpoint()
         chosen = winners.select(*[F.col(f"_top.{n}").alias(n) for n in names])
         kept = chosen if kept is None else kept.unionByName(chosen)
-        # A cell hears of at most nine winners.
-        heard = winners.select(*keys, *cell, "_top", near.alias("_to")).groupBy(
-            *keys, (F.col("_cx") + F.col("_to.i")).alias("_cx"), (F.col("_cy") + F.col("_to.j")).alias("_cy")
-        ).agg(F.collect_list("_top").alias("_winners"))
+        # Winners are no partners of each other, so a cell hears of a bounded number.
+        heard = spread(winners).groupBy(*keys, *cell).agg(F.collect_list("_top").alias("_winners"))
         here = F.struct(*[F.col(n) for n in ("x1", "y1", "x2", "y2")])
         gone = F.exists("_winners", lambda w: (w[order] == F.col(order)) | (geometry.overlap(w, here) > threshold))
         undecided = undecided.join(heard, [*keys, *cell], "left").filter(~F.coalesce(gone, F.lit(False))).drop("_winners")

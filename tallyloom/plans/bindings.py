@@ -156,7 +156,10 @@ def detections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detection_rows(sightings: DataFrame) -> DataFrame:
-    x, y, key = F.col("position_x"), F.col("position_y"), F.col("event_id")
+    """Boxes drawn to twelve places of the picture with some jitter, so that those of a frame overlap in chains."""
+    key = F.col("event_id")
+    x = F.col("position_x") - F.col("position_x") % 960 + 480 + (key * 13) % 90
+    y = F.col("position_y") - F.col("position_y") % 720 + 640 + (key * 29) % 60
     width = (F.lit(400) + (key * 7) % 60).cast("double")
     height = (F.lit(300) + (key * 11) % 40).cast("double")
     class_id = F.when(F.col("vehicle_type") == "truck", F.lit(7)).otherwise(F.lit(2))
@@ -171,16 +174,18 @@ def detection_rows(sightings: DataFrame) -> DataFrame:
     )
 
 
-DETECTIONS_SQL = TRAFFIC_SQL + """, detections AS (
+DETECTIONS_SQL = TRAFFIC_SQL + """, drawn AS (
+  SELECT *, position_x - position_x % 960 + 480 + (event_id * 13) % 90 AS px, position_y - position_y % 720 + 640 + (event_id * 29) % 60 AS py FROM traffic),
+detections AS (
   SELECT event_id, video_id, frame_id, "timestamp",
-         position_x - (400 + (event_id * 7) % 60)::DOUBLE / 2 AS x1,
-         position_y - (300 + (event_id * 11) % 40)::DOUBLE AS y1,
-         position_x + (400 + (event_id * 7) % 60)::DOUBLE / 2 AS x2,
-         position_y::DOUBLE AS y2,
+         px - (400 + (event_id * 7) % 60)::DOUBLE / 2 AS x1,
+         py - (300 + (event_id * 11) % 40)::DOUBLE AS y1,
+         px + (400 + (event_id * 7) % 60)::DOUBLE / 2 AS x2,
+         py::DOUBLE AS y2,
          ((event_id * 17) % 100) / 100.0::DOUBLE AS confidence,
          CASE WHEN vehicle_type = 'truck' THEN 7 ELSE 2 END AS class_id,
          car_id AS tracker_id, processing_datetime
-  FROM traffic)"""
+  FROM drawn)"""
 
 
 # Churn: customers in debt.

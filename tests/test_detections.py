@@ -73,6 +73,18 @@ def test_middle_box_falls_and_the_outer_two_stay(spark):
         assert sorted(r["event_id"] for r in d.suppress(boxes, 0.7, frame_boxes=few, crowd_boxes=many).collect()) == [0, 2]
 
 
+def test_a_giant_box_does_not_slow_the_others(spark, monkeypatch):
+    small = [("v", 1, 100.0 * k, 0.0, 20.0, 20.0, 0.5, 2) for k in range(12)]
+    rounds = []
+    frame = type(boxes_of(spark, []))
+    plain = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: (rounds[-1].append(1), plain(self, *a))[1])
+    for rows in (small, [*small, ("v", 1, 0.0, 0.0, 5000.0, 5000.0, 0.9, 2)]):
+        rounds.append([])
+        assert len(d.suppress(boxes_of(spark, rows), frame_boxes=0, crowd_boxes=0).collect()) == len(rows)
+    assert len(rounds[0]) == len(rounds[1])
+
+
 def test_no_boxes(spark):
     assert d.suppress(boxes_of(spark, [])).count() == 0
 
