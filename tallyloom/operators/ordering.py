@@ -21,6 +21,8 @@ RANGE_ROWS = 500_000
 PICKED = 100
 #: Ranges of the right side of a comparison join, which become part of its plan.
 MAX_RANGES = 4096
+#: What one side of a broadcast join may measure.
+SMALL_BYTES = 32 << 20
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -201,6 +203,8 @@ def first_and_last(value: str, order: str) -> tuple[Column, Column]:
     return F.min_by(F.col(value), at), F.max_by(F.col(value), at)
 
 
-def is_small(df: DataFrame, rows: int = 50_000) -> bool:
-    """Whether the frame has at most ``rows`` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = 50_000, size: int = SMALL_BYTES) -> bool:
+    """Whether the frame has at most ``rows`` rows and ``size`` bytes, measured; reads no more than one row beyond that."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    found = df.toDF(*[f"c{k}" for k in range(len(df.columns))]).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= size

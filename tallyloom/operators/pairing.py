@@ -1,7 +1,7 @@
 """Joins on a comparison between columns, and on a comparison with a literal.
 
-A comparison join is run against a broadcast side only when that side has been counted and
-is small. Beyond that the right side is cut into ranges of its column and each left row visits the ranges that can
+A comparison join is run against a broadcast side only when its rows and bytes have been measured and
+are few. Beyond that the right side is cut into ranges of its column and each left row visits the ranges that can
 hold a partner, so the work follows the size of the answer and no task sees a whole side.
 """
 
@@ -127,16 +127,17 @@ def pattern_join(left: Side, right: Side, how: str, small_rows: int = SMALL_ROWS
 
 
 def literal_join(left: DataFrame, right: DataFrame, test: Column, how: str, small_rows: int = SMALL_ROWS,
-                 blocks: int = 64) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """ON names a left column and a literal only, so a left row that passes meets every right row.
 
-    The answer has that many rows by definition. The right side is broadcast when counted small; else it is
-    dealt into blocks by hash and every passing left row visits each block.
+    The answer has that many rows by definition. The right side is broadcast when measured small; else it is
+    dealt by hash into blocks, the more the larger it is, and every passing left row visits each block.
     """
     passing = F.coalesce(test, F.lit(False))
     if is_small(right, small_rows):
         marked = F.broadcast(right.withColumn("_place", F.lit(0)))
         return left.withColumn("_visit", F.when(passing, 0)).join(marked, F.col("_visit") == F.col("_place"), how)
+    blocks = blocks or max(64, right.count() // BLOCK_ROWS)
     dealt = right.withColumn("_place", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(blocks)).cast("int"))
     visits = F.when(passing, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array(F.lit(None).cast("int")))
     joined = left.withColumn("_visit", F.explode(visits)).join(dealt, F.col("_visit") == F.col("_place"), how)

@@ -200,3 +200,10 @@ def test_sort_by_a_column_that_is_not_shown(people):
     assert got.columns == ["name"] and [r[0] for r in got.collect()] == [None, "O'Hare", "Ann"]
     with pytest.raises(rq.RequestError):
         run_request(Request("people", columns=("name",), order_by=("height",)), people)
+
+
+def test_wide_rows_are_not_small(spark):
+    from tallyloom.operators.ordering import is_small
+    wide = spark.range(1000).select(F.expr("repeat('x', 200000)").alias("t"))
+    assert not is_small(wide) and is_small(wide.limit(100)) and is_small(spark.range(1000)) and not is_small(spark.range(60_000))
+    assert is_small(spark.range(0))
