@@ -2,8 +2,8 @@
 
 A word's probability is that of its class given the two words before, times that of its slot within the class given the
 same, times the word's share of its slot. Class and slot are softmax distributions over sums of weight rows, one row for each
-feature of the context: the word before, the two words before, and the word before that one (a skip). Features are
-hashed into tables of fixed size. The most frequent words have a slot of their own; the others share slots by hash and
+feature of the context: the word before and the two words before for classes, the word before and the one before that (a
+skip) for slots. Features are hashed into tables of fixed size. The most frequent words have a slot of their own; the others share slots by hash and
 are told apart by their counts, over the whole training text and without any cap.
 
 Training goes over every training document once, in rounds. In a round every task starts from the same weights, makes
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +33,9 @@ END = b""
 #: Hashes of contexts before the first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+#: Contexts: the word before, the two words before, the word before that one. Classes go by the first two, slots by the first
+#: and the skip.
+CLASS_SEES, SLOT_SEES = [0, 1], [0, 2]
 #: Rows of weights that travel as one piece.
 BLOCK = 512
 
@@ -47,7 +50,7 @@ class Shape:
     slots: int = 32
     class_bits: int = 14
     slot_bits: int = 15
-    head: int = 200_000
+    head: int = 100_000
     flush: int = 300_000
     rounds: int = 2
     chunk: int = 2048
@@ -110,8 +113,14 @@ class Vocabulary:
             self._owned = {w: k for k, w in zip(range(size), self.head, strict=False)}
         return self._owned
 
+    def shared(self, context: SparkContext) -> Broadcast[Vocabulary]:
+        """The vocabulary on its way to the tasks, once for training and scoring."""
+        if not hasattr(self, "_shared"):
+            self._shared = context.broadcast(self)
+        return self._shared
+
     def __getstate__(self) -> dict[str, object]:
-        return {k: v for k, v in self.__dict__.items() if k != "_owned"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_owned", "_shared")}
 
 
 def vocabulary(counts: DataFrame, shape: Shape = Shape()) -> Vocabulary:
@@ -122,8 +131,8 @@ def vocabulary(counts: DataFrame, shape: Shape = Shape()) -> Vocabulary:
     mass = np.ones(size)
     for r in totals:
         mass[r["b"]] += r["c"] + r["v"]
-    head = {r["word"].encode("utf-8", "surrogatepass"): r["c"]
-            for r in counts.orderBy(F.desc("c"), "word").limit(shape.head).collect()}
+    top = counts.orderBy(F.desc("c"), "word").limit(shape.head).select("word", "c").toArrow()
+    head = {w.encode("utf-8", "surrogatepass"): c for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)}
     for k, w in zip(range(size), head, strict=False):
         mass[zlib.crc32(w) % size] -= head[w] + 1
         mass[k] += head[w] + 1
@@ -184,8 +193,9 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
 
 def _rows(context: np.ndarray, group: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the class table, and of the slot table for the given classes; one line per feature."""
-    slot = (context + (group.astype(np.uint64) + np.uint64(1)) * _MIX[3]) * _MIX[1]
-    return ((context >> np.uint64(64 - shape.class_bits)).astype(np.uint16), (slot >> np.uint64(64 - shape.slot_bits)).astype(np.uint16))
+    slot = (context[SLOT_SEES] + (group.astype(np.uint64) + np.uint64(1)) * _MIX[3]) * _MIX[1]
+    return ((context[CLASS_SEES] >> np.uint64(64 - shape.class_bits)).astype(np.uint16),
+            (slot >> np.uint64(64 - shape.slot_bits)).astype(np.uint16))
 
 
 def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -297,7 +307,7 @@ def train(docs: DataFrame, known: Vocabulary, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(text).alias("text"), (F.floor(key_of(F.col(doc_id)) / FOLDS) % shape.rounds).alias("turn"))
     splits = rows.rdd.getNumPartitions()
     tasks = min(splits, max(context.defaultParallelism, splits // shape.splits_per_task))
-    weights, shared = Weights.fresh(known), context.broadcast(known)
+    weights, shared = Weights.fresh(known), known.shared(context)
     for turn in range(shape.rounds):
         sent = context.broadcast(weights)
 
@@ -315,7 +325,6 @@ def train(docs: DataFrame, known: Vocabulary, doc_id: str = "doc_id", text: str
         moved = _added(_added(moves, "block", "salt").withColumn("salt", F.lit(0)), "block").collect()
         weights = _moved(weights, {r["block"]: (r["tokens"], bytes(r["move"])) for r in moved}, shape)
         sent.unpersist()
-    shared.unpersist()
     return weights
 
 
@@ -333,26 +342,27 @@ def _moved(weights: Weights, moved: dict[int, tuple[int, bytes]], shape: Shape)
 
 
 SCORED = ("struct<n_tokens: bigint, head_known: bigint, head_log: double, slot_log: double, "
-          "tail: array<struct<word: string, n: int>>>")
+          "tail: string, tail_n: array<int>>")
 
 
 def _scored(batch: Batch, known: Vocabulary, weights: Weights, mass: np.ndarray) -> pd.DataFrame:
     """Per text: tokens, those in the head, and log10 sums of count plus one and of class, slot and share; words beyond the
-    head with how often they come."""
+    head, between blanks, and how often each comes."""
     count = np.fromiter((known.head.get(w, 0) for w in batch.kinds), dtype=np.float64, count=len(batch.kinds))
     ends = np.cumsum(batch.lengths)
     starts = ends - batch.lengths
     in_head = count > 0
-    tails = []
+    rare_at = ~in_head[batch.ids]
+    tails, times = [], []
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        own = batch.ids[a:b]
-        rare, n = np.unique(own[~in_head[own]], return_counts=True)
-        tails.append([{"word": batch.kinds[k].decode("utf-8", "surrogatepass"), "n": m}
-                      for k, m in zip(rare.tolist(), n.tolist(), strict=True)])
+        rare, n = np.unique(batch.ids[a:b][rare_at[a:b]], return_counts=True)
+        tails.append(b" ".join([batch.kinds[k] for k in rare.tolist()]).decode("utf-8", "surrogatepass"))
+        times.append(n.astype(np.int32))
     return pd.DataFrame({
         "n_tokens": batch.lengths, "head_known": np.add.reduceat(in_head[batch.ids].astype(np.int64), starts),
         "head_log": np.add.reduceat(np.log10(count + 1.0)[batch.ids], starts),
-        "slot_log": np.add.reduceat(log10_slots(weights, batch, known.shape) - mass[batch.bucket], starts), "tail": tails})
+        "slot_log": np.add.reduceat(log10_slots(weights, batch, known.shape) - mass[batch.bucket], starts),
+        "tail": pd.Series(tails, dtype="object"), "tail_n": pd.Series(times, dtype="object")})
 
 
 def score(docs: DataFrame, counts: DataFrame, known: Vocabulary, weights: Weights, doc_id: str = "doc_id",
@@ -362,21 +372,23 @@ def score(docs: DataFrame, counts: DataFrame, known: Vocabulary, weights: Weight
     A null text is the end alone. Repeated rows get a score each. Without training text every token has the
     same share, and the score comes from the untrained model.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((known, weights))
+    context = docs.sparkSession.sparkContext
+    shared, sent = known.shared(context), context.broadcast(weights)
 
     @F.pandas_udf(SCORED)
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, weights = shared.value
+        known, weights = shared.value, sent.value
         mass = np.log10(known.mass)
         for part in texts:
             yield pd.concat([_scored(batch, known, weights, mass) for batch in _batches(part, known)], ignore_index=True)
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), scored(F.col(text)).alias("m"))
     whole = frozen(rows.select("doc_id", "row_id", "m.*"), "scored")
-    tail = whole.select("row_id", F.explode("tail").alias("t")).select("row_id", F.col("t.word").alias("w"), F.col("t.n").alias("n"))
+    pairs = F.arrays_zip(F.split("tail", " ").alias("w"), F.col("tail_n").alias("n"))
+    tail = whole.filter(F.size("tail_n") > 0).select("row_id", F.explode(pairs).alias("t")).select("row_id", "t.w", "t.n")
     rare = tail.join(counts, F.col("w") == F.col("word")).groupBy(F.col("row_id").alias("r")).agg(
         F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    rows = whole.drop("tail").join(rare, F.col("row_id") == F.col("r"), "left")
+    rows = whole.drop("tail", "tail_n").join(rare, F.col("row_id") == F.col("r"), "left")
     logs = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
     share = float(np.log10(known.total + known.distinct + 1))
     return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens",

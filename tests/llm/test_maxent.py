@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tallyloom.llm import maxent
 from tallyloom.llm.maxent import Shape
@@ -34,16 +35,17 @@ def docs():
     return rows + [(1000, None), (1001, ""), (1002, "Ünk  nown\x0bÜnk\x85x"), (None, "n1 n2"), (7, "n1 n2"), (7, "n1 n2"), (1003, "n1 " * 30_000)]
 
 
-def test_scores(spark):
+@pytest.mark.parametrize("head", [1, 20])
+def test_scores(spark, head):
     rows = docs()
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row_id", "'w' AS word", "2 AS c", "3 AS m").repartition(6)
-    shape = Shape(classes=4, slots=8, head=20, flush=10, splits_per_task=2)
+    shape = Shape(classes=4, slots=8, head=head, flush=10, splits_per_task=2)
     counts, known, weights = maxent.model(frame, shape)
     got = maxent.score(frame, counts, known, weights).collect()
     assert len(got) == len(rows)
     count = Counter(w for i, t in rows if not held(i) for w in words(t))
     total, distinct = sum(count.values()), len(count)
-    assert (known.total, known.distinct, len(known.head)) == (total, distinct, 20)
+    assert (known.total, known.distinct, len(known.head)) == (total, distinct, head)
     texts = {}
     for i, t in rows:
         texts.setdefault(i, []).append(t)
@@ -58,7 +60,7 @@ def test_scores(spark):
         assert r.held_out == held(r.doc_id) and r.train_tokens == total and math.isfinite(r.score)
         if r.held_out:
             base, model = base + r.base_score, model + r.score
-    assert model > 0.8 * base, "the model must gain from the word before"
+    assert model > 0.85 * base, "the model must gain from the word before"
     text = rows[5][1]
     batch = maxent.Batch.of([text], known)
     alone = sum(p + math.log10((count[w] + 1) / known.mass[b]) for p, w, b in
