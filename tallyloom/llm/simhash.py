@@ -256,5 +256,6 @@ def keep_one(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text:
                               fingerprint(F.col(text), near.shingle).alias("fingerprint")), "fingerprinted")
     named = with_components(rows.select("doc_id", "row_id", "fingerprint"), near)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("best"))
-    keepers = frozen(first.select(F.col("best.row_id").alias("kept_row")), "keepers")
+    # The list grows with the documents, so it is never broadcast, however short it is here.
+    keepers = frozen(first.select(F.col("best.row_id").alias("kept_row")), "keepers").hint("merge")
     return rows.join(keepers, F.col("row_id") == F.col("kept_row"), "left_semi").select("doc.*")
