@@ -2,8 +2,8 @@
 
 A word's probability is that of its class given the two words before, times that of its slot within the class given the
 same, times the word's share of its slot. Class and slot are softmax distributions over sums of weight rows, one row for each
-feature of the context: the word before and the two words before for classes, the word before and the one before that (a
-skip) for slots. Features are hashed into tables of fixed size. The most frequent words have a slot of their own; the others share slots by hash and
+feature of the context: the word before, the two words before, and the word before that one (a skip). Features are
+hashed into tables of fixed size. The most frequent words have a slot of their own; the others share slots by hash and
 are told apart by their counts, over the whole training text and without any cap.
 
 Training goes over every training document once, in rounds. In a round every task starts from the same weights, makes
@@ -33,9 +33,6 @@ END = b""
 #: Hashes of contexts before the first word.
 START = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(m) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-#: Contexts: the word before, the two words before, the word before that one. Classes go by the first two, slots by the first
-#: and the skip.
-CLASS_SEES, SLOT_SEES = [0, 1], [0, 2]
 #: Rows of weights that travel as one piece.
 BLOCK = 512
 
@@ -193,17 +190,16 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
 
 def _rows(context: np.ndarray, group: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the class table, and of the slot table for the given classes; one line per feature."""
-    slot = (context[SLOT_SEES] + (group.astype(np.uint64) + np.uint64(1)) * _MIX[3]) * _MIX[1]
-    return ((context[CLASS_SEES] >> np.uint64(64 - shape.class_bits)).astype(np.uint16),
-            (slot >> np.uint64(64 - shape.slot_bits)).astype(np.uint16))
+    slot = (context + (group.astype(np.uint64) + np.uint64(1)) * _MIX[3]) * _MIX[1]
+    return ((context >> np.uint64(64 - shape.class_bits)).astype(np.uint16), (slot >> np.uint64(64 - shape.slot_bits)).astype(np.uint16))
 
 
 def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    x = table[rows[0]]
+    x = table.take(rows[0], axis=0)
     for more in rows[1:]:
-        x += table[more]
+        x += table.take(more, axis=0)
     x += bias
-    x -= x.max(axis=1, keepdims=True)
+    x -= np.ascontiguousarray(x.T).max(axis=0)[:, None]
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
@@ -227,6 +223,22 @@ def log10_slots(weights: Weights, batch: Batch, shape: Shape) -> np.ndarray:
     return out
 
 
+def _summed(up: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and for each the sum of the lines of ``up`` that any feature has there. Most rows have one line,
+    which is copied."""
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    ordered, line = flat[order], order % len(up)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    times = np.diff(starts, append=len(flat))
+    several = times > 1
+    summed = up.take(line[starts], axis=0)
+    if several.any():
+        edges = np.cumsum(times[several]) - times[several]
+        summed[several] = np.add.reduceat(up.take(line[np.repeat(several, times)], axis=0), edges, axis=0)
+    return ordered[starts], summed
+
+
 class Trainer:
     """Gradient steps with a step size of its own for each weight."""
 
@@ -245,18 +257,14 @@ class Trainer:
             for table, seen, (up, rows, hit) in zip((self.now.by_class, self.now.by_slot), self.seen, steps, strict=True):
                 np.negative(up, out=up)
                 up[np.arange(len(hit)), hit] += 1.0
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                ordered = flat[order]
-                starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                summed = np.add.reduceat(up[order % len(hit)], starts, axis=0)
-                at = ordered[starts]
-                spread = seen[at]
+                at, summed = _summed(up, rows)
+                spread = seen.take(at, axis=0)
                 spread += summed * summed
                 seen[at] = spread
                 summed *= shape.rate
                 summed /= np.sqrt(spread)
-                table[at] += summed
+                summed += table.take(at, axis=0)
+                table[at] = summed
 
     def moves(self) -> Iterator[tuple[int, int, bytes]]:
         """(block, tokens, how far its rows have moved) of each block that has moved; blocks of the class table first."""

