@@ -29,13 +29,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Kinds beyond the base, told by a cue, and the cues (any letter case) with what may stand after them.
 MORE = ("userinfo", "iban", "account", "ssn")
-USERINFO = re.compile(r"[^\s/?#@:]{1,256}(:[^\s/?#@]{0,256})?@(?=[A-Za-z0-9\[])")
-IBAN = re.compile(r"[^0-9A-Za-z\n]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?[\x20:=#]{1,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
+USERINFO = re.compile(r"[^\s/?#@:]++(:[^\s/?#@]*+)?@(?=[A-Za-z0-9\[])")
+IBAN = re.compile(r"[^0-9A-Za-z\n]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
+ACCOUNT = re.compile(r"(?:\x20?(?i:number|no\.?|nr\.?|#))?[\x20:=#]{1,3}([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])")
 SSN = re.compile(r"[^0-9A-Za-z\n]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 CUES = {"iban": "iban", "account": "account", "acct": "account", "konto": "account", "ssn": "ssn",
         "social security number": "ssn"}
 KINDS = BASE + MORE
+#: How long an IBAN is in its country.
+IBAN_SIZES = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 
 Span = tuple[int, int, int]
 
@@ -55,14 +61,25 @@ def iban_holds(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the number that starts here ends: at its country's size, or else at the last end of a group, up to ``end``, whose
+    check digits hold. Words and amounts that follow are no part of it."""
+    size, ends = 0, []
+    for p in range(start, end):
+        size += text[p] != " "
+        after = text[p + 1:p + 2]
+        if size >= 15 and text[p] != " " and not (after.isascii() and after.isalnum()):
+            ends.append((size != IBAN_SIZES.get(text[start:start + 2]), -size, p + 1))
+    return next((p for *_, p in sorted(ends) if iban_holds(text[start:p])), None)
+
+
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
     for key, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *[(str(d), "digit") for d in range(10)]]:
         made.add_word(key, (kind, len(key)))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
-            made.add_word(form, (kind, len(form)))
+        made.add_word(cue, (kind, len(cue)))
     made.make_automaton()
     return made
 
@@ -104,7 +121,8 @@ class _Reader:
             self._take("userinfo", end, m.end() - 1, True)
 
     def iban(self, p: int, end: int) -> None:
-        self._cued("iban", IBAN, end, iban_holds)
+        if end >= self.past["iban"] and (m := IBAN.match(self.text, end)) and (last := iban_end(self.text, m.start(1), m.end(1))):
+            self._take("iban", m.start(1), last, True)
 
     def account(self, p: int, end: int) -> None:
         self._cued("account", ACCOUNT, end, lambda _: True)
@@ -122,7 +140,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     reader = _Reader(text)
-    for last, (kind, length) in _anchors().iter(text):
+    lower = text.replace("\u0130", "i").lower()  # as long as the text: no other letter becomes two
+    for last, (kind, length) in _anchors().iter(lower):
         getattr(reader, kind)(last + 1 - length, last + 1)
     return [(KINDS[kind], start, end) for start, kind, end in sorted(reader.spans)]
 

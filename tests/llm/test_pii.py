@@ -36,6 +36,30 @@ def test_cued_kinds():
     assert found == {"iban": "GB82 WEST 1234 5698 7654 32", "account": "12345678", "ssn": "123-45-6789", "userinfo": "joe:pw"}
 
 
+def test_iban_ends_where_the_number_does():
+    for text, want in [
+            ("IBAN: DE89 3704 0044 0532 0130 00 BIC: COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+            ("IBAN: DE89370400440532013000 EUR 500", ["DE89370400440532013000"]), ("iban DE89370400440532013000 500", ["DE89370400440532013000"]),
+            ("IBAN NO93 8601 1117 947 BIC DNBANOKK", ["NO93 8601 1117 947"]), ("iban GB82WEST12345698765432", ["GB82WEST12345698765432"]),
+            ("IBAN GB82 WEST 1234 5698 7654 32 IBAN DE89 3704 0044 0532 0130 00 A", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+            ("IBAN DE00 1234 5678 IBAN DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+            ("IBAN: DE89370400440532013000EUR", []), ("IBAN: DE88 3704 0044 0532 0130 00 BIC", [])]:
+        assert [text[a:b] for k, a, b in pii.find(text) if k == "iban"] == want, text
+    assert pii.masked("IBAN: DE89370400440532013000 EUR 500") == "IBAN: [IBAN] EUR 500"
+
+
+def test_cues_in_any_letter_case():
+    for text, want in [("iBaN de, IbAn: GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"), ("aCCount NUMBER: 12345678", "12345678"),
+                       ("\u0130\u0130 Social security Number 123-45-6789", "123-45-6789"), ("sSn 123-45-6789", "123-45-6789")]:
+        assert [text[a:b] for k, a, b in pii.find(text) if k in pii.MORE] == [want], text
+    assert len({chr(c).lower() for c in range(0x110000) if len(chr(c).lower()) > 1}) == 1, "one letter changes the length"
+
+
+def test_userinfo_of_any_length():
+    text = f"http://{'j' * 300}:{'p' * 100_000}@host.example/x"
+    assert [(a, b) for k, a, b in pii.find(text) if k == "userinfo"] == [(7, 7 + 300 + 1 + 100_000)]
+
+
 def test_query_and_redaction(spark):
     rows = [(1, "write to a@b.co, or 10.0.0.1", 28, "k"), (2, None, None, "k"), (3, "", 0, "k"), (4, "clean", 5, None),
             (5, "joe@x.org " * 20_000, 1, "k"), (5, "joe@x.org " * 20_000, 1, "k")]
