@@ -10,6 +10,7 @@ length and its running number among the rests of that length, in parallel.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -36,20 +37,36 @@ ROUNDS = 400
 
 @dataclass(frozen=True)
 class Packer:
-    """``tokenizer`` names a file of ranks that ``public_tokenizers.path`` knows, or is a path. ``window`` is a power of
-    two. A token id needs 16 bits."""
+    """``tokenizer`` names a file of ranks that ``public_tokenizers.path`` knows, or is a path. ``added`` is the same for the
+    file that declares the added tokens, or empty. ``window`` is a power of two. A token id needs 16 bits."""
     tokenizer: str = "byte_bpe_50k.tiktoken"
     window: int = WINDOW
+    added: str = "byte_bpe_50k.json"
+
+
+def _place(name: str) -> str:
+    return name if os.path.sep in name else public_tokenizers.path(name)
+
+
+def added_tokens(name: str) -> dict[str, int]:
+    """Literals that are one token wherever they stand, and their ids."""
+    with open(_place(name), encoding="utf-8") as file:
+        declared = json.load(file)["added_tokens"]
+    assert not any(t[x] for t in declared for x in ("single_word", "lstrip", "rstrip", "normalized"))
+    return {t["content"]: t["id"] for t in declared}
 
 
 class Speller:
-    """Texts to token ids. Words with the space before them are looked up; only new ones are taken apart."""
+    """Texts to token ids. Texts are cut at added tokens, if a file of these is given. Words with the space before them are
+    looked up; only new ones are taken apart."""
 
-    def __init__(self, tokenizer: str):
-        place = tokenizer if os.path.sep in tokenizer else public_tokenizers.path(tokenizer)
-        with open(place, "rb") as lines:
+    def __init__(self, tokenizer: str, added: str = ""):
+        with open(_place(tokenizer), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        assert max(ranks.values()) < 1 << 16
+        self.added = added_tokens(added) if added else {}
+        assert max([*ranks.values(), *self.added.values()]) < 1 << 16
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         # Where a run of white space goes on past a blank, its tokens depend on what stands on both sides.
         self.crossing = re.compile(r"\s \s|\s $")
@@ -60,11 +77,18 @@ class Speller:
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of the text and then the end token, as 16-bit numbers."""
-        text = text or ""
+        out = []
+        for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
+            out += [np.array([self.added[part]], dtype="<u2").tobytes()] if k % 2 else self._plain(part)
+        out.append(np.array([END], dtype="<u2").tobytes())
+        return np.frombuffer(b"".join(out), dtype="<u2")
+
+    def _plain(self, text: str) -> list[bytes]:
+        out = []
         if self.crossing.search(text):
-            out = [self._ids(text)]
+            out.append(self._ids(text))
         else:
-            known, out = self.known, []
+            known = self.known
             if len(known) > REMEMBERED:
                 known.clear()
             first = True
@@ -77,13 +101,12 @@ class Speller:
                     if len(key) < 64:
                         known[key] = got
                 out.append(got)
-        out.append(np.array([END], dtype="<u2").tobytes())
-        return np.frombuffer(b"".join(out), dtype="<u2")
+        return out
 
 
 @lru_cache(maxsize=2)
-def _speller(tokenizer: str) -> Speller:
-    return Speller(tokenizer)
+def _speller(tokenizer: str, added: str) -> Speller:
+    return Speller(tokenizer, added)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -98,7 +121,7 @@ def spelled(docs: DataFrame, packer: Packer, text: str = "text") -> DataFrame:
         for texts in batches:
             out = []
             for text in texts:
-                ids = _speller(packer.tokenizer).ids(text)
+                ids = _speller(packer.tokenizer, packer.added).ids(text)
                 whole = len(ids) // packer.window
                 rest = ids[whole * packer.window:]
                 out.append((len(ids), [crc(x) for x in ids[:whole * packer.window].reshape(whole, packer.window)], crc(rest),

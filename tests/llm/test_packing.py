@@ -31,6 +31,24 @@ def test_ids_equal_the_tokenizer(reference, data):
         assert speller.ids(text).tolist() == reference(text), repr(text)
 
 
+def test_added_tokens_are_one_id(spark):
+    """Against the tokenizer as its file gives it, without any setting."""
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = lambda text: [*made.encode(text or "", add_special_tokens=False).ids, 0]
+    assert own("one<|endoftext|>two") == [505, 50256, 11545, 0]
+    draw = random.Random(5)
+    texts = [*ODD, "<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|> <|endoftext|>\n", "<|endoftext", "<|ENDOFTEXT|>"]
+    texts += ["".join(draw.choice(["<|endoftext|>", "<|endoftext|>", "<|", "|>", " ", "\n", "a", "Zx", "é", "'s"]) for _ in range(9)) for _ in range(2000)]
+    speller = packing.Speller("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")
+    for text in texts:
+        assert speller.ids(text).tolist() == own(text), repr(text)
+    docs = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string")
+    for r in packing.pack(docs).collect():
+        want = own(texts[r.doc_id])
+        assert r.doc_tokens == len(want)
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.start:r.start + r.length], dtype="<u4").tobytes())
+
+
 def test_plan_places_every_rest_once():
     draw = random.Random(9)
     for window, counts in [(16, {3: 7, 5: 4, 8: 9, 13: 2}), (16, {1: 1}), (16, {}), (64, {k: draw.randrange(9) for k in range(1, 64)}),
