@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of every item. A document streams through it word by word and the state says
 how long a run of some item ends here; at thirteen words, or at a whole shorter item, the run is a hit. Items go in
-blocks of a bounded number of words, one automaton a block, so what a task holds never grows with the benchmark; a
-document passes all blocks in one task and nothing is shuffled.
+blocks of a bounded number of words, one automaton a block. With a single block nothing is shuffled. With more, the
+documents are measured against one block after another, and only rows with hits are kept of each and added up at the end; so
+neither what a task holds nor what the driver holds grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.tables import frozen
+from tallyloom.session import work_path
+
 # The window, the coverage that makes a document contaminated (one in twenty words), and what is a word.
 WINDOW = 13
 COVERAGE = 20
@@ -147,7 +152,7 @@ class Automaton:
         return spans, {self.names[k] for k in found}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple[tuple[str, tuple[bytes, ...]], ...], window: int) -> Automaton:
     return Automaton(items, window)
 
@@ -177,42 +182,73 @@ HITS = "struct<n_words: bigint, n_hit: bigint, hit: binary, items: array<string>
 
 def _scanner(items: tuple[tuple[str, tuple[bytes, ...]], ...], window: int):
     @F.pandas_udf(HITS)
-    def scan(texts: pd.Series, counts: pd.Series, hits: pd.Series, names: pd.Series) -> pd.DataFrame:
+    def scan(texts: pd.Series) -> pd.DataFrame:
         machine = _automaton(items, window)
         out = []
-        for text, before, hit, known in zip(texts, counts, hits, names, strict=True):
+        for text in texts:
             words = words_in(text)
             spans, found = machine.scan(words)
-            n_hit = before
+            n_hit, hit = 0, b""
             if spans:
                 mask = np.zeros(len(words) + 1, dtype=np.int64)
                 at = np.array(spans)
                 np.add.at(mask, at[:, 0], 1)
                 np.add.at(mask, at[:, 1], -1)
                 mask = np.cumsum(mask[:-1]) > 0
-                if hit:
-                    mask |= np.unpackbits(np.frombuffer(hit, dtype=np.uint8), count=len(words)).astype(bool)
                 n_hit, hit = int(mask.sum()), np.packbits(mask).tobytes()
-            out.append((len(words), n_hit, hit, sorted(found.union(known))))
+            out.append((len(words), n_hit, hit, sorted(found)))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "hit", "items"])
     return scan
 
 
-def hits(text: Column, benchmark: DataFrame, limits: Limits = Limits()) -> Column:
-    """A struct of ``n_words``, ``n_hit``, ``hit`` (a bit for each word; empty if none) and the names of ``items`` found. Null
-    text has no words; an empty benchmark hits nothing."""
-    count, hit, names = F.lit(0).cast("long"), F.lit(b""), F.array().cast("array<string>")
-    for items in list(item_blocks(benchmark, limits)) or [()]:
-        got = _scanner(items, limits.window)(text, count, hit, names)
-        count, hit, names = got["n_hit"], got["hit"], got["items"]
-    return got
+def _either(masks: Column) -> Column:
+    """The bits that are set in any of the masks, which are equally long."""
+    @F.pandas_udf("binary")
+    def of(groups: pd.Series) -> pd.Series:
+        return pd.Series([np.bitwise_or.reduce([np.frombuffer(m, dtype=np.uint8) for m in g]).tobytes() for g in groups], dtype="object")
+    return of(masks)
+
+
+def _added_up(docs: DataFrame, blocks: Iterator[tuple[tuple[str, tuple[bytes, ...]], ...]], limits: Limits, text: str) -> DataFrame:
+    """What ``hits`` gives, block after block. What a block finds is written before the next one is read."""
+    @F.pandas_udf("bigint")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words_in(t)) for t in texts], dtype="int64")
+
+    @F.pandas_udf("bigint")
+    def n_set(masks: pd.Series) -> pd.Series:
+        return pd.Series([int(np.unpackbits(np.frombuffer(m, dtype=np.uint8)).sum()) for m in masks], dtype="int64")
+
+    whole = frozen(docs.select(F.struct("*").alias("doc"), n_words(F.col(text)).alias("n_words"),
+                               F.monotonically_increasing_id().alias("row_id")), "documents")
+    path = work_path(docs.sparkSession, "hits")
+    for items in blocks:
+        found = whole.select("row_id", _scanner(items, limits.window)(F.col("doc")[text]).alias("m")).filter("m.n_hit > 0")
+        found.select("row_id", "m.hit", "m.items").write.mode("append").parquet(path)
+    found = docs.sparkSession.read.schema("row_id long, hit binary, items array<string>").parquet(path)
+    each = found.groupBy(F.col("row_id").alias("r")).agg(
+        F.collect_list("hit").alias("masks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = each.select("r", "items", _either(F.col("masks")).alias("hit"))
+    each = each.select("r", "items", "hit", n_set("hit").alias("n_hit"))
+    none = {"n_hit": F.lit(0).cast("long"), "hit": F.lit(b""), "items": F.array().cast("array<string>")}
+    return whole.join(each, F.col("row_id") == F.col("r"), "left").select(
+        "doc", "n_words", *[F.coalesce(name, value).alias(name) for name, value in none.items()])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
+    """``docs`` as a struct ``doc`` with ``n_words``, ``n_hit``, ``hit`` (a bit for each word; empty if none) and the names of
+    ``items`` found. Null text has no words; an empty benchmark hits nothing."""
+    blocks = item_blocks(benchmark, limits)
+    first, second = next(blocks, ()), next(blocks, None)
+    if second is not None:
+        return _added_up(docs, chain([first, second], blocks), limits, text)
+    rows = docs.select(F.struct("*").alias("doc"), _scanner(first, limits.window)(F.col(text)).alias("m"))
+    return rows.select("doc", *[F.col(f"m.{n}").alias(n) for n in ("n_words", "n_hit", "hit", "items")])
 
 
 def measured(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
     """``docs`` as a struct ``doc`` with ``n_words, n_hit, items`` and ``contaminated``."""
-    rows = docs.select(F.struct("*").alias("doc"), hits(F.col(text), benchmark, limits).alias("m"))
-    rows = rows.select("doc", *[F.col(f"m.{n}").alias(n) for n in ("n_words", "n_hit", "hit", "items")])
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (limits.coverage * F.col("n_hit") >= F.col("n_words")))
+    return hits(docs, benchmark, limits, text).withColumn("contaminated", (F.col("n_hit") > 0) & (limits.coverage * F.col("n_hit") >= F.col("n_words")))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:

@@ -57,6 +57,32 @@ def test_against_brute_force(spark, block):
     assert len(list(decontaminate.item_blocks(bench, Limits(block_words=block)))) == (1 if block > 1000 else 11)
 
 
+def test_a_block_is_measured_before_the_next_is_read(spark, monkeypatch):
+    items, texts = cases()
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes, read, blocks = [], [], decontaminate.item_blocks
+    scanner = decontaminate._scanner
+
+    def counted(*args):
+        for block in blocks(*args):
+            read.append(block)
+            yield block
+
+    def noted(block, window):
+        sizes.append(len(read))
+        return scanner(block, window)
+
+    monkeypatch.setattr(decontaminate, "item_blocks", counted)
+    monkeypatch.setattr(decontaminate, "_scanner", noted)
+    found = decontaminate.measured(docs, bench, Limits(block_words=100))
+    assert len(read) > 2 and sizes == [max(2, k + 1) for k in range(len(read))]
+    got = found.collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == brute(texts[r.doc.doc_id], items)
+
+
 def test_stage_and_cut(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     rows = [(1, "Clean text, it stays."), (2, f"before {passage.upper()}, after"), (2, f"before {passage.upper()}, after"),
