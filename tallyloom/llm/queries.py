@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, hostrules, maxent, packing, pii, secrets, sharding, simhash, templates, urltree
+from tallyloom.llm import (chatformat, decontaminate, hostrules, inputs, maxent, packing, pii, prefixtrie, repair, secrets, sharding,
+                           simhash, templates, urltree)
 from tallyloom.llm.tables import frozen, table
 from tallyloom.plans.book import Book
 from tallyloom.session import work_path
@@ -97,3 +98,31 @@ def language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counts, known, weights = maxent.model(docs)
     return maxent.score(docs, counts, known, weights)
+
+
+@LLM.add("op11_prefix_trie", inputs.TRIE_ORACLE)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, ids = inputs.shared_starts(prefixtrie.marked(table(spark, folder, "conversations")))
+    return prefixtrie.nodes(turns, ids).drop("last")
+
+
+@LLM.add("op12_chat_format", chatformat.oracle(inputs.ADVERSE_SQL))
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = inputs.with_adverse(table(spark, folder, "conversations"))
+    made = chatformat.formatted(turns.withColumn("parts", F.array(chatformat.text_part(F.col("text")))))
+    text, learned = chatformat.whole_text(F.col("segments")), chatformat.learned_text(F.col("segments"))
+    lines = F.transform(chatformat.read_back(text), lambda t: F.concat(
+        t["role"], F.lit("\n"), F.array_join(F.transform(t["parts"], lambda p: p["text"]), ""), F.lit("\n")))
+    return made.select("conv_id", F.size(lines).cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+                       F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+                       F.char_length(text).cast("long").alias("formatted_chars"))
+
+
+@LLM.add("op13_structure_repair", inputs.REPAIR_ORACLE)
+def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    found = repair.accounts(inputs.damaged(turns)).withColumnRenamed("conv_id", "found")
+    ids = turns.select("conv_id").distinct()
+    whole = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left").drop("found")
+    return whole.fillna(0).fillna("", ["audit"]).withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))

@@ -8,7 +8,7 @@ from compare import difference
 import __spark_entry__ as entry
 from tallyloom.llm.queries import LLM
 
-NATIVE = ("op1_", "op4_", "op6_", "op9_")
+NATIVE = ("op1_", "op4_", "op6_", "op9_", "op12_")
 
 
 @pytest.mark.parametrize("name", sorted(LLM.queries))
@@ -22,9 +22,9 @@ def test_native_queries_have_no_python(spark, data, name):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_every_document_has_one_row(spark, data):
@@ -33,3 +33,10 @@ def test_every_document_has_one_row(spark, data):
                  "op9_sharding", "op10_personal_data"):
         rows = LLM.queries[name](spark, data).select("doc_id").collect()
         assert len(rows) == len({r.doc_id for r in rows}) == docs
+
+
+def test_conversation_queries_over_an_empty_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(0).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert LLM.queries["op11_prefix_trie"](spark, str(tmp_path)).count() == 0
+    assert [r.conv_id for r in LLM.queries["op12_chat_format"](spark, str(tmp_path)).collect()] == [-1]
+    assert LLM.queries["op13_structure_repair"](spark, str(tmp_path)).count() == 0
