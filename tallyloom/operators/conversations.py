@@ -65,15 +65,24 @@ def _own_turn() -> Column:
     return F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
 
 
-def marked_pairs(turns: DataFrame, won: str = WON, lost: str = LOST) -> DataFrame:
-    """Each user message with what the assistant turn right after it says about the game; the texts stay behind."""
+def pair_marks(turns: DataFrame, won: str = WON, lost: str = LOST) -> DataFrame:
+    """Each message and each reply under the turn of its message, with what the reply says about the game; the texts stay behind."""
     reply = F.col("role") == "assistant"
-    marks = turns.select(
-        "conv_id", _own_turn().alias("user_turn"), (F.col("role") == "user").alias("_asks"), reply.alias("answered"),
+    return turns.select(
+        "conv_id", _own_turn().alias("user_turn"), (F.col("role") == "user").alias("asks"), reply.alias("answered"),
         (reply & contains_any(F.col("text"), [won])).alias("won"), (reply & contains_any(F.col("text"), [lost])).alias("lost"))
+
+
+def asked_pairs(marks: DataFrame) -> DataFrame:
+    """The marks put together, one row a message; a reply to no message is left out."""
     pairs = marks.filter(F.col("user_turn").isNotNull()).groupBy("conv_id", "user_turn").agg(
-        *[F.max(c).alias(c) for c in ("_asks", "answered", "won", "lost")])
-    return pairs.filter("_asks").drop("_asks")
+        *[F.max(c).alias(c) for c in ("asks", "answered", "won", "lost")])
+    return pairs.filter("asks").drop("asks")
+
+
+def marked_pairs(turns: DataFrame, won: str = WON, lost: str = LOST) -> DataFrame:
+    """Each user message with what the assistant turn right after it says about the game."""
+    return asked_pairs(pair_marks(turns, won, lost))
 
 
 def game_turns(turns: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
@@ -83,8 +92,12 @@ def game_turns(turns: DataFrame, won: str = WON, lost: str = LOST, hot_rows: int
     reply does not count. In a run of replies with markers the first, third, fifth ... therefore end a game, and the
     pair after an odd run is the one used up.
     """
-    asked = turns.filter(F.col("role") == "user").select("conv_id")
-    cold, hot = split_hot(marked_pairs(turns, won, lost), ["conv_id"], hot_rows, sized=asked)
+    return number_pairs(marked_pairs(turns, won, lost), hot_rows, ranges, turns.filter(F.col("role") == "user").select("conv_id"))
+
+
+def number_pairs(pairs: DataFrame, hot_rows: int = HOT_ROWS, ranges: int | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """The pairs of ``marked_pairs`` with their games; ``sized`` as for ``split_hot``."""
+    cold, hot = split_hot(pairs, ["conv_id"], hot_rows, sized=sized)
     plain = _number_games(cold, scan_keys)
     if hot is None:
         return plain

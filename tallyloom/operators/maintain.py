@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import number_rows
-from tallyloom.sources import versions
+from tallyloom.sources import buckets, versions
 
 
 class DuplicateChange(ValueError):
@@ -100,3 +100,12 @@ def commit(spark, root: str, change: Callable[[DataFrame], DataFrame], label: st
     if label is not None and versions.current_version(spark, root) == label:
         return label
     return versions.write_version(change(versions.read_version(spark, root)), root, label, keep)
+
+
+def commit_changes(spark, root: str, changes: DataFrame, key: str, label: str | None = None, keep: int | None = None,
+                   old_key: str = "old_key") -> str:
+    """Next version of a bucketed table after a change set (see ``apply_changes``). Only the buckets of the keys it names, the old
+    ones and those of its rows, are read, and only the rows of those keys are written."""
+    kind = buckets.manifest(spark, root).fields[key].dataType
+    named = changes.select(F.col(old_key).cast(kind).alias(key)).unionByName(changes.select(F.col(key).cast(kind).alias(key)))
+    return buckets.commit(spark, root, named, lambda base: apply_changes(base, changes, key, old_key=old_key), label, keep)

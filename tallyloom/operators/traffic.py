@@ -121,6 +121,41 @@ def figures(vehicles: DataFrame) -> DataFrame:
         F.count(of(F.col("direction") == "out", F.lit(1))).alias("vehicles_out"),
         F.count(of(F.col("direction") == "stationary", F.lit(1))).alias("vehicles_stationary"),
     )
+    return _finished(one)
+
+
+def figures_of_counts(counts: DataFrame) -> DataFrame:
+    """The same figures from vehicles counted by type, direction and maximum speed: ``n`` vehicles with ``sightings`` in all, and
+    frames of which the first and last of all rows are those of all vehicles."""
+    speed, n = F.col("max_speed"), F.col("n")
+    car, truck = F.col("vehicle_type") == "car", F.col("vehicle_type") == "truck"
+    whole = counts.schema["max_speed"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    exact = speed.cast("decimal(18,0)") if whole else speed.cast("double")
+    known = F.when(speed.isNotNull(), n)
+
+    def total_of(value: Column, test: Column | None = None) -> Column:
+        return F.coalesce(F.sum(value if test is None else F.when(test, value)), F.lit(0).cast("long"))
+
+    def mean_of(test: Column) -> Column:
+        return F.try_divide(F.sum(F.when(test, speed * n)).cast("double"), F.sum(F.when(test, known)).cast("double"))
+
+    one = counts.agg(
+        total_of(n).alias("total_vehicles"), total_of(n, car).alias("total_cars"), total_of(n, truck).alias("total_trucks"),
+        total_of(F.col("sightings")).alias("total_events"),
+        F.sum(speed * n).alias("_speed_sum"), total_of(known).alias("_speed_n"), F.max(speed).alias("max_speed"), F.min(speed).alias("min_speed"),
+        F.sum(exact * n).alias("_sum"), F.sum(exact * exact * n).alias("_squares"),
+        F.min("first_frame").alias("_first"), F.max("last_frame").alias("_last"),
+        total_of(n, speed > SPEED_LIMIT).alias("speed_violations"),
+        F.max(F.when(car, speed)).alias("_car_max"), F.max(F.when(truck, speed)).alias("_truck_max"),
+        mean_of(car).alias("_car_avg"), mean_of(truck).alias("_truck_avg"),
+        *[total_of(n, F.col("direction") == word).alias(f"vehicles_{word}") for word in ("in", "out", "stationary")])
+    m = F.col("_speed_n")
+    spread = (F.col("_squares") * m - F.col("_sum") * F.col("_sum")).cast("double")
+    std = F.when(m > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (m.cast("double") * (m - 1).cast("double"))))
+    return _finished(one.withColumn("_std", std))
+
+
+def _finished(one: DataFrame) -> DataFrame:
     total = F.col("total_vehicles")
     minutes = (F.col("_last") - F.col("_first") + 1).cast("double") / F.lit(float(FPS)) / F.lit(60.0)
     both = F.col("_car_max").isNotNull() & F.col("_truck_max").isNotNull()

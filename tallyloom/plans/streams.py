@@ -9,29 +9,36 @@ from tallyloom.plans.book import BOOK
 from tallyloom.plans.chats import GAME_TURNS_SQL
 from tallyloom.plans.vehicles import SPEED_SQL, SUMMARY_SQL
 from tallyloom.session import work_path
+from tallyloom.sources import buckets
 from tallyloom.sources.tables import TRAFFIC_EVENTS
-from tallyloom.sources.versions import read_version, write_version
+from tallyloom.sources.versions import folder_bytes, put_in_order, read_version
 from tallyloom.streaming import changes, runs, vehicles
 
 TRAFFIC = "WITH " + b.TRAFFIC_SQL
 
 
-FILES = 3
+#: What one file of a stream may hold, and the least number of batches, so that a small table has several too.
+FILE_BYTES = 128 << 20
+BATCHES = 3
 
 
 def _in_turn(spark, folder, name, order):
-    """A given table as a stream of three batches that follow each other in ``order``."""
+    """A given table as a stream of files that follow each other in ``order``, in one pass over the table.
+
+    There are as many ranges as its size asks for. A stream takes files by age, so the files get theirs in the order of the ranges.
+    """
     rows = b.table(spark, folder, name)
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    path = work_path(spark, f"{name}-files")
-    place = F.least(F.floor((F.col(order) - F.lit(low)) * FILES / (high - low + 1)), F.lit(FILES - 1))
-    for k in range(FILES):
-        rows.filter(place == k).coalesce(1).write.mode("append").parquet(path)
-    return runs.stream_table(spark, path, rows.schema, files_per_trigger=1), runs.state_partitions(spark, f"{folder}/{name}.parquet")
+    path, size = work_path(spark, f"{name}-files"), folder_bytes(spark, f"{folder}/{name}.parquet")
+    batches = max(BATCHES, -(-size // runs.BYTES_PER_TRIGGER))
+    files = max(batches, -(-size // FILE_BYTES))
+    rows.repartitionByRange(files, *order).write.parquet(path)
+    put_in_order(spark, path)
+    return (runs.stream_table(spark, path, rows.schema, files_per_trigger=-(-files // batches)),
+            runs.state_partitions(spark, f"{folder}/{name}.parquet"))
 
 
 def _events(spark, folder):
-    stream, n = _in_turn(spark, folder, "events", "event_id")
+    stream, n = _in_turn(spark, folder, "events", ["event_id"])
     return b.traffic_rows(stream), n
 
 
@@ -41,7 +48,8 @@ SELECT video_id, frame_id, "timestamp", car_id, position_x, position_y, estimate
 def stream_ingest(spark, folder):
     events, n = _events(spark, folder)
     names = [f.name for f in TRAFFIC_EVENTS.fields]
-    return spark.read.parquet(vehicles.ingest(events.select(*names), n)).select(*names)
+    rows = events.select(*names)
+    return spark.read.schema(rows.schema).parquet(vehicles.ingest(rows, n)).select(*names)
 
 
 @BOOK.add("stream_summary", SUMMARY_SQL)
@@ -63,7 +71,7 @@ def stream_refresh_stats(spark, folder):
 @BOOK.add("stream_vehicle_speed", TRAFFIC + " " + SPEED_SQL)
 def stream_vehicle_speed(spark, folder):
     events, n = _events(spark, folder)
-    return spark.read.parquet(vehicles.vehicle_speed(events, n)).drop("position_y")
+    return spark.read.parquet(vehicles.vehicle_speed(events, n)).drop("position_y", "batch")
 
 
 @BOOK.add("stream_window_counts", TRAFFIC + """
@@ -90,19 +98,19 @@ WHERE c.cut IS NULL OR r.seq >= c.cut"""
 def stream_apply_changes(spark, folder):
     """Customers as changes to their nation: a deletion, a replacement or an update of its name."""
     root = work_path(spark, "nation")
-    write_version(b.table(spark, folder, "nation").select("n_nationkey", "n_name"), root)
-    stream, n = _in_turn(spark, folder, "customer", "c_custkey")
+    buckets.create(b.table(spark, folder, "nation").select("n_nationkey", "n_name"), root, ["n_nationkey"])
+    stream, n = _in_turn(spark, folder, "customer", ["c_custkey"])
     op = (F.when(F.col("c_mktsegment") == "BUILDING", F.lit("delete")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("replace"))
           .otherwise(F.lit("update")))
     stream = stream.select(
         F.col("c_custkey").alias("seq"), op.alias("op"), F.col("c_nationkey").alias("old_key"),
         F.col("c_nationkey").alias("n_nationkey"), F.col("c_name").alias("n_name"))
     changes.apply_stream(stream, root, "n_nationkey", n)
-    return read_version(spark, root)
+    return buckets.read(spark, root)
 
 
 @BOOK.add("stream_games", "WITH " + GAME_TURNS_SQL + " SELECT conv_id, game_no, messages, first_turn, last_turn, outcome FROM games")
 def stream_games(spark, folder):
-    turns, n = _in_turn(spark, folder, "conversations", "turn")
+    turns, n = _in_turn(spark, folder, "conversations", ["turn", "conv_id"])
     moves = changes.game_moves(turns.select("conv_id", "turn", "role", "text"), n, b.WON_MARK, b.LOST_MARK)
     return changes.games(spark.read.parquet(moves))

@@ -9,7 +9,7 @@ from tallyloom.operators import maintain
 from tallyloom.plans import bindings as b
 from tallyloom.plans.book import BOOK
 from tallyloom.session import work_path
-from tallyloom.sources import versions
+from tallyloom.sources import buckets
 
 COLUMNS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 FAR = 10**9
@@ -82,13 +82,17 @@ def dml_delete(spark, folder):
 
 @BOOK.add("dml_rollback", f"SELECT {COLUMNS} FROM customer")
 def dml_rollback(spark, folder):
-    """A commit that fails half way: the table reads as before."""
+    """A change set that is committed and rolled back, and one that fails half way: the table reads as before."""
     root = work_path(spark, "customer")
-    versions.write_version(b.customers(spark, folder), root)
+    first = buckets.create(b.customers(spark, folder), root, ["c_custkey"])
+    rows = _newcomers(spark, folder).withColumn("seq", F.col("c_custkey")).withColumn("op", F.lit("replace")).withColumn(
+        "old_key", F.col("c_custkey"))
+    maintain.commit_changes(spark, root, rows, "c_custkey")
+    buckets.roll_back(spark, root, first)
     broken = F.when(F.col("c_custkey") % 97 == 0, F.raise_error(F.lit("no such balance")).cast("double")).otherwise(F.lit(0.0))
     try:
-        maintain.commit(spark, root, lambda base: base.withColumn("c_acctbal", broken))
+        maintain.commit_changes(spark, root, rows.withColumn("c_acctbal", broken), "c_custkey")
     except SparkRuntimeException as error:
         if "no such balance" not in str(error):
             raise
-    return versions.read_version(spark, root).select(*COLUMNS.split(", "))
+    return buckets.read(spark, root).select(*COLUMNS.split(", "))

@@ -6,27 +6,28 @@ stream, so it is taken from the size of the input rather than from a default.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import contextmanager
 from threading import Event
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tallyloom.session import work_path
+from tallyloom.sources import buckets
 from tallyloom.sources.versions import folder_bytes, is_folder
 
 STATE_BYTES = 64 * 1024 * 1024
 BYTES_PER_TRIGGER = 1 << 30
+#: Versions that stay of a table between batches: the current one, and the one that a batch run again starts from.
+KEPT = 2
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType | None = None,
                  bytes_per_trigger: int = BYTES_PER_TRIGGER, files_per_trigger: int | None = None) -> DataFrame:
     """A parquet table, one file or a folder of files, as a stream.
 
-    A batch takes files up to a size, or a set number of them. This also bounds what a stateful function can be
-    handed for one key. A large backlog is the work of the batch operators, not of a stream.
+    A batch takes files up to a size, or a set number of them.
     """
     kind = schema or spark.read.parquet(path).schema
     reader = spark.readStream.schema(kind)
@@ -47,10 +48,23 @@ def state_partitions(spark: SparkSession, path: str) -> int:
     return max(1, min(allowed, max(wanted, spark.sparkContext.defaultParallelism)))
 
 
-def whole_group(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one batch; most keys have a single frame, which is taken as it is."""
-    frames = list(batches)
-    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+def kept_beside(spark: SparkSession, name: str, checkpoint: str | None, sink: str | None, label: str, state: str, key: list[str],
+                rows: str) -> tuple[str, str]:
+    """(table, sink) of a stream that keeps rows for each key between batches: a bucketed table beside its checkpoint, and a folder
+    with one folder of rows a batch. Both are there before the first batch, so that a stream without any reads as empty."""
+    table = f"{checkpoint}-{name}" if checkpoint else work_path(spark, name)
+    path = sink or f"{work_path(spark, label)}/rows"
+    if not buckets.is_table(spark, table):
+        buckets.create(spark.createDataFrame([], state), table, key)
+    if not is_folder(spark, path):
+        spark.createDataFrame([], rows).write.parquet(f"{path}/batch=none")
+    return table, path
+
+
+def version_before(spark: SparkSession, table: str, label: str) -> str | None:
+    """The version that a batch starts from, also when the batch has been committed already and is run again."""
+    now = buckets.manifest(spark, table)
+    return now.parent if now.name == label else now.name
 
 
 @contextmanager

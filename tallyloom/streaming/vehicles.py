@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators import traffic
-from tallyloom.operators.ordering import first_and_last
+from tallyloom.operators.ordering import HOT_ROWS, first_and_last
 from tallyloom.session import work_path
-from tallyloom.sources.versions import current_version, read_version, write_version
-from tallyloom.streaming.runs import drain, whole_group
+from tallyloom.sources import buckets
+from tallyloom.sources.versions import current_version, write_version
+from tallyloom.streaming.runs import KEPT, drain, kept_beside, version_before
 
 
 def ingest(events: DataFrame, n: int, sink: str | None = None, checkpoint: str | None = None) -> str:
@@ -23,21 +21,6 @@ def ingest(events: DataFrame, n: int, sink: str | None = None, checkpoint: str |
     return drain(events, "ingest", n, sink, partition_by=("video_id",), checkpoint=checkpoint)
 
 
-def running_summary(events: DataFrame, root: str, n: int, keys: Sequence[str] = traffic.KEYS, order: str = "event_id",
-                    checkpoint: str | None = None, keep: int | None = None) -> None:
-    """The 22 figures after each batch, over all events so far.
-
-    The stream holds the vehicle table as its state. A batch writes one version of the figures; all stay unless ``keep``
-    says how many.
-    """
-    vehicles = traffic.vehicle_table_at_once(events, keys, order)
-
-    def write(batch: DataFrame, label: str, number: int) -> None:
-        write_version(traffic.long_form(traffic.figures(batch)), root, label, keep)
-
-    drain(vehicles, "summary", n, mode="complete", each=write, checkpoint=checkpoint)
-
-
 def _partials(events: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Vehicle figures of one batch by type and direction, in a form that can be merged with those of other batches."""
     return events.groupBy(*keys, "vehicle_type", "direction").agg(
@@ -61,70 +44,103 @@ def _vehicles(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"))
 
 
-def refresh_stats(events: DataFrame, root: str, n: int, keys: Sequence[str] = traffic.KEYS, order: str = "event_id",
-                  checkpoint: str | None = None, keep: int | None = None) -> None:
-    """The statistics table replaced after each batch.
+#: What vehicles are counted by: all figures follow from these counts.
+COUNTED = ("vehicle_type", "direction", "max_speed")
+
+
+def _counted(vehicles: DataFrame, sign: int) -> DataFrame:
+    return vehicles.select(*COUNTED, F.lit(sign).cast("long").alias("n"), (F.col("sightings") * sign).alias("sightings"),
+                           "first_frame", "last_frame")
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    """Counts added up, what went out being negative. The frames may be older than the vehicles that are left, but every vehicle's own are among them and all
+    are frames of some sighting, so the first and the last of all rows stay exact."""
+    return rows.groupBy(*COUNTED).agg(F.sum("n").alias("n"), F.sum("sightings").alias("sightings"), F.min("first_frame").alias("first_frame"),
+                                      F.max("last_frame").alias("last_frame"))
 
-    A batch leaves its vehicle figures behind, merged with those of the batches before, so a refresh reads two
-    small tables and never the events again. A replayed batch writes the same rows again. All versions stay unless
-    ``keep`` says how many.
+
+def _keep_stats(events: DataFrame, root: str, stats: str, n: int, keys: Sequence[str], order: str, checkpoint: str | None,
+                keep: int | None, label: str) -> None:
+    """The 22 figures at ``stats`` after each batch, from two tables under ``root``.
+
+    ``vehicles`` has the merged figures of each vehicle, ``counts`` the vehicles by type, direction and maximum speed. A batch
+    reads and writes the vehicles it has seen; in the counts their old figures go out and the new ones come in. So what a
+    batch writes follows from its own vehicles. A batch that is run again finds what it wrote and goes on from there.
     """
     spark = events.sparkSession
-    tables = f"{root}/vehicles"
+    vehicles, counts = f"{root}/vehicles", f"{root}/counts"
 
-    def write(batch: DataFrame, label: str, number: int) -> None:
-        if current_version(spark, tables) != label:
+    def publish(name: str | None) -> None:
+        write_version(traffic.long_form(traffic.figures_of_counts(buckets.read(spark, counts))), stats, name, keep)
+
+    if not buckets.is_table(spark, vehicles):
+        none = _partials(spark.createDataFrame([], events.schema), keys, order)
+        buckets.create(none, vehicles, keys)
+        buckets.create(_counted(_vehicles(none, keys), 1), counts, COUNTED)
+        publish(None)
+
+    def write(batch: DataFrame, name: str, number: int) -> None:
+        if current_version(spark, vehicles) != name:
             own = _partials(batch, keys, order)
-            if current_version(spark, tables) is not None:
-                own = own.unionByName(read_version(spark, tables))
-            write_version(_added_up(own, keys), tables, label, keep)
-        vehicles = _vehicles(read_version(spark, tables), keys)
-        write_version(traffic.long_form(traffic.figures(vehicles)), f"{root}/stats", label, keep)
+            buckets.commit(spark, vehicles, own, lambda base: _added_up(base.unionByName(own), keys), name, KEPT)
+        old, new = buckets.written(spark, vehicles)
+        moved = _moved(_counted(_vehicles(new, keys), 1).unionByName(_counted(_vehicles(old, keys), -1)))
+        buckets.commit(spark, counts, moved, lambda base: _moved(base.unionByName(moved)).filter(F.col("n") > 0), name, KEPT)
+        publish(name)
 
-    drain(events, "refresh", n, each=write, checkpoint=checkpoint)
+    drain(events, label, n, each=write, checkpoint=checkpoint)
 
 
-SPEED_STATE = T.StructType([T.StructField("positions", T.ArrayType(T.LongType()))])
+def running_summary(events: DataFrame, root: str, n: int, keys: Sequence[str] = traffic.KEYS, order: str = "event_id",
+                    checkpoint: str | None = None, keep: int | None = None) -> None:
+    """The 22 figures after each batch, over all events so far, as versions at ``root``; all stay unless ``keep`` says how many."""
+    _keep_stats(events, f"{root}-kept", root, n, keys, order, checkpoint, keep, "summary")
 
 
-def _speeds(buffered: np.ndarray, seen_before: int, buffer: int, fps: int, least: int) -> np.ndarray:
-    """Speeds of the rows after the first ``seen_before`` positions, from windows of at most ``buffer`` positions."""
-    at = np.arange(seen_before, len(buffered))
-    start = np.maximum(at - buffer + 1, 0)
-    seen = at - start + 1
-    way = np.abs(buffered[at] - buffered[start]).astype("float64")
-    return np.where(seen < least, 0, way / (seen / float(fps)) * 3.6).astype("int64")
+def refresh_stats(events: DataFrame, root: str, n: int, keys: Sequence[str] = traffic.KEYS, order: str = "event_id",
+                  checkpoint: str | None = None, keep: int | None = None) -> None:
+    """The statistics table at ``root/stats`` replaced after each batch. All versions stay unless ``keep`` says how many."""
+    _keep_stats(events, root, f"{root}/stats", n, keys, order, checkpoint, keep, "refresh")
 
 
 def vehicle_speed(events: DataFrame, n: int, keys: Sequence[str] = ("video_id", "car_id"), order: str = "event_id",
                   position: str = "position_y", carry: Sequence[str] = ("frame_id",), buffer: int = traffic.BUFFER,
                   fps: int = traffic.FPS, least: int = traffic.MIN_SIGHTINGS, idle_ms: int | None = None,
-                  sink: str | None = None, checkpoint: str | None = None) -> str:
-    """Trailing speed with the last positions of each vehicle as state; the same rows as the batch window.
+                  sink: str | None = None, checkpoint: str | None = None, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> str:
+    """Trailing speed with the last positions of each vehicle kept between batches; the same rows as the batch window.
 
-    Only the columns named here reach Python, so the rows one call holds are narrow, and their number is bounded by
-    the size of a batch. With ``idle_ms`` a vehicle that stays away is forgotten and starts anew when it returns.
+    A batch is scored by the batch operator, led in by the positions that are kept, so a vehicle with very many rows in a batch is
+    cut into ranges there too. With ``idle_ms`` a vehicle that stays away is forgotten and starts anew when it returns.
+    A replayed batch writes the same rows again, under its own label.
     """
+    spark = events.sparkSession
     narrow = events.select(*keys, order, position, *carry)
     names = narrow.columns
-    schema = T.StructType([*narrow.schema.fields, T.StructField("speed", T.LongType())])
-
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = whole_group(batches).sort_values(order)
-        kept = list(state.get[0]) if state.exists else []
-        line = np.array(kept + rows[position].tolist(), dtype="int64")
-        rows["speed"] = _speeds(line, len(kept), buffer, fps, least)
-        state.update((line[-(buffer - 1):].tolist(),))
+    rows = T.StructType([*narrow.schema.fields, T.StructField("speed", T.LongType())])
+    last = T.StructType([*[f for f in narrow.schema.fields if f.name in (*keys, order, position)], T.StructField("seen_ms", T.LongType())])
+    state, path = kept_beside(spark, "last-positions", checkpoint, sink, "speed", last, list(keys), rows)
+    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+
+    def write(batch: DataFrame, label: str, number: int) -> None:
+        now = F.unix_millis(F.current_timestamp())
+        lead = buckets.read(spark, state, version_before(spark, state, label), batch.select(*keys))
         if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield rows[[*names, "speed"]]
+            lead = lead.filter(F.col("seen_ms") >= now - idle_ms)
+        both = lead.drop("seen_ms").withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+        scored = traffic.trailing_speed(both, keys, [order], position, buffer, fps, least, hot_rows, ranges)
+        scored.filter("_new").select(*names, "speed").write.mode("overwrite").parquet(f"{path}/batch={label}")
 
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    scored = narrow.groupBy(*keys).applyInPandasWithState(advance, schema, SPEED_STATE, "append", timeout)
-    return drain(scored, "speed", n, sink, checkpoint=checkpoint)
+        def newer(base: DataFrame) -> DataFrame:
+            """The newest positions; of a vehicle with many rows each task keeps a few before they meet."""
+            kept = base if idle_ms is None else base.filter(F.col("seen_ms") >= now - idle_ms)
+            both = kept.unionByName(batch.select(*keys, order, position).withColumn("seen_ms", now))
+            return both.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") < buffer).drop("_back")
+
+        buckets.commit(spark, state, batch.select(*keys), newer, label, KEPT)
+
+    drain(narrow, "speed", n, each=write, checkpoint=checkpoint)
+    return path
 
 
 def window_counts(events: DataFrame, n: int, moment: str, size: str = "1 hour", late: str = "10 minutes",

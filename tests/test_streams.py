@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import maintain, traffic
+import tallyloom.plans.all  # noqa: F401
+from tallyloom.operators import conversations, maintain, traffic
 from tallyloom.plans import bindings as b
+from tallyloom.plans.book import BOOK
+from tallyloom.sources import buckets
 from tallyloom.sources.versions import current_version, read_version, write_version
 from tallyloom.streaming import changes, runs, vehicles
 
@@ -116,3 +119,83 @@ def test_partitions_follow_the_input(spark, data):
     with runs.partitions(spark, 3):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_change_stream_on_a_bucketed_table(spark, tmp_path):
+    path, root, check = (str(tmp_path / n) for n in ("in", "root", "check"))
+    base = spark.createDataFrame([(i, f"s{i}") for i in range(50)], "id long, name string")
+    buckets.create(base, root, ["id"], 8, small_bytes=0)
+    sent = spark.createDataFrame([(k, ("update", "delete", "insert", "replace")[k % 4], k * 7 % 60, k * 7 % 60, f"n{k}") for k in range(12)],
+                                 "seq long, op string, old_key long, id long, name string").coalesce(1).cache()
+    for low in (0, 4, 8):
+        sent.filter(F.col("seq").between(low, low + 3)).write.mode("append").parquet(path)
+        changes.apply_stream(runs.stream_table(spark, path, files_per_trigger=1), root, "id", 2, check)
+    assert rows_of(buckets.read(spark, root)) == rows_of(maintain.apply_changes(base, sent, "id"))
+
+
+def test_a_batch_of_statistics_writes_its_own_vehicles(spark, parts, tmp_path):
+    path, root, check = (str(tmp_path / n) for n in ("in", "root", "check"))
+    feed(parts, path, (0, 3))
+    vehicles.refresh_stats(stream(spark, path), root, 2, checkpoint=check)
+    few = parts[3].limit(5)
+    few.coalesce(1).write.mode("append").parquet(path)
+    held = buckets.manifest(spark, f"{root}/vehicles")
+    seen = {name: buckets.read(spark, f"{root}/{name}") for name in ("vehicles", "counts")}
+    for name, rows in seen.items():  # the same rows in tables without small buckets
+        key = buckets.manifest(spark, f"{root}/{name}").key
+        buckets.create(rows, f"{root}/{name}", key, 4, small_bytes=0)
+    assert held.number > 0
+    vehicles.refresh_stats(stream(spark, path), root, 2, checkpoint=check)
+    cars = b.traffic_rows(few).select("car_id").distinct().count()
+    for name, most in (("vehicles", 60), ("counts", 4 * cars)):
+        version = buckets.manifest(spark, f"{root}/{name}").name
+        assert spark.read.parquet(f"{root}/{name}/{version}").count() <= most
+    assert spark.read.parquet(f"{root}/vehicles/{buckets.manifest(spark, f'{root}/vehicles').name}").select("car_id").distinct().count() == cars
+    want = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(spark.read.parquet(path).join(few.select("event_id"), "event_id", "left_semi"))
+    assert rows_of(read_version(spark, f"{root}/stats")) == rows_of(traffic.summary(b.traffic_rows(want)))
+
+
+def test_a_hot_vehicle_is_cut_into_ranges_in_a_batch(spark, tmp_path):
+    path, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = spark.range(9000).select(F.col("id").alias("event_id"), F.lit("v").alias("video_id"), F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(
+        1).cast("int").alias("car_id"), F.col("id").alias("frame_id"), (F.col("id") * F.col("id") % 997).alias("position_y"))
+    for low in range(0, 9000, 3000):
+        rows.filter(F.col("event_id").between(low, low + 2999)).coalesce(1).write.mode("append").parquet(path)
+        vehicles.vehicle_speed(runs.stream_table(spark, path, files_per_trigger=1), 2, sink=sink, checkpoint=check, hot_rows=500, ranges=5)
+    assert rows_of(spark.read.parquet(sink).select("event_id", "speed")) == rows_of(traffic.trailing_speed(rows).select("event_id", "speed"))
+
+
+def test_a_vehicle_that_stays_away_is_forgotten(spark, tmp_path):
+    path, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = spark.range(12).select(F.col("id").alias("event_id"), F.lit("v").alias("video_id"), F.lit(1).alias("car_id"), F.col("id").alias("frame_id"),
+                                  (F.col("id") * 50).alias("position_y"))
+    for low in (0, 6):
+        rows.filter(F.col("event_id").between(low, low + 5)).coalesce(1).write.mode("append").parquet(path)
+        vehicles.vehicle_speed(runs.stream_table(spark, path, files_per_trigger=1), 2, idle_ms=0 if low else None, sink=sink, checkpoint=check)
+    got = {r.event_id: r.speed for r in spark.read.parquet(sink).collect()}
+    assert [k for k, v in sorted(got.items()) if v == 0] == [0, 1, 2, 3, 6, 7, 8, 9]
+
+
+def test_games_in_batches_equal_the_batch_operator(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    said = [(c, t, "user" if t % 2 == 0 else "assistant", rng.choice(["go on", "you have won", "you have lost", "hm"])) for c in range(9)
+            for t in range(rng.randint(1, 40) if c else 400)]
+    turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").cache()
+    path, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for low in (0, 3, 4, 10, 17, 200):
+        high = {0: 2, 3: 3, 4: 9, 10: 16, 17: 199, 200: 400}[low]
+        turns.filter(F.col("turn").between(low, high)).coalesce(1).write.mode("append").parquet(path)
+        changes.game_moves(runs.stream_table(spark, path, files_per_trigger=1), 2, sink=sink, checkpoint=check, hot_rows=60, ranges=3)
+    got = changes.games(spark.read.parquet(sink))
+    want = conversations.games(conversations.game_turns(turns))
+    names = ["conv_id", "game_no", "messages", "first_turn", "last_turn", "outcome"]
+    assert rows_of(got.select(*names)) == rows_of(want.select(*names)) and want.filter("outcome <> 'open'").count() > 20
+
+
+@pytest.mark.parametrize("name", [n for n in BOOK.queries if n.startswith("stream_")])
+def test_streams_over_empty_tables(spark, data, tmp_path, name):
+    for kind in ("events", "customer", "nation", "conversations"):
+        spark.read.parquet(f"{data}/{kind}.parquet").limit(0).write.parquet(f"{tmp_path}/{kind}.parquet")
+    assert BOOK.queries[name](spark, str(tmp_path)).count() == (22 if name in ("stream_summary", "stream_refresh_stats") else 0)
