@@ -28,11 +28,11 @@ SMALL_BYTES = 32 << 20
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more rows than one task should hold, as a table in the shared folder, or None."""
     counts = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    found = _kept(counts, "hot-keys")
+    found = kept(counts, "hot-keys")
     return None if found.isEmpty() else found
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table: sampling and counting are done once, and its size tells Spark how to join it."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
@@ -113,7 +113,7 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges
         F.sort_array(F.collect_list("_point")).alias("_sorted"))
     step = F.lit(PICKED) if ranges is None else F.greatest(F.floor(F.size("_sorted") / ranges).cast("int"), F.lit(1))
     each = F.filter("_sorted", lambda _, i: i % step == step - 1)
-    cuts = _kept(picked.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.array_distinct(each).alias("_cuts")), "cuts")
+    cuts = kept(picked.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.array_distinct(each).alias("_cuts")), "cuts")
     if keys:
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys])
         cut = df.join(cuts, same, "left")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators import pairing
-from tallyloom.operators.ordering import HOT_ROWS, prefix_scan
+from tallyloom.operators.ordering import HOT_ROWS, kept, prefix_scan
 
 # The words a request is written in.
 FILTER_OPS = ("=", "<", ">", ">=", "<=", "!=", "LIKE", "IN")
@@ -28,6 +28,8 @@ DEFAULT_LIMIT = 100
 PART_SIZE = 1000
 #: Bytes that a text may have; Spark cannot hold a cell beyond two gigabytes.
 CELL_BYTES = 1 << 30
+#: Values of a group that one cell may collect; a larger group is spelled in parts.
+GROUP_BYTES = 256 << 20
 
 
 class RequestError(ValueError):
@@ -270,17 +272,44 @@ def _aggregate(frame: DataFrame, base: DataFrame, request: Request) -> DataFrame
         raise RequestError("two results of one name")
     groups = [F.col(f"{request.table}.{k}").alias(k) for k in keys]
     plain = [_measure(m, base, request.table).alias(m.alias) for m in request.measures if m.kind != "CONCAT_WS"]
+    texts = [m for m in request.measures if m.kind == "CONCAT_WS"]
+    _check(base, *[m.column for m in texts])
+    values = {m.alias: F.col(f"{request.table}.{m.column}").cast("string") for m in texts}
     try:
         plain += [F.expr(text).alias(name) for name, text in request.expressions]
-        out = frame.groupBy(*groups).agg(*plain) if plain else frame.select(*groups).distinct() if keys else None
+        if not texts:
+            return frame.groupBy(*groups).agg(*plain) if plain else frame.select(*groups).distinct()
+        hot = _hot_groups(frame, groups, list(values.values()))
+        whole = [_text(values[m.alias], m.separator).alias(m.alias) for m in texts]
+        if hot is None:
+            return frame.groupBy(*groups).agg(*plain, *whole)
+        same = reduce(lambda a, b: a & b, [F.col(f"{request.table}.{k}").eqNullSafe(F.col(f"_hot_{k}")) for k in keys], F.lit(True))
+        large = frame.join(hot, same, "left_semi") if keys else frame
+        out = large.groupBy(*groups).agg(*plain) if plain else large.select(*groups).distinct() if keys else None
+        for m in texts:
+            out = _beside(out, concat_texts(large.select(*groups, values[m.alias].alias(m.alias)), keys, m.alias, m.separator), keys, m.alias)
+        if not keys:
+            return out
+        rest = frame.join(hot, same, "left_anti").groupBy(*groups).agg(*plain, *whole)
+        return rest.unionByName(out)
     except (AnalysisException, ParseException) as error:
         raise RequestError(f"an expression is neither grouped nor aggregated, or is no expression: {error}") from error
-    for m in request.measures:
-        if m.kind == "CONCAT_WS":
-            _check(base, m.column)
-            values = frame.select(*groups, F.col(f"{request.table}.{m.column}").alias(m.alias))
-            out = _beside(out, concat_texts(values, keys, m.alias, m.separator), keys, m.alias)
-    return out
+
+
+def _text(value: Column, separator: str) -> Column:
+    """The values of a group of ordinary size in order, joined to one text; null for no value."""
+    return F.when(F.count(value) > 0, F.array_join(F.array_sort(F.collect_list(value)), separator))
+
+
+def _hot_groups(frame: DataFrame, groups: list[Column], values: list[Column]) -> DataFrame | None:
+    """Groups whose values one cell should not collect, as a table in the shared folder, or None. Counted with map-side sums."""
+    size = reduce(lambda a, b: F.greatest(a, b), [F.lit(0), *[F.sum(F.octet_length(v).cast("long")) for v in values]])
+    counts = frame.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"), size.alias("_bytes"))
+    found = counts.filter((F.col("_rows") > HOT_ROWS) | (F.col("_bytes") > GROUP_BYTES))
+    if found.isEmpty():
+        return None
+    names = [c for c in found.columns if c not in ("_rows", "_bytes")]
+    return kept(found.select(*[F.col(c).alias(f"_hot_{c}") for c in names]), "hot-groups") if names else found
 
 
 def _beside(out: DataFrame | None, texts: DataFrame, keys: list[str], name: str) -> DataFrame:

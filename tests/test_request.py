@@ -207,3 +207,17 @@ def test_wide_rows_are_not_small(spark):
     wide = spark.range(1000).select(F.expr("repeat('x', 200000)").alias("t"))
     assert not is_small(wide) and is_small(wide.limit(100)) and is_small(spark.range(1000)) and not is_small(spark.range(60_000))
     assert is_small(spark.range(0))
+
+
+@pytest.mark.parametrize("limits", [{"HOT_ROWS": 40}, {"GROUP_BYTES": 90}, {}])
+def test_texts_of_large_groups_beside_other_figures(spark, limits, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(rq, name, value)
+    rows = [("big", f"v{k % 37:03d}", k) for k in range(100)] + [("small", "b", 1), ("small", None, 2), ("small", "a", 3), (None, "n", 4), ("none", None, 5)]
+    table = spark.createDataFrame(rows, "g string, v string, n long").repartition(3)
+    measures = (Measure("CONCAT_WS", "v", separator="|"), Measure("COUNT"), Measure("SUM", "n"))
+    got = {r.g: (r.concat_ws_v, r.count_all, r.sum_n) for r in run_request(Request("t", group_by=("g",), limit=0, measures=measures), {"t": table}).collect()}
+    assert got == {"big": ("|".join(sorted(f"v{k % 37:03d}" for k in range(100))), 100, sum(range(100))), "small": ("a|b", 3, 6), None: ("n", 1, 4),
+                   "none": (None, 1, 5)}
+    one = run_request(Request("t", limit=0, measures=measures), {"t": table}).collect()
+    assert len(one) == 1 and one[0].concat_ws_v.startswith("a|b|n|v000|v000") and one[0].count_all == 105
