@@ -30,6 +30,11 @@ from tallyloom.llm.tables import frozen
 WINDOW = 1024
 # Fixed value: the token that ends a document.
 END = 0
+# Fixed value: the signs that the pattern of the tokenizer takes for white space, as a class.
+WHITE = "[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of white space from this length on are cut out of a text by hand: the pattern goes back over them one sign at a time, and
+#: the library's stack ends at some hundred thousand.
+LONG_RUN = 10_000
 #: Word spellings a worker remembers.
 REMEMBERED = 500_000
 ROUNDS = 400
@@ -70,6 +75,7 @@ class Speller:
         self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         # Where a run of white space goes on past a blank, its tokens depend on what stands on both sides.
         self.crossing = re.compile(r"\s \s|\s $")
+        self.long_run = re.compile(f"{WHITE}{{{LONG_RUN},}}")
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -84,6 +90,17 @@ class Speller:
         return np.frombuffer(b"".join(out), dtype="<u2")
 
     def _plain(self, text: str) -> list[bytes]:
+        """The ids of a text without added tokens. The pattern makes a long run of white space one piece, but for its last sign if
+        something follows, and a piece before such a run ends where it begins."""
+        out, at = [], 0
+        for run in self.long_run.finditer(text) if len(text) >= LONG_RUN else ():
+            stop = run.end() - (run.end() < len(text))
+            out += self._short(text[at:run.start()])
+            out.append(np.array(self.coder._core_bpe.encode_single_piece(text[run.start():stop].encode()), dtype="<u2").tobytes())
+            at = stop
+        return out + self._short(text[at:])
+
+    def _short(self, text: str) -> list[bytes]:
         out = []
         if self.crossing.search(text):
             out.append(self._ids(text))

@@ -109,3 +109,21 @@ def test_pack(spark, reference, window):
     short = [s for s in map(gapless, filled.values()) if s < window]
     assert len(short) <= 10
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_white_space(spark):
+    """Runs that the pattern cannot take whole, at the start, in the middle and at the end, against the tokenizer as its file gives it."""
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = packing.LONG_RUN
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000, " " * 1_000_000 + "a", "a b" + "\r\n" * 300_000 + "c", "x" + " \n\t" * 200_000,
+             " " * (n - 1) + "é", " " * n, " " * n + "\n", "\n" * n + " a", "a" + "\u3000" * n + "b", "a\x1c" + " " * n + "\x1cb",
+             "<|endoftext|>" + " " * n + "<|endoftext|> a", ("w" + " " * n) * 5 + "'s"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = defaultdict(list)
+    for r in packing.pack(docs).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for k, text in enumerate(texts):
+        want = [*made.encode(text, add_special_tokens=False).ids, 0]
+        assert sum(length for _, length, _, _ in pieces[k]) == len(want)
+        for start, length, checksum, tokens in pieces[k]:
+            assert tokens == len(want) and checksum == zlib.crc32(np.array(want[start:start + length], dtype="<u4").tobytes())
