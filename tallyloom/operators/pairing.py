@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import is_small, range_bounds, rank_among
+from tallyloom.operators.ordering import is_small, kept, range_bounds, rank_among
 
 COMPARE = {
     "=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
@@ -104,17 +104,15 @@ def _has_partner(left: Side, right: Side, op: str, ranges: int) -> Column:
 def pattern_join(left: Side, right: Side, how: str, small_rows: int = SMALL_ROWS, ranges: int | None = None) -> DataFrame:
     """Join on ``left.column LIKE right.column``, whatever the sizes.
 
-    With two large sides the distinct texts and patterns are matched first; the rows then follow by equality.
+    With two large sides the distinct texts and patterns are matched first, by the rarest piece of each pattern; the rows then
+    follow by equality.
     """
     test = F.like(left.value, right.value)
     if is_small(right.frame, small_rows):
         return left.frame.join(F.broadcast(right.frame), test, how)
     if is_small(left.frame, small_rows):
         return F.broadcast(left.frame).join(right.frame, test, how)
-    texts = left.frame.select(left.value.alias("_text")).distinct().alias("_texts")
-    patterns = right.frame.select(right.value.alias("_pattern")).distinct().alias("_patterns")
-    matches = _join_in_ranges(Side(texts, "_texts", "_text"), Side(patterns, "_patterns", "_pattern"),
-                              "LIKE", "inner", ranges).select("_text", "_pattern")
+    matches = like_matches(left.frame.select(left.value.alias("_text")), right.frame.select(right.value.alias("_pattern")), ranges)
     if how == "inner":
         return left.frame.join(matches, left.value == F.col("_text")).join(right.frame, F.col("_pattern") == right.value)
     if how == "left":
@@ -126,6 +124,71 @@ def pattern_join(left: Side, right: Side, how: str, small_rows: int = SMALL_ROWS
     return left.frame.join(with_partner, left.value == F.col("_text"), "full")
 
 
+# What stands for an escaped sign while a pattern is cut at its wildcards, and for the two ends of a text.
+ESCAPED = {"\\\\": "\ue000", "\\%": "\ue001", "\\_": "\ue002"}
+START, END = "\x02", "\x03"
+#: Signs of a piece; a literal with fewer gives a shorter one.
+PIECE = 4
+
+
+def _ends(value: Column) -> Column:
+    return F.concat(F.lit(START), value, F.lit(END))
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """All pieces of a text that have a length."""
+    last = F.char_length(text) - size + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(text, at, size))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _literal_pieces(pattern: Column) -> Column:
+    """The pieces of everything between the wildcards of a pattern; a text that matches has each of them."""
+    plain = pattern
+    for sign, stand_in in ESCAPED.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(stand_in))
+    runs = F.transform(F.split(_ends(plain), "[%_]"), lambda r: F.translate(r, "".join(ESCAPED.values()), "\\%_"))
+    told = F.filter(runs, lambda r: ~r.isin("", START, END))
+    return F.flatten(F.transform(told, lambda r: _pieces(r, F.least(F.char_length(r), F.lit(PIECE)))))
+
+
+def like_candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``_text, _pattern``: for each pattern the texts that have its rarest piece, each pair once. Patterns without any literal
+    are left out.
+
+    The texts give up their pieces as (digest, piece) and only those that some pattern chose go on, so what is compared follows
+    the number of texts with the rarest piece, and a text moves once for each pattern it is compared with.
+    """
+    spelled = patterns.select("_pattern", F.explode(F.array_distinct(_literal_pieces(F.col("_pattern")))).alias("piece"))
+    wanted = kept(spelled.groupBy("piece").agg(F.min(F.char_length("piece")).alias("size")), "pattern-pieces")
+    sizes = [r[0] for r in wanted.select("size").distinct().collect()]  # 1 to PIECE
+    keyed = texts.select(F.unhex(F.md5("_text")).alias("digest"), "_text")
+    each = F.flatten(F.array(*[_pieces(_ends(F.col("_text")), F.lit(n)) for n in sizes])) if sizes else F.array().cast("array<string>")
+    held = kept(keyed.select("digest", F.explode(F.array_distinct(each)).alias("p")).join(wanted, F.col("p") == F.col("piece")).select(
+        "digest", "piece"), "text-pieces")
+    counts = held.groupBy(F.col("piece").alias("counted")).count()
+    rarest = spelled.join(counts, F.col("piece") == F.col("counted"), "left").groupBy("_pattern").agg(
+        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "piece")).alias("rarest")).filter("rarest.n > 0").select(
+            "_pattern", F.col("rarest.piece").alias("chosen"))
+    pairs = held.join(rarest, F.col("piece") == F.col("chosen")).select(F.col("digest").alias("d"), "_pattern")
+    return pairs.join(keyed, F.col("d") == F.col("digest")).select("_text", "_pattern")
+
+
+def like_matches(texts: DataFrame, patterns: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The distinct (``_text``, ``_pattern``) with ``_text LIKE _pattern``. Only patterns of nothing but wildcards, or with a sign that
+    stands for an escaped one here, meet all texts, in ranges."""
+    texts, patterns = (df.filter(F.col(c).isNotNull()).distinct() for df, c in ((texts, "_text"), (patterns, "_pattern")))
+    odd = F.col("_pattern").rlike(f"[{''.join(ESCAPED.values())}]") | (F.size(_literal_pieces(F.col("_pattern"))) == 0)
+    found = like_candidates(texts, patterns.filter(~odd)).filter(F.like("_text", F.col("_pattern")))
+    bare = kept(patterns.filter(odd), "bare-patterns")
+    if bare.isEmpty():
+        return found
+    left, right = Side(texts.alias("_texts"), "_texts", "_text"), Side(bare.alias("_patterns"), "_patterns", "_pattern")
+    if is_small(bare):
+        return found.unionByName(left.frame.join(F.broadcast(right.frame), F.like(left.value, right.value)))
+    return found.unionByName(_join_in_ranges(left, right, "LIKE", "inner", ranges).select("_text", "_pattern"))
+
+
 def literal_join(left: DataFrame, right: DataFrame, test: Column, how: str, small_rows: int = SMALL_ROWS,
                  blocks: int | None = None) -> DataFrame:
     """ON names a left column and a literal only, so a left row that passes meets every right row.

@@ -221,3 +221,34 @@ def test_texts_of_large_groups_beside_other_figures(spark, limits, monkeypatch):
                    "none": (None, 1, 5)}
     one = run_request(Request("t", limit=0, measures=measures), {"t": table}).collect()
     assert len(one) == 1 and one[0].concat_ws_v.startswith("a|b|n|v000|v000") and one[0].count_all == 105
+
+
+ODD_TEXTS = ["", "%", "_", "a", "ab", "abc", "abcd", "xabcx", "a%b", "a_b", "a\\b", "", "x", "é_ü", "a\x02b", "\x03", "line\nbreak", "ABC", None]
+ODD_PATTERNS = ["", "%", "_", "__", "a%", "%a", "%a%", "abc", "%abc%", "a\\%b", "a\\_b", "a\\\\b", "%\\%%", "_b%", "a%b%c", "%bc_", "", "%", "%zzz%",
+                "é%ü", "%\x02%", "%\nb%", None, "%%a%%", "ab%"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_patterns_of_two_large_sides(spark, how):
+    rng = random.Random(3)
+    texts = [(k, t) for k, t in enumerate(ODD_TEXTS * 2 + ["".join(rng.choices("abc%_é", k=rng.randint(0, 6))) for _ in range(80)])]
+    patterns = [(k, p) for k, p in enumerate(ODD_PATTERNS * 2 + ["".join(rng.choices("abc%%_é", k=rng.randint(0, 5))) for _ in range(60)])]
+    left = spark.createDataFrame(texts, "id long, t string").alias("l")
+    right = spark.createDataFrame(patterns, "no long, p string").alias("r")
+    sides = pairing.Side(left, "l", "t"), pairing.Side(right, "r", "p")
+    want = left.join(F.broadcast(right) if how != "full" else right, F.like(F.col("l.t"), F.col("r.p")), how).select("id", "t", "no", "p")
+    got = pairing.pattern_join(*sides, how, small_rows=1).select("id", "t", "no", "p")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_two_hundred_thousand_texts_and_patterns(spark):
+    n = 200_000
+    texts = spark.range(n).select(F.concat(F.lit("customer "), F.md5(F.col("id").cast("string"))).alias("_text"))
+    patterns = spark.range(n).select(F.concat(F.lit("%"), F.substring(F.md5(F.col("id").cast("string")), 3, 9), F.lit("%")).alias("_pattern"))
+    compared = pairing.like_candidates(texts, patterns.distinct())
+    assert compared.count() < 200 * n  # of 200,000 times 200,000
+    few = spark.range(50).select(F.concat(F.lit("%"), F.substring(F.md5(F.col("id").cast("string")), 3, 9), F.lit("%")).alias("_pattern"))
+    found = pairing.like_matches(texts, few)
+    assert found.select("_pattern").distinct().count() == few.distinct().count()
+    want = texts.join(F.broadcast(few.distinct()), F.like("_text", F.col("_pattern")))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
