@@ -28,8 +28,7 @@ SMALL_BYTES = 32 << 20
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more rows than one task should hold, as a table in the shared folder, or None."""
     counts = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    found = kept(counts, "hot-keys")
-    return None if found.isEmpty() else found
+    return None if counts.isEmpty() else kept(counts, "hot-keys")
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordering import (
-    HOT_ROWS, first_and_last, split_hot, with_ranges)
+    HOT_ROWS, first_and_last, scan_ranges, split_hot, with_ranges)
 
 SPEED_LIMIT = 130
 FPS = 30
@@ -272,15 +272,20 @@ def speed_bands(vehicles: DataFrame) -> DataFrame:
     return banded.dropna().groupBy("speed_category", "vehicle_type").agg(_rows().alias("count"))
 
 
-def speed_box(vehicles: DataFrame) -> DataFrame:
-    """Quartiles per type and the last values inside 1.5 times the box; equal speeds are counted first."""
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def speed_box(vehicles: DataFrame, hot_rows: int = HOT_ROWS, ranges: int | None = None) -> DataFrame:
+    """Quartiles per type and the last values inside 1.5 times the box; equal speeds are counted first.
+
+    A type with very many different speeds is cut into ranges of speed, whose counts tell the ranks, so no task holds its speeds.
+    """
     counted = vehicles.dropna(subset=["vehicle_type", "max_speed"]).groupBy("vehicle_type", "max_speed").agg(_rows().alias("n"))
-    boxes = counted.groupBy("vehicle_type").agg(
-        F.percentile("max_speed", F.lit(0.25), F.col("n")).alias("q1"),
-        F.percentile("max_speed", F.lit(0.5), F.col("n")).alias("median"),
-        F.percentile("max_speed", F.lit(0.75), F.col("n")).alias("q3"),
-        F.min("max_speed").alias("lowest"), F.max("max_speed").alias("highest"), F.sum("n").alias("vehicles"),
-    )
+    cold, hot = split_hot(counted, ["vehicle_type"], hot_rows)
+    whole = [F.min("max_speed").alias("lowest"), F.max("max_speed").alias("highest"), F.sum("n").alias("vehicles")]
+    boxes = cold.groupBy("vehicle_type").agg(*[F.percentile("max_speed", F.lit(p), F.col("n")).alias(q) for q, p in QUARTILES.items()], *whole)
+    if hot is not None:
+        boxes = boxes.unionByName(_by_rank(hot, hot.groupBy("vehicle_type").agg(*whole), ranges))
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     inside = F.col("max_speed").between(F.col("q1") - reach, F.col("q3") + reach)
     fences = counted.join(boxes, "vehicle_type").groupBy("vehicle_type").agg(
@@ -289,6 +294,27 @@ def speed_box(vehicles: DataFrame) -> DataFrame:
     return boxes.join(fences, "vehicle_type")
 
 
+def _by_rank(counted: DataFrame, whole: DataFrame, ranges: int | None) -> DataFrame:
+    """Exact quartiles, between two neighbours in proportion: the first speeds whose running count goes beyond their ranks."""
+    placed = scan_ranges(counted, ["vehicle_type"], ["max_speed"], sums={"_upto": F.col("n")}, ranges=ranges)
+    named = whole.withColumnRenamed("vehicle_type", "_type")
+    ranked = placed.join(named, F.col("vehicle_type") == F.col("_type"))
+    at = {q: (F.col("vehicles") - 1) * F.lit(p) for q, p in QUARTILES.items()}
+
+    def beyond(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("max_speed")))
+
+    found = ranked.groupBy("vehicle_type").agg(
+        *[beyond(f(x)).alias(f"_{q}_{name}") for q, x in at.items() for name, f in (("low", F.floor), ("high", F.ceil))])
+    joined = found.join(named, F.col("vehicle_type") == F.col("_type"))
+
+    def value(q: str) -> Column:
+        low, high = F.col(f"_{q}_low").cast("double"), F.col(f"_{q}_high").cast("double")
+        return F.when(low == high, low).otherwise((F.ceil(at[q]) - at[q]) * low + (at[q] - F.floor(at[q])) * high)
+
+    return joined.select("vehicle_type", *[value(q).alias(q) for q in QUARTILES], "lowest", "highest", "vehicles")
+
+
 def _usable_heading() -> Column:
     return F.coalesce((F.col("direction") != "") & (F.col("direction") != "unknown"), F.lit(False))
 

@@ -129,6 +129,6 @@ def test_skewed_order_still_splits(spark, order):
 def test_code_travels_with_the_functions():
     from pyspark import cloudpickle
 
-    from tallyloom.streaming import vehicles
+    from tallyloom.operators import detections
 
-    assert len(cloudpickle.dumps(vehicles._speeds)) > 300
+    assert len(cloudpickle.dumps(detections._greedy)) > 300

@@ -179,3 +179,15 @@ def test_counts_of_types_add_up(spark):
         assert boxes.loc[kind, "median"] == pytest.approx(part["max_speed"].quantile(0.5))
         assert boxes.loc[kind, "q1"] == pytest.approx(part["max_speed"].quantile(0.25))
     assert isinstance(pdf, pd.DataFrame)
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_quartiles_of_a_type_with_many_speeds(spark, ranges):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 5 == 0, "truck").when(F.col("id") < 9, "bike").otherwise("car").alias("vehicle_type"),
+        F.when(F.col("id") % 11 == 0, 50).otherwise(F.col("id") * F.col("id") % 1009).cast("long").alias("max_speed"))
+    one = spark.createDataFrame([("bus", 7), ("van", None)], "vehicle_type string, max_speed long")
+    rows = rows.unionByName(one)
+    want = {r.vehicle_type: r for r in t.speed_box(rows).collect()}
+    got = {r.vehicle_type: r for r in t.speed_box(rows, hot_rows=4, ranges=ranges).collect()}
+    assert got == want and set(got) == {"car", "truck", "bike", "bus"}
