@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+import json
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import text
 from tallyloom.operators.ordering import number_rows
+from tallyloom.session import work_path
 from tallyloom.sources import versions
 
 # The modes of the frame model, and the frames per request.
@@ -113,12 +118,86 @@ def per_customer(customers: DataFrame, function: Callable[..., DataFrame], *args
     return customers.lateralJoin(called)
 
 
-def complete(df: DataFrame, answer: Callable[[Iterable[str]], list[str]], column: str, out: str) -> DataFrame:
-    """A caller's chat model over a column of requests, one call for each Arrow batch."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
+ANSWERS = "digest string, answer string, error string"
+
+
+def _ask(answer: Callable[[list], list[str]], pending: str, at_once: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Asks for what is not yet in ``pending``, a few requests at a time, and puts each answer there before it goes on."""
+    def store():
+        try:
+            return fs.FileSystem.from_uri(pending)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+            return None, pending  # a store that only Spark reads: a task that is run again asks again
+
+    def found(files, place: str) -> str | None:
+        if files is None or files.get_file_info(place).type != fs.FileType.File:
+            return None
+        with files.open_input_stream(place) as text:
+            return json.loads(text.read().decode())["answer"]
+
+    def keep(files, place: str, text: str) -> None:
+        if files is not None:
+            staged = f"{place}-{uuid.uuid4().hex}"
+            with files.open_output_stream(staged) as out:
+                out.write(json.dumps({"answer": text}).encode())
+            files.move(staged, place)
+
+    def replies(requests: list) -> list[tuple[str | None, str | None]]:
+        """(answer, error) of each request; if a call for several fails, each is asked by itself."""
+        try:
+            got = answer(requests)
+            if len(got) != len(requests):
+                raise ValueError(f"{len(got)} answers to {len(requests)} requests")
+            return [(None, "no answer") if text is None else (str(text), None) for text in got]
+        except Exception as error:  # noqa: BLE001
+            if len(requests) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            return [r for request in requests for r in replies([request])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, folder = store()
+        if files is not None:
+            files.create_dir(folder, recursive=True)
         for batch in batches:
-            yield batch.assign(**{out: answer(batch[column])})
-
-    return df.mapInPandas(run, schema)
+            out, open_ = [], []
+            for digest, request in zip(batch["_digest"], batch["_request"]):
+                text = found(files, f"{folder}/{digest}")
+                if text is not None:
+                    out.append((digest, text, None))
+                else:
+                    open_.append((digest, request))
+            for at in range(0, len(open_), at_once):
+                some = open_[at:at + at_once]
+                for (digest, _), (text, error) in zip(some, replies([r for _, r in some])):
+                    if error is None:
+                        keep(files, f"{folder}/{digest}", text)
+                    out.append((digest, text, error))
+            yield pd.DataFrame(out, columns=["digest", "answer", "error"])
+
+    return run
+
+
+def complete(df: DataFrame, answer: Callable[[list], list[str]], column: str, out: str, ledger: str | None = None, model: str = "",
+             at_once: int = 1) -> DataFrame:
+    """A caller's chat model over a column of requests: ``out`` and, where the model failed, ``out``_error.
+
+    Answers are kept in a ledger by the digest of model and request. Only distinct requests without an answer are asked, ``at_once``
+    in a call. Each answer is put beside the ledger before the next call, so a task that is run again, or a job that is
+    started again on the same ledger, repeats one call at most. A failed request makes its rows' error and no job fails; it is
+    asked again by the next job. Null requests are not asked and have neither.
+    """
+    spark = df.sparkSession
+    root = ledger or work_path(spark, "answers")
+    digest = F.sha2(F.concat(F.lit(f"{model}\n"), F.to_json(F.struct(F.col(column).alias("request")))), 256)
+    keyed = df.withColumn("_digest", F.when(F.col(column).isNotNull(), digest))
+    asked = keyed.filter("_digest IS NOT NULL").select("_digest", F.col(column).alias("_request")).dropDuplicates(["_digest"])
+    if versions.is_folder(spark, f"{root}/answers"):
+        told = spark.read.schema(ANSWERS).parquet(f"{root}/answers").filter("error IS NULL").select("digest").distinct()
+        asked = asked.join(told, F.col("_digest") == F.col("digest"), "left_anti")
+    run = uuid.uuid4().hex[:12]
+    asked.mapInPandas(_ask(answer, f"{root}/pending", at_once), ANSWERS).write.parquet(f"{root}/answers/run={run}")
+    versions.remove_folder(spark, f"{root}/pending")
+    told = spark.read.schema(f"{ANSWERS}, run string").parquet(f"{root}/answers").filter((F.col("run") == run) | F.col("error").isNull())
+    best = told.groupBy(F.col("digest").alias("_told")).agg(F.min("answer").alias(out), F.min("error").alias("_error"))
+    joined = keyed.join(best, F.col("_digest") == F.col("_told"), "left").withColumn(f"{out}_error", F.when(F.col(out).isNull(), F.col("_error")))
+    return joined.drop("_digest", "_told", "_error")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.sources.versions import entries
+
 AIRPORTS = T.StructType([
     T.StructField("airport_code", T.StringType()),
     T.StructField("airport_name", T.StringType()),
@@ -162,6 +165,27 @@ def column_fill(df: DataFrame) -> DataFrame:
     return wide.select("ordinal", "entry.column_name", "entry.filled")
 
 
+def register_folder(spark: SparkSession, folder: str, schema: str) -> None:
+    """Every parquet table of a folder as an external table of a schema, which is created if need be."""
+    spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name)", args={"name": schema})
+    for name in entries(spark, folder):
+        if name.endswith(".parquet"):
+            spark.catalog.createTable(f"{schema}.{name.removesuffix('.parquet')}", f"{folder}/{name}", "parquet")
+
+
+def table_sizes(spark: SparkSession, catalog: str | None = None, schema: str | None = None) -> DataFrame:
+    """The tables that ``list_tables`` finds with their rows. Counts come from the file footers, one small row a table."""
+    found = list_tables(spark, catalog, schema)
+    names = [tuple(r) for r in found.collect()]
+    sized = [spark.table(".".join(f"`{part}`" for part in at)).agg(F.count(F.lit(1)).alias("total_rows")).select(
+        *[F.lit(part).alias(f"_{k}") for k, part in enumerate(at)], "total_rows") for at in names]
+    if not sized:
+        return found.withColumn("total_rows", F.lit(0).cast("long"))
+    rows = reduce(lambda a, b: a.unionByName(b), sized)
+    same = (F.col("catalog") == F.col("_0")) & (F.col("schema") == F.col("_1")) & (F.col("table_name") == F.col("_2"))
+    return found.join(rows, same).drop("_0", "_1", "_2")
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 

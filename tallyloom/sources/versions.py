@@ -42,6 +42,18 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(target).getLength()) if fs.exists(target) else 0
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    _, folder, fs = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that its caller made; one that is missing is no error."""
+    _, target, fs = _files(spark, path)
+    fs.delete(target, True)
+
+
 def put_in_order(spark: SparkSession, path: str) -> None:
     """Give the files of a folder ages that follow their names, a second apart and in the past."""
     _, folder, fs = _files(spark, path)
