@@ -79,7 +79,9 @@ SELECT date_trunc('hour', processing_datetime) AS window_start, date_trunc('hour
        direction, count(*) AS "count" FROM traffic GROUP BY ALL""")
 def stream_window_counts(spark, folder):
     events, n = _events(spark, folder)
-    return vehicles.latest_windows(spark.read.parquet(vehicles.window_counts(events, n, "processing_datetime")))
+    root = work_path(spark, "window-counts")
+    vehicles.keep_windows(events, root, n, "processing_datetime")
+    return buckets.read(spark, root)
 
 
 CHANGES_SQL = """

@@ -143,17 +143,38 @@ def vehicle_speed(events: DataFrame, n: int, keys: Sequence[str] = ("video_id",
     return path
 
 
+def _windowed(events: DataFrame, moment: str, size: str, late: str, by: Sequence[str]) -> DataFrame:
+    timed = events.withColumn("_at", F.col(moment).cast("timestamp")).withWatermark("_at", late)
+    counted = timed.groupBy(F.window("_at", size).alias("_window"), *by).agg(F.count(F.lit(1)).alias("count"))
+    return counted.select(
+        F.col("_window.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("_window.end").cast("timestamp_ntz").alias("window_end"), *by, "count")
+
+
+def keep_windows(events: DataFrame, root: str, n: int, moment: str, size: str = "1 hour", late: str = "10 minutes",
+                 by: Sequence[str] = ("direction",), checkpoint: str | None = None) -> None:
+    """Counts per tumbling window in a bucketed table at ``root``, one row a window, open ones too; rows later than the watermark
+    are left out. A batch replaces the windows it has changed, so the table has the size of its windows however many batches there
+    are, and a closed window is not written again but with its bucket."""
+    spark, flat = events.sparkSession, _windowed(events, moment, size, late, by)
+    names = [c for c in flat.columns if c != "count"]
+    if not buckets.is_table(spark, root):
+        buckets.create(spark.createDataFrame([], flat.schema), root, ["window_start", *by])
+
+    def write(batch: DataFrame, label: str, number: int) -> None:
+        # The count of a window only grows.
+        buckets.commit(spark, root, batch, lambda base: base.unionByName(batch).groupBy(*names).agg(F.max("count").alias("count")), label, KEPT)
+
+    drain(flat, "windows", n, mode="update", each=write, checkpoint=checkpoint)
+
+
 def window_counts(events: DataFrame, n: int, moment: str, size: str = "1 hour", late: str = "10 minutes",
                   by: Sequence[str] = ("direction",), sink: str | None = None, checkpoint: str | None = None) -> str:
     """Counts per tumbling window; rows later than the watermark are left out.
 
     Each batch writes the windows it has changed under its number, open ones too; ``latest_windows`` reads the sink.
     """
-    timed = events.withColumn("_at", F.col(moment).cast("timestamp")).withWatermark("_at", late)
-    counted = timed.groupBy(F.window("_at", size).alias("_window"), *by).agg(F.count(F.lit(1)).alias("count"))
-    flat = counted.select(
-        F.col("_window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("_window.end").cast("timestamp_ntz").alias("window_end"), *by, "count")
+    flat = _windowed(events, moment, size, late, by)
     path = sink or work_path(events.sparkSession, "windows")
 
     def write(batch: DataFrame, label: str, number: int) -> None:

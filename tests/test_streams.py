@@ -8,7 +8,7 @@ from tallyloom.operators import conversations, maintain, traffic
 from tallyloom.plans import bindings as b
 from tallyloom.plans.book import BOOK
 from tallyloom.sources import buckets
-from tallyloom.sources.versions import current_version, read_version, write_version
+from tallyloom.sources.versions import current_version, entries, read_version, write_version
 from tallyloom.streaming import changes, runs, vehicles
 
 
@@ -86,6 +86,18 @@ def test_late_rows_are_left_out(spark, tmp_path):
     assert got == {0: 1, 5: 1, 6: 1, 9: 1}
 
 
+def test_windows_are_kept_once(spark, tmp_path):
+    path, root, check = (str(tmp_path / n) for n in ("in", "root", "check"))
+    rows = [["2024-01-01 00:10:00", "2024-01-01 05:00:00"], ["2024-01-01 05:30:00", None], ["2024-01-01 00:20:00", "2024-01-01 05:40:00"]] * 3
+    for moments in rows:
+        frame = spark.createDataFrame([(m, None if m and m.endswith("40:00") else "in") for m in moments], "m string, direction string")
+        frame.select(F.col("m").cast("timestamp_ntz").alias("at"), "direction").coalesce(1).write.mode("append").parquet(path)
+        vehicles.keep_windows(runs.stream_table(spark, path, files_per_trigger=1), root, 2, "at", checkpoint=check)
+    got = {(r["window_start"].hour, r["direction"]): r["count"] for r in buckets.read(spark, root).collect()}
+    assert got == {(0, "in"): 1, (5, "in"): 6, (5, None): 3}
+    assert len([n for n in entries(spark, root) if not n.startswith("_")]) <= 3
+
+
 def test_change_stream_equals_one_application(spark, tmp_path):
     path, root, check = (str(tmp_path / n) for n in ("in", "root", "check"))
     base = spark.createDataFrame([(i, f"s{i}") for i in range(5)], "id long, name string")
