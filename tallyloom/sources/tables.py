@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import work_path
 from tallyloom.sources.versions import entries
 
 AIRPORTS = T.StructType([
@@ -167,7 +168,8 @@ def column_fill(df: DataFrame) -> DataFrame:
 
 def register_folder(spark: SparkSession, folder: str, schema: str) -> None:
     """Every parquet table of a folder as an external table of a schema, which is created if need be."""
-    spark.sql("CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name)", args={"name": schema})
+    place = work_path(spark, "schema").replace("'", "\\'")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS IDENTIFIER(:name) LOCATION '{place}'", args={"name": schema})
     for name in entries(spark, folder):
         if name.endswith(".parquet"):
             spark.catalog.createTable(f"{schema}.{name.removesuffix('.parquet')}", f"{folder}/{name}", "parquet")
