@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import pairing
 from tallyloom.operators.request import Filter, Join, Measure, Request, run_request
 from tallyloom.plans import bindings as b
 from tallyloom.plans.book import BOOK
@@ -104,6 +105,19 @@ def join_like(spark, folder):
     return run_request(request, {"customer": b.table(spark, folder, "customer"), "patterns": patterns.distinct()})
 
 
+@BOOK.add("like_index", """
+SELECT t.c_name AS "text", p.pattern FROM (SELECT DISTINCT c_name FROM customer) t
+JOIN (SELECT DISTINCT '%' || right(c_name, 3) AS pattern FROM customer UNION SELECT DISTINCT '%' || left(right(s_name, 4), 3) || '_' FROM supplier) p
+ON t.c_name LIKE p.pattern""")
+def like_index(spark, folder):
+    """Names and patterns matched the way two large sides are, by the rarest piece of each pattern."""
+    names = b.table(spark, folder, "customer").select(F.col("c_name").alias("_text"))
+    ends = names.select(F.concat(F.lit("%"), F.right("_text", F.lit(3))).alias("_pattern"))
+    inner = b.table(spark, folder, "supplier").select(F.concat(F.lit("%"), F.left(F.right("s_name", F.lit(4)), F.lit(3)), F.lit("_")).alias("_pattern"))
+    found = pairing.like_matches(names, ends.unionByName(inner))
+    return found.select(F.col("_text").alias("text"), F.col("_pattern").alias("pattern"))
+
+
 _add("join_literal", """
 SELECT c_custkey, r_name FROM customer LEFT JOIN region ON c_mktsegment = 'BUILDING'""",
      Request("customer", columns=("c_custkey",), expressions=(("r_name", "region.r_name"),), limit=0,
