@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import takewhile
 from typing import NamedTuple
 
@@ -35,6 +34,18 @@ SLACK = INSERT + DELETE
 Item = tuple[int, int]
 
 
+def _remembered(function: Callable) -> Callable:
+    """What was found once is looked up from then on. A plain function, so that it travels to the tasks with its code."""
+    known: dict = {}
+
+    def call(*key):
+        if key not in known:
+            known[key] = function(*key)
+        return known[key]
+
+    return call
+
+
 def _closed(items: frozenset[Item]) -> frozenset[Item]:
     found, todo = set(items), list(items)
     while todo:
@@ -47,7 +58,7 @@ def _closed(items: frozenset[Item]) -> frozenset[Item]:
     return frozenset(found)
 
 
-@lru_cache(None)
+@_remembered
 def _moved(state: frozenset[Item], symbol: str) -> frozenset[Item] | None:
     kernel = frozenset((r, d + 1) for r, d in state if GRAMMAR[r][1][d:d + 1] == symbol)
     return _closed(kernel) if kernel else None
@@ -59,7 +70,7 @@ class Node(NamedTuple):
     below: Node | None
 
 
-@lru_cache(None)
+@_remembered
 def _node(state: frozenset[Item], below: Node | None) -> Node:
     return Node(state, below)
 
@@ -67,7 +78,7 @@ def _node(state: frozenset[Item], below: Node | None) -> Node:
 BOTTOM = _node(_closed(frozenset((k, 0) for k, (head, _) in enumerate(GRAMMAR) if head == "C")), None)
 
 
-@lru_cache(None)
+@_remembered
 def after(top: Node, symbol: str) -> Node | None:
     """The stack after a symbol and all reductions that follow, or None where the grammar does not allow the symbol."""
     state = _moved(top.state, symbol)
@@ -84,12 +95,12 @@ def after(top: Node, symbol: str) -> Node | None:
         top = _node(_moved(top.state, head), top)
 
 
-@lru_cache(None)
+@_remembered
 def complete(top: Node) -> bool:
     return any(GRAMMAR[r][0] == "C" and d == len(GRAMMAR[r][1]) for r, d in top.state)
 
 
-@lru_cache(None)
+@_remembered
 def _inserted(top: Node) -> str:
     """The only turn that can be inserted here."""
     return next(s for s in ROLE_OF if after(top, s) is not None)
