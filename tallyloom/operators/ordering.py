@@ -19,8 +19,6 @@ HOT_ROWS = 2_000_000
 RANGE_ROWS = 500_000
 #: Sampled rows for each range.
 PICKED = 100
-#: Ranges of the right side of a comparison join, which become part of its plan.
-MAX_RANGES = 4096
 #: What one side of a broadcast join may measure.
 SMALL_BYTES = 32 << 20
 
@@ -52,41 +50,6 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS,
     return df.join(named, same, "left_anti"), df.join(named, same, "left_semi")
 
 
-def range_bounds(df: DataFrame, order: Sequence[str], ranges: int | None = None, rows: int = RANGE_ROWS) -> list[tuple]:
-    """Cut points of the order columns, from a bounded sample; a range for each ``rows`` rows unless their number is given."""
-    total = df.count()
-    wanted = ranges or max(1, min(MAX_RANGES, total // rows))
-    if wanted < 2:
-        return []
-    size = 20 * wanted
-    picked = df.select(*order).sample(False, min(1.0, 1.5 * size / max(total, 1)), 11).limit(2 * size).collect()
-    points = sorted((tuple(r) for r in picked if all(v is not None and v == v for v in r)))
-    step = max(1, len(points) // wanted)
-    return sorted(set(points[step::step]))
-
-
-def rank_among(value: Column, cuts: Column, size: int) -> Column:
-    """Number of sorted cut points at or below a value, by halving.
-
-    The value is handed to the search inside an array: an optimizer rule that carries conditions across a join
-    overlooks columns that stand in a lambda body.
-    """
-    if size == 0:
-        return F.lit(0)
-
-    def search(v: Column) -> Column:
-        def halve(at: Column, _: Column) -> Column:
-            middle = F.shiftright(at["low"] + at["high"], 1)
-            right = F.coalesce(F.get(cuts, middle) <= v, F.lit(False))
-            return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"),
-                            F.when(right, at["high"]).otherwise(middle).alias("high"))
-
-        steps = F.array(*[F.lit(i) for i in range(size.bit_length())])
-        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(size).alias("high")), halve, lambda at: at["low"])
-
-    return F.get(F.transform(F.array(value), search), F.lit(0))
-
-
 def _rank_in(point: Column, cuts: Column) -> Column:
     """Number of cut points at or below a point, by halving an array of the row."""
     def halve(at: Column, _: Column) -> Column:

@@ -1,8 +1,8 @@
 """Joins on a comparison between columns, and on a comparison with a literal.
 
 A comparison join is run against a broadcast side only when its rows and bytes have been measured and
-are few. Beyond that the right side is cut into ranges of its column and each left row visits the ranges that can
-hold a partner, so the work follows the size of the answer and no task sees a whole side.
+are few. Beyond that both sides are dealt into cells (``operators/cells.py``) that can hold partners, so the work follows the size
+of the answer and no task sees a whole side.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import is_small, kept, range_bounds, rank_among
+from tallyloom.operators.cells import CELL_ROWS, FLIPPED, lay_out, with_cells
+from tallyloom.operators.ordering import is_small, kept
 
 COMPARE = {
     "=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
@@ -53,51 +54,37 @@ def comparison_join(left: Side, right: Side, op: str, how: str, small_rows: int
         return left.frame.join(F.broadcast(right.frame), test, how)
     if is_small(left.frame, small_rows):
         return F.broadcast(left.frame).join(right.frame, test, how)
-    return _join_in_ranges(left, right, op, how, ranges)
-
-
-def _join_in_ranges(left: Side, right: Side, op: str, how: str, ranges: int) -> DataFrame:
-    points = right.frame.select(right.value.alias("point")).filter("point IS NOT NULL")
-    bounds = [p for (p,) in range_bounds(points, ["point"], ranges, BLOCK_ROWS)]
-    cuts = F.array(*[F.lit(p) for p in bounds])
-
-    def place(value: Column) -> Column:
-        return rank_among(value, cuts, len(bounds))
-
-    last = F.lit(len(bounds))
-    if op in ("<", "<="):
-        visits = F.sequence(place(left.value), last)
-    elif op in (">", ">="):
-        visits = F.sequence(F.lit(0), place(left.value))
-    else:
-        visits = F.sequence(F.lit(0), last)
-    matched = _has_partner(left, right, op, ranges)
-    one = F.array(F.lit(None).cast("int"))
-    spread = left.frame.withColumn("_matched", matched).withColumn(
-        "_visit", F.explode(F.when(F.col("_matched"), visits).otherwise(one)))
-    ranged = right.frame.withColumn("_place", place(right.value))
-    together = (F.col("_visit") == F.col("_place")) & compare(op, left.value, right.value)
-    joined = spread.join(ranged, together, how)
-    if how in ("left", "full"):
-        # A left row visits many ranges; its empty-handed visits count only if it has no partner at all.
-        joined = joined.filter(F.col("_place").isNotNull() | ~F.col("_matched"))
-    return joined
-
-
-def _has_partner(left: Side, right: Side, op: str, ranges: int) -> Column:
-    """Whether a left row meets any right row: the extremes of the right side tell, except for patterns."""
-    if op == "LIKE":
-        # Patterns have no extremes; the left rows try all ranges and keep an inner or right join only.
-        return F.lit(True)
-    low, high = right.frame.agg(F.min(right.value), F.max(right.value)).first()
+    return _join_in_cells(left, right, op, how, ranges)
+
+
+def _join_in_cells(left: Side, right: Side, op: str, how: str, ranges: int | None = None) -> DataFrame:
+    kind = left.frame.select(left.value.alias("v")).union(right.frame.select(right.value)).schema["v"].dataType
+    values = left.value.cast(kind), right.value.cast(kind)
+    places = lay_out(left.frame, values[0], right.frame, values[1], ranges)
+    block = CELL_ROWS if ranges is None else max(1, places.right_rows // ranges)
+    has_left = _has_partner(values[0], right.frame, values[1], op) if how in ("left", "full") else None
+    has_right = _has_partner(values[1], left.frame, values[0], FLIPPED[op]) if how in ("right", "full") else None
+    spread = with_cells(left.frame, values[0], "l", op, places, has_left, block)
+    dealt = with_cells(right.frame, values[1], "r", op, places, has_right, block)
+    together = (F.col("_l_l") == F.col("_r_l")) & (F.col("_l_r") == F.col("_r_r")) & compare(op, left.value, right.value)
+    joined = spread.join(dealt, together, how)
+    if how != "inner":
+        # A row is in many cells; those where it finds nobody count only if it has no partner at all.
+        joined = joined.filter((F.col("_l_l").isNotNull() & F.col("_r_l").isNotNull()) | (F.col("_l_l") == -1) | (F.col("_r_r") == -2))
+    return joined.drop("_l_l", "_l_r", "_r_l", "_r_r")
+
+
+def _has_partner(value: Column, others: DataFrame, other: Column, op: str) -> Column:
+    """Whether a row meets any row of the other side: the extremes of that side tell. Both values have one type."""
+    low, high = others.agg(F.min(other), F.max(other)).first()
     if low is None:
         return F.lit(False)
     if op in ("<", "<="):
-        test = compare(op, left.value, F.lit(high))
+        test = compare(op, value, F.lit(high))
     elif op in (">", ">="):
-        test = compare(op, left.value, F.lit(low))
+        test = compare(op, value, F.lit(low))
     else:
-        test = (left.value != F.lit(low)) | (left.value != F.lit(high))
+        test = (value != F.lit(low)) | (value != F.lit(high))
     return F.coalesce(test, F.lit(False))
 
 
@@ -186,7 +173,7 @@ def like_matches(texts: DataFrame, patterns: DataFrame, ranges: int | None = Non
     left, right = Side(texts.alias("_texts"), "_texts", "_text"), Side(bare.alias("_patterns"), "_patterns", "_pattern")
     if is_small(bare):
         return found.unionByName(left.frame.join(F.broadcast(right.frame), F.like(left.value, right.value)))
-    return found.unionByName(_join_in_ranges(left, right, "LIKE", "inner", ranges).select("_text", "_pattern"))
+    return found.unionByName(_join_in_cells(left, right, "LIKE", "inner", ranges).select("_text", "_pattern"))
 
 
 def literal_join(left: DataFrame, right: DataFrame, test: Column, how: str, small_rows: int = SMALL_ROWS,

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import pairing, request as rq
+from tallyloom.operators import cells, pairing, request as rq
 from tallyloom.operators.request import Filter, Join, Measure, Request, run_request
 
 
@@ -42,6 +42,49 @@ def test_comparison_join(sides, op, how, small_rows):
     assert joined(got) == expected(left, right, f"l.x {op} r.y", how)
 
 
+@pytest.mark.parametrize("op, fan, broadcast", [("<", 1024, True), ("<=", 3, True), (">", 3, False), (">=", 3, True), ("!=", 3, False)])
+def test_comparison_of_large_sides_with_hot_values(spark, monkeypatch, op, fan, broadcast):
+    """A value holds a third of each side, once of equal rows; branches of cut points are looked up either way."""
+    monkeypatch.setattr(cells, "FAN", fan)
+    monkeypatch.setattr(cells, "is_small", lambda df: broadcast)
+    rng = random.Random(6)
+    left = pd.DataFrame({"id": [7 if k % 3 == 0 else k for k in range(150)], "x": [500 if k % 3 == 0 else rng.randint(0, 900) for k in range(150)]})
+    right = pd.DataFrame({"no": range(240), "y": [500 if k % 3 == 0 else rng.randint(100, 1000) for k in range(240)]})
+    l, r = spark.createDataFrame(left).repartition(5), spark.createDataFrame(right).repartition(3)
+    got = pairing.comparison_join(pairing.Side(l.alias("l"), "l", "x"), pairing.Side(r.alias("r"), "r", "y"), op, "full", small_rows=-1, ranges=12)
+    assert got.columns == ["id", "x", "no", "y"]
+    assert joined(got) == expected(left, right, f"l.x {op} r.y", "full")
+
+
+@pytest.mark.parametrize("kinds", [("string", "string"), ("double", "int"), ("int", "string"), ("decimal(12,3)", "double")])
+def test_comparison_of_large_sides_of_several_kinds(spark, kinds):
+    values = [-10.5, -3.0, 0.0, 2.0, 2.5, 9.0, 10.0, 100.0, None]
+    l = spark.createDataFrame([(k, values[k % 9]) for k in range(60)], "id long, x double").withColumn("x", F.col("x").cast("int" if kinds[1] == "string" else "double").cast(kinds[0]))
+    r = spark.createDataFrame([(k, values[k * 5 % 9]) for k in range(70)], "no long, y double").withColumn("y", F.col("y").cast("int").cast(kinds[1]))
+    l, r = l.alias("l"), r.alias("r")
+    for op in ("<", "!="):
+        want = joined(l.join(F.broadcast(r), pairing.compare(op, F.col("l.x"), F.col("r.y")), "left"))
+        got = pairing.comparison_join(pairing.Side(l, "l", "x"), pairing.Side(r, "r", "y"), op, "left", small_rows=0, ranges=7)
+        assert joined(got) == want
+
+
+def test_no_cell_is_large_and_copies_follow_the_answer(spark):
+    """Half of the right side has one value; with < few left rows lie below it, so few copies are made."""
+    n, block = 40_000, 1_000
+    left = spark.range(n).select((F.col("id") + n).alias("x"))
+    right = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, n + 100).otherwise(F.col("id")).alias("y"))
+    places = cells.lay_out(left, F.col("x"), right, F.col("y"), ranges=40)
+    spread = cells.with_cells(left, F.col("x"), "l", "<", places, None, block)
+    dealt = cells.with_cells(right, F.col("y"), "r", "<", places, None, block)
+    answer = 100 * n // 2
+    assert spread.count() < 3 * (answer / block + block) and dealt.count() < 3 * (answer / block + n)
+    assert dealt.groupBy("_r_l", "_r_r").count().agg(F.max("count")).first()[0] < 2 * block
+    assert spread.groupBy("_l_l", "_l_r").count().agg(F.max("count")).first()[0] < 2 * block
+    same = spark.range(n).select(F.lit(5).alias("y"))
+    places = cells.lay_out(same, F.col("y"), same, F.col("y"), ranges=40)
+    assert cells.with_cells(same, F.col("y"), "l", "!=", places, None, block).isEmpty()
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_comparison_join_with_nothing_on_the_right(sides, how):
     left, right, l, r = sides
