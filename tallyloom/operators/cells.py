@@ -99,12 +99,25 @@ def _branch_of(place: Column) -> Column:
     return F.when(place == 0, F.lit(-1)).otherwise(F.floor((F.floor((place + 1) / 2) - 1) / FAN)).cast("long")
 
 
+def _lookup(cuts: DataFrame) -> tuple[Column, DataFrame]:
+    """The first cut points of all branches, and the cut points of each branch."""
+    leaves = kept(cuts.groupBy(_branch_of(F.col("number") * 2).alias("branch")).agg(
+        F.array_sort(F.collect_list("point")).alias("leaf")), "leaves")
+    return leaves.select(F.array_sort(F.collect_list(F.get("leaf", F.lit(0)))).alias("firsts")).scalar(), leaves
+
+
+def with_pieces(df: DataFrame, order: list[str], name: str, rows: int, ranges: int | None = None) -> DataFrame:
+    """``df`` with the number of the piece, of about ``rows`` rows, that a row lies in along ``order``; nulls come first."""
+    point = F.struct(*order)
+    trunk, leaves = _lookup(kept(cut_points(df.select(point.alias("point")), ranges, rows), "cuts"))
+    placed = _with_branch(df, point, trunk, leaves)
+    return placed.select(*df.columns, F.floor(F.col("_place") / 2).alias(name))
+
+
 def lay_out(left: DataFrame, left_value: Column, right: DataFrame, right_value: Column, ranges: int | None = None) -> Places:
     """Cut points of the right values, and for each place the numbers of the rows that lie in it."""
     cuts = kept(cut_points(right.select(right_value.alias("point")), ranges), "cuts")
-    leaves = kept(cuts.groupBy(_branch_of(F.col("number") * 2).alias("branch")).agg(
-        F.array_sort(F.collect_list("point")).alias("leaf")), "leaves")
-    trunk = leaves.select(F.array_sort(F.collect_list(F.get("leaf", F.lit(0)))).alias("firsts")).scalar()
+    trunk, leaves = _lookup(cuts)
 
     def counted(frame: DataFrame, value: Column, name: str) -> DataFrame:
         # Only the compared value is read; rows are counted by place before they move.

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tallyloom.functions import convert, display, geometry, text
 from tallyloom.operators import enrich
 from tallyloom.operators.ordering import number_rows, page
+from tallyloom.operators.paging import read_page
 from tallyloom.plans import bindings as b
 from tallyloom.plans.book import BOOK
+from tallyloom.session import work_path
+from tallyloom.sources.versions import write_version
 
 WITH_TRIPS = "WITH " + b.FLIGHTS_SQL + ", " + b.PASSENGERS_SQL
 WITH_TRAFFIC = "WITH " + b.TRAFFIC_SQL
@@ -311,6 +314,15 @@ def grid_page(spark, folder):
     return page(b.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_orderkey"], 500, 25)
 
 
+@BOOK.add("grid_page_deep", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET (SELECT 9 * count(*) // 10 FROM orders)")
+def grid_page_deep(spark, folder):
+    """A page after nine tenths of a versioned table, by its index."""
+    root = work_path(spark, "grid")
+    orders = b.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    write_version(orders, root)
+    return read_page(spark, root, ["o_orderkey"], 9 * orders.count() // 10, 25)
+
+
 @BOOK.add("lookup_keys", """
 SELECT k.c_custkey AS wanted, o.o_orderkey IS NOT NULL AS found, o.o_totalprice
 FROM customer k LEFT JOIN orders o ON o.o_orderkey = k.c_custkey * 20""")
