@@ -87,28 +87,40 @@ class Request:
 
 
 def typed_literal(df: DataFrame, column: str, text: str) -> Column:
-    """The text as a value that compares with the column; a text that is none raises.
+    """The text as a value that compares with the column; a text that is none raises."""
+    return typed_literals(df, column, [text])[0]
 
-    A number keeps all its digits and a date its time of day, so nothing is rounded to the type of the column.
+
+def typed_literals(df: DataFrame, column: str, texts: list[str]) -> list[Column]:
+    """The texts as values that compare with the column; a text that is none raises.
+
+    A number keeps all its digits and a date its time of day, so nothing is rounded to the type of the column. Texts that Spark
+    has to read are read together.
     """
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
-        return F.lit(text)
+        return [F.lit(t) for t in texts]
+    if isinstance(kind, T.NumericType):
+        return [_number(column, kind, t) for t in texts]
+    name = "timestamp_ntz" if isinstance(kind, T.DateType) else kind.simpleString()
+    read = df.sparkSession.sql(f"SELECT transform(:texts, t -> try_cast(t AS {name}) IS NOT NULL)",
+                               args={"texts": F.array(*[F.lit(t) for t in texts])}).first()[0]
+    for text, good in zip(texts, read):
+        if not good:
+            raise RequestError(f"{text!r} is not a {name}, as {column} needs")
+    return [F.lit(t).cast(name) for t in texts]
+
+
+def _number(column: str, kind: T.NumericType, text: str) -> Column:
     try:
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             return F.lit(float(text))
-        if isinstance(kind, T.NumericType):
-            value = Decimal(text)
-            if not value.is_finite() or len(value.as_tuple().digits) > 38 or abs(value.adjusted()) > 37:
-                raise InvalidOperation
-            return F.lit(value)
+        value = Decimal(text)
+        if not value.is_finite() or len(value.as_tuple().digits) > 38 or abs(value.adjusted()) > 37:
+            raise InvalidOperation
+        return F.lit(value)
     except (ValueError, InvalidOperation):
         raise RequestError(f"{text!r} is not a number, as {column} is") from None
-    name = "timestamp_ntz" if isinstance(kind, T.DateType) else kind.simpleString()
-    value = df.sparkSession.sql(f"SELECT try_cast(:v AS {name}) AS v", args={"v": text}).first()[0]
-    if value is None:
-        raise RequestError(f"{text!r} is not a {name}, as {column} needs")
-    return F.lit(text).cast(name)
 
 
 def split_list(text: str) -> list[str]:
@@ -133,7 +145,7 @@ def filter_column(df: DataFrame, alias: str, spec: Filter) -> Column | None:
         return here.like(value)
     if spec.op == "IN":
         values = split_list(value)
-        return here.isin(*[typed_literal(df, spec.column, v) for v in values]) if values else None
+        return here.isin(*typed_literals(df, spec.column, values)) if values else None
     return pairing.compare(spec.op, here, typed_literal(df, spec.column, value))
 
 

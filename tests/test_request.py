@@ -238,6 +238,17 @@ def test_numbers_and_times_are_not_rounded(spark):
             run("id", "=", text)
 
 
+def test_a_list_of_dates_is_read_at_once(spark, monkeypatch):
+    df = spark.sql("SELECT CAST(id AS INT) AS id, date_add(DATE '2024-01-01', CAST(id AS INT)) AS d, id % 2 = 0 AS even FROM range(90)")
+    asked, plain = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, *a, **k: asked.append(a) or plain(self, *a, **k))
+    days = ", ".join(f"2024-01-{n:02d}" for n in range(1, 31))
+    assert ids(run_request(Request("t", filters=(Filter("d", "IN", days),)), {"t": df})) == list(range(30)) and len(asked) == 1
+    assert len(ids(run_request(Request("t", filters=(Filter("even", "=", "true"),)), {"t": df}))) == 45
+    with pytest.raises(rq.RequestError, match="'soon'"):
+        run_request(Request("t", filters=(Filter("d", "IN", "2024-01-01, soon"),)), {"t": df})
+
+
 def test_sort_by_a_column_that_is_not_shown(people):
     got = run_request(Request("people", columns=("name",), order_by=("id DESC",)), people)
     assert got.columns == ["name"] and [r[0] for r in got.collect()] == [None, "O'Hare", "Ann"]
