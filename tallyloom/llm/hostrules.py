@@ -8,6 +8,7 @@ are; a document that fails a base rule goes from every host. Column expressions
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,9 +25,11 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class HostLimits:
-    """``reject_above``: shrunk share of failing documents beyond which a host is rejected. ``least_strength`` and
-    ``most_strength`` bound the weight of the prior, in documents."""
-    reject_above: float = 0.5
+    """A host is rejected if the odds of its documents to fail are beyond ``worse`` times the odds of the prior's mean, by
+    ``sure`` standard deviations of its posterior. ``least_strength`` and ``most_strength`` bound the weight of the prior,
+    in documents."""
+    worse: float = 3.0
+    sure: float = 1.645
     least_strength: float = 2.0
     most_strength: float = 1000.0
 
@@ -110,8 +113,14 @@ def host_verdicts(rows: DataFrame, limits: HostLimits = HostLimits()) -> DataFra
                                           F.lit(limits.most_strength))).otherwise(limits.most_strength)
     prior = total.select(F.struct(mean.alias("mean"), strength.alias("strength")).alias("prior")).scalar()
     judged = hosts.withColumn("prior", prior)
-    rate = (F.col("failed") + F.col("prior.mean") * F.col("prior.strength")) / (F.col("documents") + F.col("prior.strength"))
-    return judged.select("host", "documents", "failed", rate.alias("rate"), (rate > limits.reject_above).alias("rejected"))
+    failing = F.col("failed") + F.col("prior.mean") * F.col("prior.strength")
+    passing = F.col("documents") - F.col("failed") + (1 - F.col("prior.mean")) * F.col("prior.strength")
+    # log odds of the posterior, about normal; a prior without failures, or without anything else, rejects no host
+    surely = F.ln(failing) - F.ln(passing) - F.lit(limits.sure) * F.sqrt(
+        F.try_divide(F.lit(1.0), failing) + F.try_divide(F.lit(1.0), passing))
+    bar = F.ln("prior.mean") - F.ln(1 - F.col("prior.mean")) + F.lit(math.log(limits.worse))
+    return judged.select("host", "documents", "failed", (failing / (failing + passing)).alias("rate"),
+                         F.coalesce(surely > bar, F.lit(False)).alias("rejected"))
 
 
 def judge(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -127,8 +136,9 @@ def judge(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limits: HostLimits = HostLimits()) -> DataFrame:
-    """The documents that stay, with their own columns. An empty table stays empty; equal rows share one fate."""
-    rows = measured(docs, text, host)
+    """The documents that stay, with their own columns. An empty table stays empty; equal rows share one fate. Measures
+    are taken once: the documents are written with what they fail, and both the hosts' sums and the result read that."""
+    rows = frozen(measured(docs, text, host).drop("m"), "measured")
     return judge(rows, host_verdicts(rows, limits)).filter("kept").select("doc.*")
 
 
@@ -156,7 +166,10 @@ p AS (SELECT sum(k) / sum(n) AS mean, sum(n * (k / n) * (k / n)) / sum(n) - (sum
              - sum((k / n) * (1 - k / n)) / sum(n) AS spread FROM h),
 s AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2.0), 1000.0) ELSE 1000.0 END
              AS strength FROM p),
-b AS (SELECT source, (k + mean * strength) / (n + strength) > 0.5 AS rejected FROM h, s)
+o AS (SELECT source, mean, k + mean * strength AS failing, n - k + (1 - mean) * strength AS passing FROM h, s),
+b AS (SELECT source, CASE WHEN failing > 0 AND passing > 0 AND mean > 0 AND mean < 1 THEN ln(failing) - ln(passing)
+             - {HostLimits.sure} * sqrt(1 / failing + 1 / passing) > ln(mean) - ln(1 - mean) + {math.log(HostLimits.worse)}
+             ELSE false END AS rejected FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR (rejected AND n_failed > 0)) AS kept, n_failed
 FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source

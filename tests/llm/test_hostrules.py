@@ -54,3 +54,24 @@ def test_prior_pulls_small_hosts(spark):
     found = {r.host: r.rate for r in hostrules.host_verdicts(
         spark.createDataFrame(rows, "host string, n_failed long")).collect()}
     assert 0.1 < found["tiny"] < 0.95 and abs(found["a"] - 0.1) < 0.03
+
+
+def test_host_far_worse_than_its_peers_is_rejected(spark):
+    """A planted host with two failures in five documents, among hosts with one in fifteen; its clean documents stay."""
+    rows = [(f"h{h}", int(k % 15 == h % 15)) for h in range(20) for k in range(60)] + [("planted", int(k % 5 < 2)) for k in range(60)]
+    rows += [("few", 1)] * 2 + [("hot", int(k % 15 == 0)) for k in range(900)]
+    found = hostrules.host_verdicts(spark.createDataFrame(rows, "host string, n_failed long")).collect()
+    assert {r.host for r in found if r.rejected} == {"planted"}
+
+
+def test_hosts_that_all_fail_or_all_pass(spark):
+    for n in (0, 1):
+        rows = spark.createDataFrame([(h, n) for h in "abc" for _ in range(9)], "host string, n_failed long")
+        assert [r.rejected for r in hostrules.host_verdicts(rows).collect()] == [False] * 3
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k % 50_021}" for k in range(60_000)) + "\n"
+    docs = spark.createDataFrame([(1, text * 2, "h")], "doc_id long, text string, source string")
+    m = hostrules.measured(docs).first().m
+    assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == brute(text * 2)
