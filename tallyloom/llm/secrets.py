@@ -45,26 +45,44 @@ MORE = (
 RULES = BASE + MORE
 
 
+SPANS = "array<struct<start: int, end: int>>"
+#: Matches that are summed up in one go; appending to a list copies it, so lists stay this short.
+RUN = 256
+
+
+def _laid(runs: Column) -> Column:
+    """Spans of the matches that are kept, from runs of (gap before, length, kept). Each run is laid from its own start, and
+    then moved by the length of the runs before it."""
+    none = F.array().cast(SPANS)
+
+    def step(a: Column, x: Column) -> Column:
+        here = a["at"] + x["g"]
+        span = F.array(F.struct(here.alias("start"), (here + x["h"]).alias("end")))
+        return F.struct((here + x["h"]).alias("at"), F.when(x["ok"], F.concat(a["found"], span)).otherwise(a["found"]).alias("found"))
+
+    own = F.transform(runs, lambda run: F.aggregate(run, F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+
+    def move(a: Column, run: Column) -> Column:
+        moved = F.transform(run["found"], lambda s: F.struct((a["at"] + s["start"]).alias("start"), (a["at"] + s["end"]).alias("end")))
+        return F.struct((a["at"] + run["at"]).alias("at"), F.concat(a["found"], F.array(moved)).alias("found"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found"))
+    return F.flatten(F.aggregate(own, start, move, lambda a: a["found"]))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of the matches, in code points. The text between matches and the matches themselves
     are measured and added up."""
     def placed(gaps: Column) -> Column:
         def found(hits: Column) -> Column:
-            kept = F.lit(True) if not rule.least else None
+            ok = (lambda h: F.length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least) if rule.least else (lambda h: F.lit(True))
             sized = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(
-                F.length(g).alias("g"), F.length(h).alias("h"),
-                (kept if kept is not None else F.length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least).alias("ok")))
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("found"))
-
-            def step(a: Column, x: Column) -> Column:
-                here = a["at"] + x["g"]
-                span = F.array(F.struct(here.alias("start"), (here + x["h"]).alias("end")))
-                return F.struct((here + x["h"]).alias("at"), F.when(x["ok"], F.concat(a["found"], span)).otherwise(a["found"]).alias("found"))
-            return F.aggregate(sized, start, step, lambda a: a["found"])
+                F.length(g).alias("g"), F.length(h).alias("h"), ok(h).alias("ok")))
+            return let(sized, lambda x: _laid(F.transform(
+                F.sequence(F.lit(1), F.size(x), F.lit(RUN)), lambda at: F.slice(x, at, F.lit(RUN)))))
         return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), found)
 
-    empty = F.array().cast("array<struct<start: int, end: int>>")
-    return F.when(text.rlike(rule.pattern), let(F.split(text, rule.pattern, -1), placed)).otherwise(empty)
+    return F.when(text.rlike(rule.pattern), let(F.split(text, rule.pattern, -1), placed)).otherwise(F.array().cast(SPANS))
 
 
 def blob_of(text: Column) -> Column:
@@ -90,7 +108,8 @@ def unseen(versions: DataFrame, ledger: str, rules: Sequence[Rule], content: str
 
 
 def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, content: str = "text") -> None:
-    """Scan what the ledger lacks and add it. A run that fails adds nothing; one that is repeated scans nothing twice."""
+    """Scan what the ledger lacks and add it. A run that fails adds nothing; one that is repeated scans nothing twice.
+    No version adds no row, and a null content is the empty one."""
     todo = unseen(versions, ledger, rules, content)
     pairs = [F.when(F.array_contains("todo", f"{r.name}@{r.version}"), F.struct(
         F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules]
@@ -100,7 +119,7 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, conten
 
 def findings(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, content: str = "text") -> DataFrame:
     """Every version's columns as a struct ``version``, with ``spans``: array<struct<start, rank, kind, end>> of the given
-    rule versions, by start and then in the order of the rules."""
+    rule versions, by start and then in the order of the rules. Repeated rows come back as often; no version gives no row."""
     order = {(r.name, r.version): k for k, r in enumerate(rules)}
     spark = versions.sparkSession
     ranked = F.lit(None).cast("int")

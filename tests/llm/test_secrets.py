@@ -1,5 +1,8 @@
+import hashlib
+import json
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -59,3 +62,16 @@ def test_empty(spark):
     ledger = work_path(spark, "ledger")
     secrets.scan(none, ledger)
     assert secrets.findings(none, ledger).count() == 0
+
+
+def test_many_findings_in_one_text(spark):
+    """400,000 findings, a number that is no multiple of a run and one that is."""
+    line = "é " + "0123456789abcdef" * 2 + "\n"
+    for n in (400_000, secrets.RUN, secrets.RUN + 1):
+        row = spark.createDataFrame([(line * n,)], "text string").select(secrets.spans(F.col("text"), secrets.BASE[2]).alias("s"))
+        began = time.monotonic()
+        got = row.select(F.size("s"), F.element_at("s", -1), F.sha2(F.to_json("s"), 256)).first()
+        assert time.monotonic() - began < 30
+        want = [{"start": 35 * k + 2, "end": 35 * k + 34} for k in range(n)]
+        assert got[0] == n and tuple(got[1]) == (35 * n - 33, 35 * n - 1)
+        assert got[2] == hashlib.sha256(json.dumps(want, separators=(",", ":")).encode()).hexdigest()
