@@ -78,8 +78,8 @@ def spans(text: Column, rule: Rule) -> Column:
             ok = (lambda h: F.length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least) if rule.least else (lambda h: F.lit(True))
             sized = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(
                 F.length(g).alias("g"), F.length(h).alias("h"), ok(h).alias("ok")))
-            return let(sized, lambda x: _laid(F.transform(
-                F.sequence(F.lit(1), F.size(x), F.lit(RUN)), lambda at: F.slice(x, at, F.lit(RUN)))))
+            return let(sized, lambda x: _laid(F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(RUN)), lambda at: F.transform(
+                F.sequence(at, F.least(at + (RUN - 1), F.size(x) - 1)), lambda i: F.get(x, i)))))  # slice would read all of x
         return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), found)
 
     return F.when(text.rlike(rule.pattern), let(F.split(text, rule.pattern, -1), placed)).otherwise(F.array().cast(SPANS))
